@@ -3,10 +3,10 @@
 The kernel of two words counts the subsequences of three letters that they share, each
 weighted down by the stretch it takes in either word, so that gaps and inserted characters
 cost little. It is normalised and raised to a power, which keeps it a kernel. Landmarks are
-words of the labelled texts that tell toxic from other texts. A text's values at the
-landmarks are the largest of its words' kernels; Nyström's map makes features of them, and a
-linear SVM with squared hinge loss is trained on labelled texts. Platt's logistic turns its
-decision into a score.
+words, and beginnings of words, of the labelled texts that tell toxic from other texts. A
+text's values at the landmarks are the largest kernels of its words and of their stretches
+of STRETCH characters; Nyström's map makes features of them, and a linear SVM with squared hinge loss is trained on
+labelled texts. Platt's logistic turns its decision into a score.
 
 A word is a run of non-space characters, of which letters and digits count; single
 characters in a row with spaces between them are read as one word as well.
@@ -26,14 +26,17 @@ from .common import per_text
 
 #: At most so many labelled texts of each label are fitted on: the first by a hash of doc_id.
 SAMPLE = {1: 1500, 0: 2500}
-LANDMARKS = 96
+LANDMARKS = 80
+#: Lengths of the beginnings of words that may become landmarks; the last is that of a stretch as well. Whole words may be up to LONGEST.
+SHORTEST, STRETCH, LONGEST = 4, 7, 14
+#: Least log-likelihood ratio of a landmark.
+LEAST_RATIO = 12.0
 ORDER = 3
-DECAY = 0.7
-POWER = 4
-LEAST = 0.5
-LONGEST = 24
+DECAY = 0.5
+POWER = 3
+LEAST = 0.3
 CACHE = 300_000
-PENALTY = 1e-3
+PENALTY = 1e-4
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 
@@ -84,66 +87,122 @@ def letters(c: np.ndarray) -> np.ndarray:
 
 
 class Kernel:
-    """Powers of the normalised kernel between words and landmarks, sparse: zero below LEAST."""
+    """Powers of the normalised kernel, sparse: zero below LEAST.
+
+    Landmarks of up to STRETCH characters meet every stretch of a word, by a table of the
+    landmarks' subsequences; the longer ones meet whole words, by the recursion. A whole word
+    that lacks two letters of a landmark, or is over twice its length plus two, counts as zero.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.words = landmarks
         if not landmarks:
             return
-        self.width = max(ORDER, *(len(w) for w in landmarks))
-        self.codes = codes(landmarks, self.width)
-        self.sets = letters(self.codes)
+        lens = np.array([len(w) for w in landmarks])
+        self.short, self.long = np.flatnonzero(lens <= STRETCH), np.flatnonzero(lens > STRETCH)
+        c = codes(landmarks, LONGEST)
+        self.norm = np.sqrt(raw_kernel(c, c))
+        self.long_codes, self.long_lens = c[self.long], lens[self.long]
+        self.sets = letters(self.long_codes)
         self.least_letters = np.bitwise_count(self.sets).astype(np.int64) - 1
-        self.lens = np.array([len(w) for w in landmarks])
-        self.norm = np.sqrt(raw_kernel(self.codes, self.codes))
-
-    def between(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers, landmark numbers and values where not zero.
-
-        Pairs in which the word lacks two letters of the landmark, or is over twice its length
-        plus two, are zero by definition: they share too few subsequences.
-        """
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if not words or not self.words:
-            return none
-        c = codes(words, LONGEST)
-        lens = (c > 0).sum(axis=1)
-        sets = letters(c)
-        pairs = [np.flatnonzero((np.bitwise_count(sets & self.sets[k]) >= self.least_letters[k]) & (lens <= 2 * self.lens[k] + 2) & (lens >= ORDER)) for k in range(len(self.words))]
-        w, k = np.concatenate(pairs), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-        if not len(w):
-            return none
-        values = np.zeros(len(w))
-        own = np.zeros(len(words))
-        # Pairs of words alike in length share their padded width.
-        for width in np.unique(-(-lens[w] // 4) * 4):
-            at = np.flatnonzero(-(-lens[w] // 4) * 4 == width)
-            used = np.unique(w[at])
-            for lo in range(0, len(used), 20_000):
-                x = c[used[lo : lo + 20_000], :width]
-                own[used[lo : lo + 20_000]] = raw_kernel(x, x)
-            for lo in range(0, len(at), 20_000):
-                some = at[lo : lo + 20_000]
-                values[some] = raw_kernel(c[w[some], :width], self.codes[k[some]])
-        values /= np.sqrt(np.maximum(own[w], 1e-30)) * self.norm[k]
-        good = values >= LEAST
-        return w[good], k[good], values[good] ** POWER
+        self.triples = [(i, j, k, DECAY ** (k - i + 1)) for i in range(STRETCH) for j in range(i + 1, STRETCH) for k in range(j + 1, STRETCH)]
+        alphabet = sorted({ord(x) for m in self.short for x in landmarks[m]})
+        self.base = len(alphabet) + 1
+        self.letter = np.zeros(1 << 16, np.int32)
+        for i, x in enumerate(alphabet):
+            self.letter[x & 0xFFFF] = i + 1
+        # For each subsequence of three letters: the landmarks that have it, with their weights.
+        held: dict[int, dict[int, float]] = {}
+        for n, m in enumerate(self.short):
+            x = self.letter[[ord(ch) & 0xFFFF for ch in landmarks[m]]].tolist()
+            for i, j, k, w in self.triples:
+                if k < len(x):
+                    of = held.setdefault((x[i] * self.base + x[j]) * self.base + x[k], {})
+                    of[n] = of.get(n, 0.0) + w
+        self.table = np.full(self.base**3, -1, np.int32)
+        for u, key in enumerate(held):
+            self.table[key] = u
+        counts = np.array([len(of) for of in held.values()], np.int64)
+        self.begin, self.count = np.cumsum(counts) - counts, counts
+        self.mark = np.array([n for of in held.values() for n in of], np.int64)
+        self.weight = np.array([w for of in held.values() for w in of.values()])
+        # A stretch's kernel with itself is at least that of one with all letters different.
+        self.least_self = np.array([1e-30] * 3 + [sum(w * w for i, j, k, w in self.triples if k < n) for n in range(3, STRETCH + 1)])
+
+    def stretches(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, landmark and normalised kernel, where not below LEAST, of rows of up to STRETCH code points."""
+        rows, marks, values = [], [], []
+        x = self.letter[c & 0xFFFF]
+        for lo in range(0, len(c), 40_000):
+            part = x[lo : lo + 40_000].astype(np.int64)
+            total = np.zeros(len(part) * len(self.short))
+            for i, j, k, w in self.triples:
+                u = self.table[(part[:, i] * self.base + part[:, j]) * self.base + part[:, k]]
+                at = np.flatnonzero(u >= 0)
+                u = u[at]
+                n = self.count[u]
+                slot = np.repeat(self.begin[u] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                np.add.at(total, np.repeat(at, n) * len(self.short) + self.mark[slot], w * self.weight[slot])
+            hit = np.flatnonzero(total)
+            r, m = hit // len(self.short), hit % len(self.short)
+            most = total[hit] / (np.sqrt(self.least_self[(c[lo + r] > 0).sum(axis=1)]) * self.norm[self.short[m]])
+            good = most >= LEAST
+            rows.append(lo + r[good])
+            marks.append(self.short[m[good]])
+            values.append(total[hit[good]])
+        r, m, v = np.concatenate(rows), np.concatenate(marks), np.concatenate(values)
+        used, back = np.unique(r, return_inverse=True)
+        v /= np.sqrt(np.maximum(raw_kernel(c[used], c[used]), 1e-30))[back] * self.norm[m]
+        good = v >= LEAST
+        return r[good], m[good], v[good]
+
+    def wholes(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of whole words with the longer landmarks."""
+        lens, sets = (c > 0).sum(axis=1), letters(c)
+        pairs = [np.flatnonzero((np.bitwise_count(sets & self.sets[n]) >= self.least_letters[n]) & (lens <= 2 * self.long_lens[n] + 2)) for n in range(len(self.long))]
+        r, n = np.concatenate(pairs), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        used, back = np.unique(r, return_inverse=True)
+        v = raw_kernel(c[r], self.long_codes[n]) / (np.sqrt(np.maximum(raw_kernel(c[used], c[used]), 1e-30))[back] * self.norm[self.long[n]])
+        good = v >= LEAST
+        return r[good], self.long[n[good]], v[good]
+
+    def of_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token numbers (ascending), landmark numbers and values: the kernel to the power, of each stretch and whole."""
+        flat, owner = [], []
+        for i, token in enumerate(tokens):
+            word = clean(token)
+            if len(word) <= LONGEST:
+                if len(word) >= ORDER:
+                    flat.append(word)
+                    owner.append(i)
+            else:  # pieces that overlap by a stretch less one hold every stretch
+                step = LONGEST - STRETCH + 1
+                found = [word[at : at + LONGEST] for at in range(0, len(word) - STRETCH + 1, step)]
+                flat += found
+                owner += [-1 - i] * len(found)
+        if not flat or not self.words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        c, who = codes(flat, LONGEST), np.array(owner)
+        lens, token_of = (c > 0).sum(axis=1), np.where(who < 0, -1 - who, who)
+        got = []
+        if len(self.short):
+            which = [np.flatnonzero((lens >= at + STRETCH) | (at == 0)) for at in range(LONGEST - STRETCH + 1)]
+            at = np.concatenate(which)
+            r, m, v = self.stretches(np.concatenate([c[w, i : i + STRETCH] for i, w in enumerate(which)]))
+            got.append((token_of[at[r]], m, v))
+        whole = np.flatnonzero((lens > STRETCH) & (who >= 0))
+        if len(self.long) and len(whole):
+            r, m, v = self.wholes(c[whole])
+            got.append((token_of[whole[r]], m, v))
+        t, m, v = (np.concatenate(x) for x in zip(*got, strict=True))
+        by = np.argsort(t, kind="stable")
+        return t[by], m[by], v[by] ** POWER
 
     def among(self) -> np.ndarray:
-        m = len(self.words)
-        out = np.zeros((m, m))
-        w, k, v = self.between(self.words)
-        out[w, k] = v
-        out = (out + out.T) / 2
-        np.fill_diagonal(out, 1.0)
-        return out
-
-
-def parts(token: str) -> list[str]:
-    """Pieces of a cleaned token, LONGEST characters at most, overlapping by half."""
-    if len(token) <= LONGEST:
-        return [token]
-    return [token[i : i + LONGEST] for i in range(0, len(token) - LONGEST // 2, LONGEST // 2)]
+        """The landmarks' kernel matrix."""
+        n, c = len(self.words), codes(self.words, LONGEST)
+        i, j = (x.ravel() for x in np.indices((n, n)))
+        return ((raw_kernel(c[i], c[j]) / (self.norm[i] * self.norm[j])) ** POWER).reshape(n, n)
 
 
 class Features:
@@ -155,40 +214,32 @@ class Features:
         self.rows: list[tuple[np.ndarray, np.ndarray]] = []
 
     def learn(self, texts: list[set[str]]) -> None:
+        """Words that reach no landmark are held as well, without a row."""
         if len(self.cache) > CACHE:
             self.cache, self.rows = {}, []
-        new = list({t for found in texts for t in found}.difference(self.cache))
-        flat, owner = [], []
-        for i, token in enumerate(new):
-            for p in parts(clean(token)):
-                flat.append(p)
-                owner.append(i)
+        new = list(set().union(*texts).difference(self.cache))
         self.cache.update(dict.fromkeys(new, -1))
-        w, k, v = self.kernel.between(flat)
-        if len(w):
-            who = np.array(owner)[w]
-            by = np.argsort(who, kind="stable")
-            who, k, v = who[by], k[by], v[by]
-            edges = np.flatnonzero(np.diff(who, prepend=-1))
-            for lo, hi in zip(edges, [*edges[1:], len(who)], strict=True):
-                self.cache[new[who[lo]]] = len(self.rows)
-                self.rows.append((k[lo:hi], v[lo:hi]))
+        t, m, v = self.kernel.of_tokens(new)
+        edges = np.flatnonzero(np.diff(t, prepend=-1))
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(t)], strict=True) if len(t) else ():
+            self.cache[new[t[lo]]] = len(self.rows)
+            self.rows.append((m[lo:hi], v[lo:hi]))
 
     def of(self, tokens: set[str]) -> np.ndarray:
         x = np.zeros(len(self.kernel.words))
-        for token in tokens:
-            if (i := self.cache[token]) >= 0:
-                k, v = self.rows[i]
-                np.maximum.at(x, k, v)
+        found = [self.rows[i] for i in map(self.cache.__getitem__, tokens) if i >= 0]
+        if found:
+            np.maximum.at(x, np.concatenate([m for m, _ in found]), np.concatenate([v for _, v in found]))
         return x
 
 
 def landmark_words(texts: list[set[str]], labels: np.ndarray, n: int = LANDMARKS) -> list[str]:
-    """Words that most raise the odds of the toxic label, by the likelihood ratio of their presence."""
+    """Beginnings of words that most raise the odds of the toxic label, by the likelihood ratio of their presence; none adds to another that only toxic texts have."""
     n1, n0 = int(labels.sum()), int((labels == 0).sum())
     held: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for found, y in zip(texts, labels, strict=True):
-        held[int(y)].update({c for c in map(clean, found) if ORDER <= len(c) <= LONGEST})
+        words = {c for c in map(clean, found) if len(c) >= ORDER}
+        held[int(y)].update({w[:m] for w in words for m in range(SHORTEST, STRETCH + 1)} | {w for w in words if len(w) <= LONGEST})
     scored = []
     for w, a in held[1].items():
         b = held[0][w]
@@ -199,8 +250,14 @@ def landmark_words(texts: list[set[str]], labels: np.ndarray, n: int = LANDMARKS
         for x, m in ((a, n1), (b, n0)):
             q = x / m if m else 0.0
             ll += (x * math.log(q / p) if x else 0.0) + ((m - x) * math.log((1 - q) / (1 - p)) if m > x else 0.0)
-        scored.append((-ll, w))
-    return [w for ll, w in sorted(scored)[:n] if -ll > 3.0]
+        scored.append((-round(ll, 6), -len(w), w))
+    chosen: list[str] = []
+    pure: list[str] = []
+    for ll, _, w in sorted(scored):
+        if len(chosen) < n and -ll > LEAST_RATIO and not any(w.startswith(c) or c.startswith(w) for c in pure):
+            chosen.append(w)
+            pure += [w] * (50 * held[0][w] < held[1][w])
+    return chosen
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 60) -> tuple[np.ndarray, float]:
