@@ -10,7 +10,7 @@ straddle the end of a factor have places of their own, and so are checked too.
 
 One shuffle carries about nine bytes for each window, with repeats inside a task
 already folded into their first place, so that a passage held by a third of the
-corpus reaches a bucket once for each two million windows.
+corpus reaches a bucket once for each million windows.
 
 Windows are compared by 64-bit polynomial hashes of 64-bit word hashes.
 """
@@ -35,7 +35,7 @@ from .common import keep, words_of
 
 WINDOW = 20
 ANCHOR = 10
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 256
 
