@@ -19,7 +19,9 @@ import hashlib
 import heapq
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ SPACE = "▁"
 SAMPLES = 2
 SEED = 42
 #: Characters whose lattices are held at a time.
-CHUNK = 1_000_000
+CHUNK = 2_000_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _SLOTS = 1 << 20
 # Streams of random numbers apart from those of the edges.
@@ -105,7 +107,8 @@ class Lattices:
 
     cum[cell, l - 1]: cumulative probabilities of the last edge's length being up to l, given
     that a segmentation passes the cell; piece[cell, l - 1]: that edge's piece, or -1, or for
-    a character that no piece has, -2 minus its code point (its UTF-8 bytes are emitted).
+    a character beyond ASCII that no piece has, -2 minus its code point (its UTF-8 bytes are
+    emitted).
     """
 
     def __init__(self, pieces: Pieces, words: list[str]):
@@ -135,10 +138,11 @@ class Lattices:
         if not edges:
             edges = [np.full(cells, -1, np.int32)]
         alone = at & (edges[0] < 0)
-        edges[0][alone] = (-2 - chars[alone]).astype(np.int32)
+        edges[0][alone] = np.where(chars[alone] < 128, pieces.byte_ids[chars[alone] & 127], -2 - chars[alone]).astype(np.int32)
         self.piece = np.stack(edges, axis=1)
         self.width = self.piece.shape[1]
         log_weight = np.append(pieces.log_weight, [-40.0, -np.inf])  # [-2]: by bytes, [-1]: no edge
+        clipped = np.maximum(self.piece, -2)
         alpha = np.zeros(cells)
         self.cum = np.zeros((cells, self.width))
         by = np.argsort(-self.len, kind="stable")
@@ -146,11 +150,14 @@ class Lattices:
         for t in range(1, int(self.len.max(initial=0)) + 1):
             cell = self.first[by[: np.searchsorted(-ordered, -t, side="right")]] + t
             w = min(t, self.width)
-            c = log_weight[np.maximum(self.piece[cell, :w], -2)] + alpha[cell[:, None] - np.arange(1, w + 1)]
+            c = log_weight[clipped[cell, :w]]
+            c += alpha[cell[:, None] - np.arange(1, w + 1)]
             top = c.max(axis=1, keepdims=True)
-            p = np.cumsum(np.exp(c - top), axis=1)
-            alpha[cell] = top[:, 0] + np.log(p[:, -1])
-            self.cum[cell, :w] = p / p[:, -1:]
+            c -= top
+            p = np.cumsum(np.exp(c, out=c), axis=1, out=c)
+            total = p[:, -1:]
+            alpha[cell] = top[:, 0] + np.log(total[:, 0])
+            self.cum[cell, :w] = p / total
             self.cum[cell, w:] = 1.0
 
 
@@ -173,6 +180,7 @@ class Paths:
 
     def __init__(self, n_steps: np.ndarray, cell: np.ndarray, length: np.ndarray, p: np.ndarray):
         self.n_steps, self.cell, self.length, self.p = n_steps, cell, length, p
+        self.logs = p
 
 
 def sample(lat: Lattices, word: np.ndarray, cell: np.ndarray, key: np.ndarray, sample_no: int, token: np.ndarray) -> Paths:
@@ -225,7 +233,7 @@ class Search:
 
     def push(self, no: int, path: Paths, g: float, begin: int, excluded: tuple[int, ...], cum: np.ndarray) -> None:
         """Divide what is left of a node when its best member, sample `no`, is taken: a node for each edge from `begin` on."""
-        logs = np.log(path.p)
+        logs = path.logs
         before = np.cumsum(logs) - logs
         gone = path.p.copy()
         if excluded:
@@ -240,7 +248,9 @@ class Search:
         u = uniforms(np.uint64(self.key), np.full(len(at), _DIVIDE + no), at)
         bounds = _under(g, mass - np.log(-np.log(u)))
         # Only so many nodes as there are samples left, and one more, can be taken.
-        for i in np.argsort(-bounds, kind="stable")[: self.k + 1 - no]:
+        most = self.k + 1 - no
+        top = np.argpartition(-bounds, most - 1)[:most] if len(bounds) > most else np.arange(len(bounds))
+        for i in top[np.argsort(-bounds[top], kind="stable")]:
             heapq.heappush(self.queue, (-float(bounds[i]), self.n_nodes, no, int(at[i]), excluded if at[i] == begin else ()))
             self.n_nodes += 1
 
@@ -294,7 +304,8 @@ def searches(lat: Lattices, keys: list[int], tokens: list[np.ndarray], k: int) -
                     np.concatenate([parent.n_steps[:first], n]), np.concatenate([parent.cell[:at], [c], part.cell]),
                     np.concatenate([parent.length[:at], [edge + 1], part.length]), np.concatenate([parent.p[:at], [p], part.p]),
                 )
-            s.found.append((part, float(np.log(part.p).sum()), g))
+            part.logs = np.log(part.p)
+            s.found.append((part, float(part.logs.sum()), g))
             s.push(len(s.found), part, g, at, excluded, lat.cum)
             if s.queue and len(s.found) < k:
                 bound, _, of, where, gone = heapq.heappop(s.queue)
@@ -312,9 +323,13 @@ def ids_of(lat: Lattices, pieces: Pieces, path: Paths) -> np.ndarray:
     within = np.arange(len(path.cell)) - np.repeat(first, n)
     ids = np.empty(len(path.cell), np.int32)
     ids[np.repeat(first + n - 1, n) - within] = lat.piece[path.cell, path.length - 1]
-    if len(ids) and ids.min() < 0:
-        parts = [[i] if i >= 0 else pieces.byte_ids[list(chr(-2 - i).encode("utf-8", "surrogatepass"))] for i in ids.tolist()]
-        ids = np.concatenate([np.asarray(p, np.int32) for p in parts])
+    odd = np.flatnonzero(ids < 0)
+    if len(odd):
+        spelt = [pieces.byte_ids[list(chr(-2 - i).encode("utf-8", "surrogatepass"))] for i in ids[odd].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[odd] = [len(x) for x in spelt]
+        ids = np.repeat(ids, times)
+        ids[ids < 0] = np.concatenate(spelt)
     return ids
 
 
@@ -324,8 +339,8 @@ def key_of(row_key: object, seed: int) -> int:
 
 def sampled(pieces: Pieces, row_keys: list, texts: list[str | None], k: int, seed: int) -> list[tuple[list[np.ndarray], list[float], list[float], list[float]]]:
     """For each text: ids, log-probability, perturbed log-probability and log inclusion score of each sample, best first."""
-    number: dict[str, int] = {}
-    tokens = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(SPACE + t.replace(" ", SPACE))] if t else [], np.int64) for t in texts]
+    number: dict[str, int] = defaultdict(count().__next__)
+    tokens = [np.array(list(map(number.__getitem__, _WORD.findall(SPACE + t.replace(" ", SPACE)))) if t else [], np.int64) for t in texts]
     lat = Lattices(pieces, list(number))
     out = []
     for s in searches(lat, [key_of(r, seed) for r in row_keys], tokens, k):
