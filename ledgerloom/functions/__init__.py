@@ -1 +1 @@
-
+"""Column builders: text cleaning, rules, taxonomy."""

@@ -1 +1 @@
-
+"""Operators on ledgers, layouts and vectors."""

@@ -1 +1 @@
-
+"""Plans over the driver's tables."""

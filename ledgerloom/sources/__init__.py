@@ -1 +1 @@
-
+"""Readers and writers of statements, ledgers and prototypes."""
