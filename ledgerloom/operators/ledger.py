@@ -160,11 +160,11 @@ def weak_labels(rows: DataFrame, description: str = "narration", flag: str = "cr
     """(domain, label, phrase): deep-cleaned narrations of quality with each label their rules give, once each."""
     raw = F.col(description)
     phrase = text.deep_clean(raw)
-    labels = F.array(
-        F.struct(F.lit("Transaction Mode").alias("domain"), rules.first_rule(raw, rules.WEAK_MODE).alias("label")),
-        F.struct(F.lit("Transaction Direction"), rules.weak_direction(text.has_value(F.col("debit")), text.has_value(F.col("credit")), F.col(flag))),
-        F.struct(F.lit("Transaction Purpose"), rules.weak_purpose(raw)), F.struct(F.lit("Bank / Institution"), rules.first_rule(raw, rules.WEAK_BANK)),
-    )
+    found = {
+        "Transaction Mode": rules.first_rule(raw, rules.WEAK_MODE), "Transaction Direction": rules.weak_direction(text.has_value(F.col("debit")), text.has_value(F.col("credit")), F.col(flag)),
+        "Transaction Purpose": rules.weak_purpose(raw), "Bank / Institution": rules.first_rule(raw, rules.WEAK_BANK),
+    }
+    labels = F.array(*[F.struct(F.lit(d).alias("domain"), label.alias("label")) for d, label in found.items()])
     good = rows.withColumn("phrase", phrase).where(text.is_exemplar(F.col("phrase")))
     return good.select("phrase", F.inline(labels)).where("label is not null").select("domain", "label", "phrase").distinct()
 

@@ -114,7 +114,7 @@ def _scores(spark: SparkSession, sf_dir: str, pool: str = "max") -> DataFrame:
 
 
 def _pooled(pool: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: _scores(s, d, pool).select("id", F.col("label").cast("int").alias("label"), F.round("score", 4).alias("score"))
+    return lambda s, d: _scores(s, d, pool).select("id", F.col("label").cast("int").alias("label"), (F.round("score", 4) + 0.0).alias("score"))
 
 
 def _balances(df: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         f"{_V}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY mx DESC, label) AS r FROM m) SELECT id, CASE WHEN mx >= 0.3::DOUBLE THEN label::VARCHAR ELSE 'none' END AS label, round(mx, 4) AS score FROM k WHERE r = 1",
     ),
     "v8_top3_score": (_pooled("top3"), f"{_V} SELECT id, label, round(top3, 4) AS score FROM m"),
-    "v9_mean_score": (_pooled("mean"), f"{_V} SELECT id, label, round(mean, 4) AS score FROM m"),
+    "v9_mean_score": (_pooled("mean"), f"{_V} SELECT id, label, round(mean, 4) + 0.0::DOUBLE AS score FROM m"),
     "v10_presence": (
         lambda s, d: vectors.presence(_scores(s, d), ["0", "1", "2"], 0.3, {"2": 0.25}),
         f"{_V} SELECT id, " + ", ".join(f"round(max(mx) FILTER (WHERE label = {i}), 4) AS score_{i}" for i in range(3)) + ", " + ", ".join(f"CASE WHEN round(max(mx) FILTER (WHERE label = {i}), 4) >= {t}::DOUBLE THEN 'Yes' ELSE 'No' END AS has_{i}" for i, t in enumerate((0.3, 0.3, 0.25))) + " FROM m GROUP BY id",
