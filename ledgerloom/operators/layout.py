@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def detect_layout(cells: DataFrame) -> DataFrame:
     for i, (name, _, roles) in enumerate(LAYOUTS):
         here = F.col("h._n") == i
         out_id = F.when(here, name).otherwise(out_id)
-        places = F.array(*[F.struct(F.lit(r).alias("key"), (F.array_position(F.transform("h._c", lambda c, k=k: _any(c, k)), True) - 1).cast("int").alias("value")) for r, k in roles.items()])
+        places = F.array(*[F.struct(F.lit(r).alias("key"), (F.array_position(F.transform("h._c", _holds(k)), True) - 1).cast("int").alias("value")) for r, k in roles.items()])
         out_map = F.when(here, F.map_from_entries(F.filter(places, lambda x: x["value"] >= 0))).otherwise(out_map)
     return first.select("source_file", "page_num", "table_id", out_id.alias("layout"), F.col("h.row_idx").alias("header_row"), out_map.alias("columns"))
 
@@ -39,10 +41,14 @@ def _any(cell: Column, words: list[str]) -> Column:
     return out
 
 
+def _holds(words: list[str]) -> Callable[[Column], Column]:
+    return lambda c: _any(c, words)
+
+
 def _all_groups(groups: list[list[str]]) -> Column:
     out = F.lit(True)
     for g in groups:
-        out = out & F.exists("_c", lambda c, g=g: _any(c, g))
+        out = out & F.exists("_c", _holds(g))
     return out
 
 
