@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -236,27 +237,29 @@ class Features:
 def landmark_words(texts: list[set[str]], labels: np.ndarray, n: int = LANDMARKS) -> list[str]:
     """Beginnings of words that most raise the odds of the toxic label, by the likelihood ratio of their presence; none adds to another that only toxic texts have."""
     n1, n0 = int(labels.sum()), int((labels == 0).sum())
-    held: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for found, y in zip(texts, labels, strict=True):
-        words = {c for c in map(clean, found) if len(c) >= ORDER}
-        held[int(y)].update({w[:m] for w in words for m in range(SHORTEST, STRETCH + 1)} | {w for w in words if len(w) <= LONGEST})
     scored = []
-    for w, a in held[1].items():
-        b = held[0][w]
-        if a < 2 or a / n1 <= b / max(n0, 1):
-            continue
-        p = (a + b) / (n1 + n0)
-        ll = 0.0
-        for x, m in ((a, n1), (b, n0)):
-            q = x / m if m else 0.0
-            ll += (x * math.log(q / p) if x else 0.0) + ((m - x) * math.log((1 - q) / (1 - p)) if m > x else 0.0)
-        scored.append((-round(ll, 6), -len(w), w))
+    for m in (*range(SHORTEST, STRETCH + 1), 0):  # beginnings of each length, then whole words: one kind is held at a time
+        kinds = lambda found, m=m: {c[:m] if m else c for c in map(clean, found) if len(c) >= ORDER and (m or len(c) <= LONGEST)}
+        toxic = Counter(w for found, y in zip(texts, labels, strict=True) if y for w in kinds(found))
+        toxic = {w: a for w, a in toxic.items() if a >= 2}
+        other = Counter(w for found, y in zip(texts, labels, strict=True) if not y for w in kinds(found) & toxic.keys())
+        for w, a in toxic.items():
+            b = other[w]
+            if a / n1 <= b / max(n0, 1):
+                continue
+            p = (a + b) / (n1 + n0)
+            ll = 0.0
+            for x, of in ((a, n1), (b, n0)):
+                q = x / of if of else 0.0
+                ll += (x * math.log(q / p) if x else 0.0) + ((of - x) * math.log((1 - q) / (1 - p)) if of > x else 0.0)
+            if ll > LEAST_RATIO:
+                scored.append((-round(ll, 6), -len(w), w, 50 * b < a))
     chosen: list[str] = []
     pure: list[str] = []
-    for ll, _, w in sorted(scored):
-        if len(chosen) < n and -ll > LEAST_RATIO and not any(w.startswith(c) or c.startswith(w) for c in pure):
+    for _, _, w, only in sorted(set(scored)):
+        if len(chosen) < n and not any(w.startswith(c) or c.startswith(w) for c in pure):
             chosen.append(w)
-            pure += [w] * (50 * held[0][w] < held[1][w])
+            pure += [w] * only
     return chosen
 
 
@@ -307,7 +310,7 @@ class Model:
 
 def train(rows: list[tuple[str | None, int]]) -> Model:
     """Fit on (text, label). Without both labels, or without words that tell them apart, the score is constant."""
-    texts = [tokens_of(t) for t, _ in rows]
+    texts = [set(map(sys.intern, tokens_of(t))) for t, _ in rows]
     y = np.array([label for _, label in rows])
     marks = landmark_words(texts, y) if len(set(y.tolist())) == 2 else []
     if not marks:
@@ -315,8 +318,10 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
         return Model([], np.zeros(0), float(np.log(share / (1 - share))))
     kernel = Kernel(marks)
     features = Features(kernel)
-    features.learn(texts)
-    f = np.stack([features.of(t) for t in texts])
+    f = np.zeros((len(texts), len(marks)))
+    for lo in range(0, len(texts), 256):
+        features.learn(texts[lo : lo + 256])
+        f[lo : lo + 256] = [features.of(t) for t in texts[lo : lo + 256]]
     values, vectors = np.linalg.eigh(kernel.among())
     good = values > 1e-6 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])
