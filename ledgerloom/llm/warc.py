@@ -51,10 +51,15 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(value): each page as a WARC record, without the blank lines that end it."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("n", F.octet_length("html"))
-    # Digests alone are grouped; the payloads are dealt once, by digest, to meet their group's largest id.
-    largest = rows.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("largest"))
-    rows = rows.join(largest.hint("shuffle_hash"), rows["digest"] == largest["of"])
-    revisit = (F.col("n") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("largest"))
+    # Ids and digests alone are grouped. The rows that revisit are written first, so that their size
+    # is known when they meet the payloads: Spark sends them to every task if they are below its
+    # broadcast threshold, else both sides are dealt by digest and id.
+    ids = rows.select("digest", "page_id").where(F.col("n") >= least_bytes)
+    largest = ids.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = ids.join(largest, ids["digest"] == largest["of"]).where(~F.col("page_id").eqNullSafe(F.col("largest"))).select("of", F.col("page_id").alias("id"), "largest").distinct()
+    again = keep(again, "revisits")
+    rows = rows.join(again, (rows["digest"] == again["of"]) & rows["page_id"].eqNullSafe(again["id"]), "left")
+    revisit = F.col("of").isNotNull()
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     uri = F.replace(F.replace(F.replace("url", F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
