@@ -142,23 +142,35 @@ class Lattices:
         self.piece = np.stack(edges, axis=1)
         self.width = self.piece.shape[1]
         log_weight = np.append(pieces.log_weight, [-40.0, -np.inf])  # [-2]: by bytes, [-1]: no edge
+        # Probabilities of short words can't underflow; those of longer ones are summed as logs.
+        short = int(600 // -log_weight[:-1].min())
+        self.cum = np.ones((cells, self.width))
         clipped = np.maximum(self.piece, -2)
-        alpha = np.zeros(cells)
-        self.cum = np.zeros((cells, self.width))
-        by = np.argsort(-self.len, kind="stable")
+        self._forward(np.flatnonzero(self.len <= short), np.exp(log_weight)[clipped], False)
+        if len(long := np.flatnonzero(self.len > short)):
+            self._forward(long, log_weight[clipped], True)
+
+    def _forward(self, words: np.ndarray, weight: np.ndarray, logs: bool) -> None:
+        """Fill `cum` for some words; `weight` (log weight, with `logs`) holds what each edge weighs."""
+        alpha = np.full(len(weight), 0.0 if logs else 1.0)
+        by = words[np.argsort(-self.len[words], kind="stable")]
         ordered = self.len[by]
-        for t in range(1, int(self.len.max(initial=0)) + 1):
+        back = np.arange(1, self.width + 1)
+        for t in range(1, int(ordered.max(initial=0)) + 1):
             cell = self.first[by[: np.searchsorted(-ordered, -t, side="right")]] + t
             w = min(t, self.width)
-            c = log_weight[clipped[cell, :w]]
-            c += alpha[cell[:, None] - np.arange(1, w + 1)]
-            top = c.max(axis=1, keepdims=True)
-            c -= top
-            p = np.cumsum(np.exp(c, out=c), axis=1, out=c)
-            total = p[:, -1:]
-            alpha[cell] = top[:, 0] + np.log(total[:, 0])
-            self.cum[cell, :w] = p / total
-            self.cum[cell, w:] = 1.0
+            c = weight[cell, :w]
+            before = alpha[cell[:, None] - back[:w]]
+            if logs:
+                c += before
+                top = c.max(axis=1, keepdims=True)
+                p = np.cumsum(np.exp(c - top), axis=1)
+                alpha[cell] = top[:, 0] + np.log(p[:, -1])
+            else:
+                c *= before
+                p = np.cumsum(c, axis=1)
+                alpha[cell] = p[:, -1]
+            self.cum[cell, :w] = p / p[:, -1:]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -244,14 +256,14 @@ class Search:
         if not len(open_):
             return
         at = open_ + begin
-        mass = before[at] + np.log(rest[open_])
-        u = uniforms(np.uint64(self.key), np.full(len(at), _DIVIDE + no), at)
-        bounds = _under(g, mass - np.log(-np.log(u)))
-        # Only so many nodes as there are samples left, and one more, can be taken.
+        u = uniforms(np.uint64(self.key), _DIVIDE + no, at)
+        free = before[at] + np.log(rest[open_] / -np.log(u))
+        # Only so many nodes as there are samples left, and one more, can be taken; truncation keeps their order.
         most = self.k + 1 - no
-        top = np.argpartition(-bounds, most - 1)[:most] if len(bounds) > most else np.arange(len(bounds))
-        for i in top[np.argsort(-bounds[top], kind="stable")]:
-            heapq.heappush(self.queue, (-float(bounds[i]), self.n_nodes, no, int(at[i]), excluded if at[i] == begin else ()))
+        top = np.argpartition(-free, most - 1)[:most] if len(free) > most else np.arange(len(free))
+        top = top[np.argsort(-free[top], kind="stable")]
+        for i, bound in zip(top.tolist(), _under(g, free[top]).tolist(), strict=True):
+            heapq.heappush(self.queue, (-bound, self.n_nodes, no, int(at[i]), excluded if at[i] == begin else ()))
             self.n_nodes += 1
 
 
