@@ -119,7 +119,7 @@ class Lattices:
         at = np.ones(cells, bool)
         at[self.first] = False
         chars[at] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        edges: list[np.ndarray] = []
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
         starts = np.arange(cells)
         last = np.repeat(self.first + self.len, self.len + 1)
         starts = starts[starts < last]
@@ -132,35 +132,34 @@ class Lattices:
             starts, node = starts[alive], node[alive]
             if not len(starts):
                 break
-            column = np.full(cells, -1, np.int32)
-            column[starts + length] = pieces.ends[node]
-            edges.append(column)
-        if not edges:
-            edges = [np.full(cells, -1, np.int32)]
-        alone = at & (edges[0] < 0)
-        edges[0][alone] = np.where(chars[alone] < 128, pieces.byte_ids[chars[alone] & 127], -2 - chars[alone]).astype(np.int32)
-        self.piece = np.stack(edges, axis=1)
-        self.width = self.piece.shape[1]
+            ends = pieces.ends[node]
+            edges.append((starts[ends >= 0] + length, ends[ends >= 0]))
+        self.width = max(len(edges), 1)
+        self.piece = np.full((cells, self.width), -1, np.int32)
+        for i, (cell, piece) in enumerate(edges):
+            self.piece[cell, i] = piece
+        alone = at & (self.piece[:, 0] < 0)
+        self.piece[alone, 0] = np.where(chars[alone] < 128, pieces.byte_ids[chars[alone] & 127], -2)
         log_weight = np.append(pieces.log_weight, [-40.0, -np.inf])  # [-2]: by bytes, [-1]: no edge
         # Probabilities of short words can't underflow; those of longer ones are summed as logs.
         short = int(600 // -log_weight[:-1].min())
         self.cum = np.ones((cells, self.width))
-        clipped = np.maximum(self.piece, -2)
-        self._forward(np.flatnonzero(self.len <= short), np.exp(log_weight)[clipped], False)
-        if len(long := np.flatnonzero(self.len > short)):
-            self._forward(long, log_weight[clipped], True)
+        self._forward(np.flatnonzero(self.len <= short), np.exp(log_weight), False)
+        self._forward(np.flatnonzero(self.len > short), log_weight, True)
+        spelt = np.flatnonzero(self.piece[:, 0] == -2)
+        self.piece[spelt, 0] = -2 - chars[spelt]
 
     def _forward(self, words: np.ndarray, weight: np.ndarray, logs: bool) -> None:
-        """Fill `cum` for some words; `weight` (log weight, with `logs`) holds what each edge weighs."""
-        alpha = np.full(len(weight), 0.0 if logs else 1.0)
+        """Fill `cum` for some words; `weight` (log weight, with `logs`) holds what each piece weighs."""
+        alpha = np.full(len(self.cum), 0.0 if logs else 1.0)
         by = words[np.argsort(-self.len[words], kind="stable")]
         ordered = self.len[by]
         back = np.arange(1, self.width + 1)
         for t in range(1, int(ordered.max(initial=0)) + 1):
             cell = self.first[by[: np.searchsorted(-ordered, -t, side="right")]] + t
             w = min(t, self.width)
-            c = weight[cell, :w]
-            before = alpha[cell[:, None] - back[:w]]
+            c = weight.take(self.piece.take(cell, axis=0)[:, :w])
+            before = alpha.take(cell[:, None] - back[:w])
             if logs:
                 c += before
                 top = c.max(axis=1, keepdims=True)
@@ -179,11 +178,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def stream(key: np.ndarray, a: np.ndarray | int) -> np.ndarray:
+    """The start of a stream of random numbers."""
+    with np.errstate(over="ignore"):
+        return _mix(np.asarray(key, np.uint64) + np.asarray(a, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def uniforms(key: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1), a function of their arguments alone."""
+    return drawn_from(stream(key, a), b)
+
+
+def drawn_from(start: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = _mix(np.asarray(key, np.uint64) + np.asarray(a, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        x = _mix(x + np.asarray(b, np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        x = _mix(start + np.asarray(b, np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
@@ -198,21 +206,22 @@ class Paths:
 def sample(lat: Lattices, word: np.ndarray, cell: np.ndarray, key: np.ndarray, sample_no: int, token: np.ndarray) -> Paths:
     """Draw edges backwards from a cell of each word to its start."""
     active = np.flatnonzero(cell > lat.first[word])
-    cell = cell.copy()
     steps = []
     n_steps = np.zeros(len(word), np.int64)
-    salt = token.astype(np.int64) * 4096 + sample_no
+    start, first = stream(key, token.astype(np.int64) * 4096 + sample_no)[active], lat.first[word[active]]
+    at = cell[active]
     while len(active):
-        at = cell[active]
-        cum = lat.cum[at]
-        u = uniforms(key[active], salt[active], (at - lat.first[word[active]]).astype(np.uint64))
-        k = np.minimum((cum < u[:, None]).sum(axis=1), lat.width - 1)
-        rows = np.arange(len(k))
-        p = cum[rows, k] - np.where(k > 0, cum[rows, k - 1], 0.0)
+        cum = lat.cum.take(at, axis=0)
+        u = drawn_from(start, at - first)
+        below = cum < u[:, None]
+        k = np.minimum(np.einsum("ij->i", below.view(np.int8)).astype(np.int64) if lat.width < 128 else below.sum(axis=1), lat.width - 1)
+        flat, place = cum.ravel(), np.arange(0, cum.size, lat.width) + k
+        p = flat[place] - np.where(k > 0, flat[place - 1], 0.0)
         steps.append((active, at, k + 1, p))
         n_steps[active] += 1
-        cell[active] = at - (k + 1)
-        active = active[cell[active] > lat.first[word[active]]]
+        at = at - (k + 1)
+        left = np.flatnonzero(at > first)
+        active, at, start, first = active[left], at[left], start[left], first[left]
     offset = np.cumsum(n_steps) - n_steps
     total = int(n_steps.sum())
     out_cell, out_len, out_p = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
@@ -345,6 +354,13 @@ def ids_of(lat: Lattices, pieces: Pieces, path: Paths) -> np.ndarray:
     return ids
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, each without the space mark that it starts with."""
+    if text[0] == " " or "  " in text or SPACE in text:
+        return [w[1:] for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
+
+
 def key_of(row_key: object, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}\0{row_key!r}".encode(), digest_size=8).digest(), "little")
 
@@ -352,8 +368,8 @@ def key_of(row_key: object, seed: int) -> int:
 def sampled(pieces: Pieces, row_keys: list, texts: list[str | None], k: int, seed: int) -> list[tuple[list[np.ndarray], list[float], list[float], list[float]]]:
     """For each text: ids, log-probability, perturbed log-probability and log inclusion score of each sample, best first."""
     number: dict[str, int] = defaultdict(count().__next__)
-    tokens = [np.array(list(map(number.__getitem__, _WORD.findall(SPACE + t.replace(" ", SPACE)))) if t else [], np.int64) for t in texts]
-    lat = Lattices(pieces, list(number))
+    tokens = [np.array(list(map(number.__getitem__, words_of(t))) if t else [], np.int64) for t in texts]
+    lat = Lattices(pieces, [SPACE + w for w in number])
     out = []
     for s in searches(lat, [key_of(r, seed) for r in row_keys], tokens, k):
         # The threshold: the largest perturbed log-probability not taken.
