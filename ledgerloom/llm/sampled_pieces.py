@@ -37,7 +37,7 @@ SPACE = "▁"
 SAMPLES = 2
 SEED = 42
 #: Characters whose lattices are held at a time.
-CHUNK = 2_000_000
+CHUNK = 400_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _SLOTS = 1 << 20
 # Streams of random numbers apart from those of the edges.
