@@ -37,6 +37,8 @@ DECAY = 0.5
 POWER = 3
 LEAST = 0.3
 CACHE = 300_000
+#: Starts in long tokens that are held at a time.
+WINDOWS = 4096
 PENALTY = 1e-4
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
@@ -61,8 +63,8 @@ def codes(words: list[str], width: int) -> np.ndarray:
     return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
 
 
-def raw_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted subsequence kernel of word pairs, by its recursion over prefixes, for all pairs at a time."""
+def _kept(s: np.ndarray, t: np.ndarray, order: int, decay: float) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """Where letters of word pairs are equal, and the weights of all shorter subsequences before each pair of letters, by the kernel's recursion over prefixes."""
     n, a, b = len(s), s.shape[1], t.shape[1]
     same = [[((s[:, i] == t[:, j]) & (s[:, i] > 0)) for j in range(b)] for i in range(a)]
     kept = np.ones((a + 1, b + 1, n), np.float32)
@@ -74,25 +76,47 @@ def raw_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float =
                 run = decay * (run + decay * kept[i - 1, j - 1] * same[i - 1][j - 1])
                 new[i, j] = decay * new[i - 1, j] + run
         kept = new
-    total = np.zeros(n, np.float64)
-    for i in range(a):
-        for j in range(b):
+    return same, kept
+
+
+def raw_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """Gap-weighted subsequence kernel of word pairs, for all pairs at a time."""
+    same, kept = _kept(s, t, order, decay)
+    total = np.zeros(len(s), np.float64)
+    for i in range(s.shape[1]):
+        for j in range(t.shape[1]):
             total += decay * decay * kept[i, j] * same[i][j]
     return total
 
 
+def prefix_kernels(s: np.ndarray, t: np.ndarray | None = None, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """The kernel of each prefix of `s`, a column for its length less one, with the whole of `t`, or with itself."""
+    same, kept = _kept(s, s if t is None else t, order, decay)
+    gained = np.zeros((s.shape[1], len(s)), np.float64)
+    for i in range(s.shape[1]):
+        for j in range(s.shape[1] if t is None else t.shape[1]):
+            gained[max(i, j) if t is None else i] += decay * decay * kept[i, j] * same[i][j]
+    return np.cumsum(gained, axis=0).T
+
+
 def letters(c: np.ndarray) -> np.ndarray:
     """A set of 64 letter classes for each row of code points."""
-    bits = np.where(c > 0, np.uint64(1) << (c.astype(np.uint64) % np.uint64(64)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+    return np.bitwise_or.reduce(classes(c), axis=1)
+
+
+def classes(c: np.ndarray) -> np.ndarray:
+    """Each code point's letter class, as a set of one."""
+    return np.where(c > 0, np.uint64(1) << (c.astype(np.uint64) % np.uint64(64)), np.uint64(0))
 
 
 class Kernel:
     """Powers of the normalised kernel, sparse: zero below LEAST.
 
     Landmarks of up to STRETCH characters meet every stretch of a word, by a table of the
-    landmarks' subsequences; the longer ones meet whole words, by the recursion. A whole word
-    that lacks two letters of a landmark, or is over twice its length plus two, counts as zero.
+    landmarks' subsequences; the longer ones meet whole words of up to LONGEST, by the recursion.
+    A word that lacks two letters of a landmark, or is over twice its length plus two, counts as
+    zero. Of a token beyond LONGEST the longer landmarks meet every part that is a word to them
+    by these rules, wherever it begins and ends.
     """
 
     def __init__(self, landmarks: list[str]):
@@ -167,9 +191,44 @@ class Kernel:
         good = v >= LEAST
         return r[good], self.long[n[good]], v[good]
 
+    def windows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of words beyond LONGEST: a word's best part for each longer landmark.
+
+        A part that begins with a letter that the landmark lacks is no better than without it.
+        One recursion from each start gives the parts of all lengths.
+        """
+        most = 2 * LONGEST + 2
+        # Words end to end, with zeros between them that no part reaches over.
+        flat = np.array("".join(w + "\0" * most for w in words), dtype=str).reshape(1).view(np.uint32) if words else np.zeros(0, np.uint32)
+        lens = np.array([len(w) for w in words], np.int64)
+        owner = np.repeat(np.arange(len(words)), lens)
+        starts = np.arange(lens.sum()) + owner * most
+        best: dict[int, float] = {}
+        for lo in range(0, len(starts), WINDOWS):
+            c = flat[starts[lo : lo + WINDOWS, None] + np.arange(most)]
+            of, sets = owner[lo : lo + WINDOWS], np.bitwise_or.accumulate(classes(c), axis=1)
+            widths = 2 * self.long_lens + 2
+            pairs = [np.flatnonzero((sets[:, 0] & self.sets[n] > 0) & (np.bitwise_count(sets[:, widths[n] - 1] & self.sets[n]) >= self.least_letters[n])) for n in range(len(self.long))]
+            used = np.unique(np.concatenate(pairs))
+            if not len(used):
+                continue
+            place = np.zeros(len(c), np.int64)
+            place[used] = np.arange(len(used))
+            own = np.sqrt(np.maximum(prefix_kernels(c[used]), 1e-30))
+            for n, r in enumerate(pairs):
+                if len(r):
+                    w = int(widths[n])
+                    v = prefix_kernels(c[r, :w], np.broadcast_to(self.long_codes[n, : self.long_lens[n]], (len(r), self.long_lens[n]))) / (own[place[r], :w] * self.norm[self.long[n]])
+                    v = np.where(np.bitwise_count(sets[r, :w] & self.sets[n]) >= self.least_letters[n], v, 0.0).max(axis=1)
+                    for i in np.flatnonzero(v >= LEAST).tolist():
+                        key = int(of[r[i]]) * len(self.words) + int(self.long[n])
+                        best[key] = max(best.get(key, 0.0), float(v[i]))
+        keys = np.array(list(best), np.int64)
+        return keys // len(self.words), keys % len(self.words), np.array(list(best.values()), np.float64)
+
     def of_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token numbers (ascending), landmark numbers and values: the kernel to the power, of each stretch and whole."""
-        flat, owner = [], []
+        """Token numbers (ascending), landmark numbers and values: the kernel to the power, of each stretch, whole and long token's best part."""
+        flat, owner, beyond = [], [], []
         for i, token in enumerate(tokens):
             word = clean(token)
             if len(word) <= LONGEST:
@@ -181,6 +240,7 @@ class Kernel:
                 found = [word[at : at + LONGEST] for at in range(0, len(word) - STRETCH + 1, step)]
                 flat += found
                 owner += [-1 - i] * len(found)
+                beyond.append((i, word))
         if not flat or not self.words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         c, who = codes(flat, LONGEST), np.array(owner)
@@ -195,6 +255,9 @@ class Kernel:
         if len(self.long) and len(whole):
             r, m, v = self.wholes(c[whole])
             got.append((token_of[whole[r]], m, v))
+        if len(self.long) and beyond:
+            r, m, v = self.windows([word for _, word in beyond])
+            got.append((np.array([i for i, _ in beyond])[r], m, v))
         t, m, v = (np.concatenate(x) for x in zip(*got, strict=True))
         by = np.argsort(t, kind="stable")
         return t[by], m[by], v[by] ** POWER

@@ -229,6 +229,26 @@ def test_toxicity_tolerates_gaps():
     assert 0 <= score(None) < 0.5 and 0 <= toxicity.train([]).score(np.zeros(0)) <= 1
 
 
+def test_toxicity_long_landmarks_meet_long_tokens():
+    k = toxicity.Kernel(["blockhead", "moronic"])
+    value = lambda w: {k.words[m]: v for _, m, v in zip(*k.of_tokens([w]))}.get("blockhead", 0.0)
+    for glued in ("you-absolute-blockhead", "blockhead/of/the/year", "youabsoluteblockheadyou", "x" * 5000 + "blockhead" + "y" * 5000):
+        assert value(glued) == pytest.approx(1.0, abs=1e-5)
+
+    def brute(word, mark="blockhead"):  # every part that the rules for whole words admit
+        best = 0.0
+        for i in range(len(word)):
+            for j in range(i + 3, min(len(word), i + 2 * len(mark) + 2) + 1):
+                if len(set(mark) - set(word[i:j])) <= 1:
+                    a, b = toxicity.codes([word[i:j]], 20), toxicity.codes([mark], 14)
+                    best = max(best, toxicity.raw_kernel(a, b)[0] / math.sqrt(toxicity.raw_kernel(a, a)[0] * toxicity.raw_kernel(b, b)[0]))
+        return best**toxicity.POWER if best >= toxicity.LEAST else 0.0
+
+    for inserted in ("blo1ckh1eadblo1ckh", "bloc-k1-head--of--them", "yyyblo0ck0hheadyyyy", "bllockkhheaadzzzzz", "thisisaverylongcleanword"):
+        assert len(toxicity.clean(inserted)) > 14 and value(inserted) == pytest.approx(brute(toxicity.clean(inserted)), abs=1e-4)
+    assert all(value(w) > 0.1 for w in ("blo1ckh1eadblo1ckh", "bloc-k1-head--of--them", "bllockkhheaadzzzzz"))
+
+
 def test_toxicity_kernel_by_table_is_the_recursion():
     k = toxicity.Kernel(["moron", "idiotic", "dimwitted"])
     words = ["morons", "xmoronx", "idiotic", "dimwittedly", "aaa", "m"]
