@@ -148,18 +148,31 @@ _CLASSIFIED = f"""{_B} SELECT o_orderkey, {_rule_sql('eval_text', rules.MODE, 'O
 
 
 def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", "text", (F.col("doc_id") % 4).cast("int").alias("cluster"))
+    """What the SQL of t9_tokens reads."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whatever its language; rows are told apart by number, as ids may be null or repeated."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.monotonically_increasing_id().alias("row"), "text").persist()
+
+
+def _clustered(docs: DataFrame) -> DataFrame:
+    """(row, vector, cluster): K-means on TF-IDF."""
+    return clusters.k_means(clusters.tf_idf(docs, "row", "text")[0])[0]
 
 
 def _tfidf_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = clusters.tf_idf(_english(spark, sf_dir).drop("cluster"), "doc_id", "text")
-    return clusters.sizes(clusters.k_means(rows)[0])
+    return clusters.sizes(_clustered(_documents(spark, sf_dir)))
+
+
+def _keyword_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return clusters.keyword_ranks(docs.join(_clustered(docs).select("row", "cluster"), "row"), "text")
 
 
 def _svd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.singular_values(clusters.tf_idf(_english(spark, sf_dir).drop("cluster"), "doc_id", "text")[0])
+    return clusters.singular_values(clusters.tf_idf(_documents(spark, sf_dir), "row", "text")[0])
 
 
 def _embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +232,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     ),
     "a4_mode_breakdown": (_b(lambda b: ledger.breakdown(_classified(b), "mode")), f"WITH c AS ({_CLASSIFIED}) SELECT mode, count(*) AS n FROM c GROUP BY mode ORDER BY n DESC, mode"),
     "a4_purpose_breakdown": (_b(lambda b: ledger.breakdown(_classified(b), "purpose")), f"WITH c AS ({_CLASSIFIED}) SELECT purpose, count(*) AS n FROM c GROUP BY purpose ORDER BY n DESC, purpose"),
-    "a6_w2_keyword_ranks": (lambda s, d: clusters.keyword_ranks(_english(s, d), "text"), None),
+    "a6_w2_keyword_ranks": (_keyword_ranks, None),
     "a7_weak_labels": (_b(lambda b: ledger.weak_labels(b)), f"{_WEAK} SELECT domain, label, phrase FROM w"),
     "a8_rows_per_file": (_b(lambda b: b.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))), f"{_B} SELECT file_id, count(*) AS n FROM b GROUP BY file_id"),
     "a9_exemplars_per_domain": (
@@ -266,7 +279,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     ),
     "c2_tfidf_kmeans": (_tfidf_clusters, None),
     "c3_a5_embedding_kmeans": (_embedding_clusters, None),
-    "c5_k8_keyword_report": (lambda s, d: clusters.keyword_report(clusters.keyword_ranks(_english(s, d), "text")), None),
+    "c5_k8_keyword_report": (lambda s, d: clusters.keyword_report(_keyword_ranks(s, d)), None),
     "c6_svd": (_svd, None),
     "c7_pca": (lambda s, d: clusters.project_pca(s.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding"), None),
 }

@@ -1,9 +1,14 @@
 """Golden narrations, the balance engine, filters and stores."""
 
+import math
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules, text
 from ledgerloom.operators import ledger, vectors
+from ledgerloom.plans.queries import REGISTRY
 from ledgerloom.sources import documents, stores
 
 GOLDEN = [
@@ -91,3 +96,30 @@ def test_sources_and_stores(spark, tmp_path):
     real = spark.createDataFrame([("Transaction Mode", "UPI", 1, "new one"), ("Transaction Mode", "NEW", 1, "other")], "domain string, label string, rank int, phrase string")
     merged = ledger.merge_exemplars(tax, real).where("domain = 'Transaction Mode' and label in ('UPI', 'NEW')").orderBy("label", "rank").collect()
     assert [(r.label, r["rank"]) for r in merged] == [("NEW", 0), ("UPI", 0), ("UPI", 1), ("UPI", 2)]
+
+
+def test_document_clusters_take_every_language(spark, tmp_path):
+    subjects = ["river stone bridge water", "garten blume baum haus", "fromage pain vin soleil", "playa arena barco mar"]
+    kinds = [(0, 0, 0, 0, 1, 1, 1, 2, 2, 3)[i % 10] for i in range(40)]  # unequal numbers, so that no singular value is repeated
+    rows = [(i, f"{subjects[k]} {subjects[k].split()[i % 3]}", ["en", "de", None, "es"][k]) for i, k in enumerate(kinds)]
+    rows += [(None, subjects[0], "en"), (None, subjects[1], "de"), (3, subjects[3], "es"), (3, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = {r["cluster"]: r["n"] for r in REGISTRY["c2_tfidf_kmeans"][0](spark, str(tmp_path)).collect()}
+    assert sum(sizes.values()) == len(rows)
+    ranks = REGISTRY["a6_w2_keyword_ranks"][0](spark, str(tmp_path)).collect()
+    assert {r["cluster"]: r["total_records"] for r in ranks}.items() <= sizes.items()
+    found, of = {}, {}
+    for r in ranks:
+        found[r["keyword"]] = found.get(r["keyword"], 0) + r["frequency"]
+        of.setdefault(r["keyword"], set()).add(r["cluster"])
+    assert found == Counter(w for _, t, _ in rows for w in (t or "").split())
+    assert all(len({frozenset(of[w]) for w in s.split()}) == 1 and len(of[s.split()[0]]) == 1 for s in subjects)  # real clusters, not ids modulo four
+    assert REGISTRY["c5_k8_keyword_report"][0](spark, str(tmp_path)).count() == len(ranks)
+    x = np.zeros((len(rows), 16))
+    words = sorted(found)
+    for i, (_, t, _) in enumerate(rows):
+        for w, n in Counter((t or "").split()).items():
+            x[i, words.index(w)] = n * (math.log((1 + len(rows)) / (1 + sum(w in (u or "").split() for _, u, _ in rows))) + 1)
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    svd = [r["value"] for r in REGISTRY["c6_svd"][0](spark, str(tmp_path)).orderBy("no").collect()]
+    assert np.allclose(svd, np.linalg.svd(x)[1][:2])
