@@ -23,10 +23,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document that names it stays: the one with the smallest doc_id."""
-    found = simhash.simhash_components(docs.select("doc_id", "text"))
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(heads.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Of each component one row stays: that with the smallest doc_id, nulls last, the first in the table among rows that repeat it."""
+    docs = docs.select(*COLUMNS)
+    n_rows, n_ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    keyed = substring_dedup.unique_key(docs, "doc_id", n_rows, n_ids)
+    found = simhash.simhash_components(keyed.select("key", "text"), "key")
+    heads = found.where("key = component_id").select(F.col("key").alias("_key"))
+    return keyed.join(heads.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left_semi").select(*COLUMNS)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

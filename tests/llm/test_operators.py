@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import ann, chat, mixing, quality, queries, sampled_pieces, simhash, substring_dedup, toxicity, urls, warc
 
 DATA = "/root/testdata/sf0.001"
@@ -261,3 +262,24 @@ def test_toxicity_kernel_by_table_is_the_recursion():
             own = math.sqrt(toxicity.raw_kernel(a, a)[0] * toxicity.raw_kernel(b, b)[0])
             best.append((toxicity.raw_kernel(a, b)[0] / own if own else 0.0) ** toxicity.POWER)
         assert min(abs(x - y) for y in best) < 1e-5
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(400)], 80)) for _ in range(6)]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[0]), (None, None), (None, ""), (4, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", 0) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    left, groups = list(range(len(rows))), []
+    fps = [simhash.fingerprint_of(t) & (2**64 - 1) for _, t in rows]
+    while left:
+        group, front = set(), [left[0]]
+        while front:
+            i = front.pop()
+            group.add(i)
+            front += [j for j in left if j not in group and (fps[i] ^ fps[j]).bit_count() <= 3 and j not in front]
+        left = [i for i in left if i not in group]
+        groups.append(group)
+    heads = {min(g, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)) for g in groups}
+    kept = [r["source"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(f"s{i}" for i in heads)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
