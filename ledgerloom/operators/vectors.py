@@ -1,7 +1,7 @@
 """Vector operators: normalisation, prototype scores, gates, centroids, pooled class scores.
 
 Prototypes are the exemplars of a taxonomy, a few hundred; their size is checked before they
-are sent to every task, and a join takes over beyond PROTOTYPES.
+are sent to every task. Beyond PROTOTYPES they are joined in blocks of about that number.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ def label_scores(vectors: DataFrame, prototypes: DataFrame, pool: str = "max") -
     pool: `max`, `top3` (mean of the three best) or `mean`. All prototypes travel as one array with
     the label set, so rows are neither multiplied nor shuffled before their scores are ready.
     """
-    if prototypes.count() > PROTOTYPES:
-        raise ValueError("prototypes are meant to be a taxonomy's; use an index for more")
+    n = prototypes.count()
+    if n > PROTOTYPES:
+        return _blocked_scores(vectors, prototypes, pool, -(-n // PROTOTYPES))
     labels = prototypes.groupBy("label", "label_rank").agg(F.collect_list("v").alias("ps"))
     packed = F.broadcast(labels.agg(F.array_sort(F.collect_list(F.struct("label_rank", "label", "ps"))).alias("all_")))
     both = vectors.join(packed)
@@ -40,6 +41,19 @@ def label_scores(vectors: DataFrame, prototypes: DataFrame, pool: str = "max") -
     return scored.select("id", "s.label", "s.label_rank", "s.score")
 
 
+def _blocked_scores(vectors: DataFrame, prototypes: DataFrame, pool: str, blocks: int) -> DataFrame:
+    """The same, a block of prototypes at a time: a label's partial maximum, sum and three best are pooled over its blocks."""
+    labels = prototypes.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).groupBy("_block", "label", "label_rank").agg(F.collect_list("v").alias("ps"))
+    packed = labels.groupBy("_block").agg(F.collect_list(F.struct("label_rank", "label", "ps")).alias("all_"))
+    both = vectors.withColumn("_row", F.monotonically_increasing_id()).crossJoin(packed)  # rows may repeat an id
+    part = lambda p: F.struct(p["label"].alias("label"), p["label_rank"].alias("label_rank"), F.transform(p["ps"], lambda q: dot(F.col("v"), q)).alias("s"))
+    each = both.select("_row", "id", F.explode(F.transform("all_", part)).alias("p")).select("_row", "id", "p.label", "p.label_rank", "p.s")
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    best = F.slice(F.sort_array(F.flatten(F.collect_list(F.slice(F.sort_array("s", False), 1, 3))), False), 1, 3)
+    pooled = {"max": F.max(F.array_max("s")), "top3": F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best), "mean": F.sum(total) / F.sum(F.size("s"))}[pool]
+    return each.groupBy("_row", "id", "label", "label_rank").agg(pooled.alias("score")).select("id", "label", "label_rank", "score")
+
+
 def best_label(scores: DataFrame, gate: float | None = None, default: str | None = None) -> DataFrame:
     """(id, label, score): the best label, the first by rank among equals, or the default below the gate."""
     best = scores.groupBy("id").agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("label_rank"))).alias("b")).select("id", "b.label", "b.score")

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules, text
@@ -123,3 +124,14 @@ def test_document_clusters_take_every_language(spark, tmp_path):
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
     svd = [r["value"] for r in REGISTRY["c6_svd"][0](spark, str(tmp_path)).orderBy("no").collect()]
     assert np.allclose(svd, np.linalg.svd(x)[1][:2])
+
+
+@pytest.mark.parametrize("pool", ["max", "top3", "mean"])
+def test_more_prototypes_than_are_sent_at_once(spark, monkeypatch, pool):
+    rng = np.random.default_rng(2)
+    protos = spark.createDataFrame([(str(i % 3), i % 3, rng.normal(size=4).tolist()) for i in range(23)], "label string, label_rank int, v array<double>")
+    rows = spark.createDataFrame([(i // 2, rng.normal(size=4).tolist()) for i in range(6)], "id int, v array<double>")
+    key = lambda df: sorted((r["id"], r["label"], r["label_rank"], round(r["score"], 9)) for r in df.collect())
+    whole = key(vectors.label_scores(rows, protos, pool))
+    monkeypatch.setattr(vectors, "PROTOTYPES", 5)
+    assert key(vectors.label_scores(rows, protos, pool)) == whole and len(whole) == 18
