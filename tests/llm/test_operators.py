@@ -283,3 +283,16 @@ def test_near_dedup_keeps_one_row_of_each_component(spark):
     kept = [r["source"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(kept) == sorted(f"s{i}" for i in heads)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_ann_recall_of_the_pruned_search(spark):
+    x = np.random.default_rng(9).normal(size=(20_000, 24))  # files of about 141 rows, so that footrule drops some
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    asked = range(0, len(x), 400)
+    got = defaultdict(set)
+    for r in ann.search(rows, rows.where("vec_id % 400 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = {i: set(np.argsort(-np.where(np.arange(len(x)) == i, -9, u @ u[i]))[: ann.TOP].tolist()) for i in asked}
+    recall = np.mean([len(got[i] & exact[i]) / ann.TOP for i in asked])
+    assert recall >= 0.9, recall
