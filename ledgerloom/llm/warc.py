@@ -3,8 +3,9 @@
 Archives are written by Spark's text sink, one record after the other, and read back as
 binary files, which works in any store that Spark reads. The index holds one line for each
 capture in order of its reversed-host URL key, in compressed blocks; a sparse directory has
-one row for each block. A look-up searches the directory by bisection, opens one block, and
-cuts the record's byte range from its archive.
+one row for each block. A look-up searches the directory by bisection, opens one block for
+the key, and cuts the record's byte range; to find what revisits refer to it still opens all
+blocks, and it reads the archives whole.
 """
 
 from __future__ import annotations
