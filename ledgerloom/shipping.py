@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes that a Python worker gets at a time, where the session leaves Spark's defaults: whole texts are long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once for each application."""
+    """Send the package's sources to the executors, once for each application, and bound their batches."""
+    for name, (default, bound) in BATCH.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, bound)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
