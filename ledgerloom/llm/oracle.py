@@ -36,10 +36,10 @@ p AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS s, w FROM d WHERE len(w) >=
 g AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, array_to_string(w[s:s + 7], ' ')) AS k FROM p),
 rep AS (SELECT doc_id, count(DISTINCT i) AS n_rep FROM (SELECT doc_id, unnest(range(s, s + 8)) AS i FROM g WHERE k > 1) GROUP BY doc_id),
 n AS (SELECT doc_id, source, text, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, len(lw) AS k FROM l),
-f AS (SELECT source, line, count(DISTINCT text) AS docs, min(doc_id) AS first FROM n GROUP BY ALL),
-h AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-o AS (SELECT f.source, f.line, f.first FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE f.docs > 10 AND f.docs > h.docs * 0.01::DOUBLE),
-lost AS (SELECT n.doc_id, sum(k) AS n FROM n JOIN o ON n.source IS NOT DISTINCT FROM o.source AND n.line = o.line AND n.doc_id <> o.first GROUP BY n.doc_id),
+f AS (SELECT source, line, count(DISTINCT doc_id) AS docs FROM n GROUP BY ALL),
+h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+o AS (SELECT f.source, f.line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE f.docs > 10 AND f.docs > h.docs * 0.01::DOUBLE),
+lost AS (SELECT n.doc_id, sum(k) AS n FROM n JOIN o ON n.source IS NOT DISTINCT FROM o.source AND n.line = o.line GROUP BY n.doc_id),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_rep, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed_words
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),

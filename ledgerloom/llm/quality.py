@@ -1,35 +1,33 @@
 """Quality rules: base statistics of each text, and cross-document line frequency by host.
 
 One Python pass reads the whole texts once and leaves a small row for each document: its
-statistics, and the hashes and word counts of its normalised lines. The rest is joins and
-aggregations of those rows. A line's documents are counted by distinct text, so that copies
-of a whole document, which are the business of the dedup operators, make none of its lines
-boilerplate.
+statistics, and the hashes and word counts of its normalised lines. Documents that hold a line
+are counted by host, lines above the limits go from every document of that host, and documents
+that this depletes are rejected. Those are joins and aggregations of the small rows; lines are
+cut from texts in the JVM.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .common import keep, per_text
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 20
 REPEAT_WINDOW = 8
 MOST_REPEATED_PERCENT = 30
-#: A line is boilerplate when more distinct documents of its host hold it than both limits.
+#: A line is boilerplate when more documents of its host hold it than both limits.
 LINE_DOCS = 10
 LINE_SHARE = 0.01
 #: A document is depleted when the removal leaves fewer words than this, or a smaller share.
 LEFT_WORDS = 10
 LEFT_SHARE = 0.3
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, line array<long>, line_words array<int>"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, line_words array<int>"
 
 
 def repeat_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
@@ -55,11 +53,17 @@ def repeat_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _hash(b: bytes) -> int:
-    h = xxhash.xxh64_intdigest(b)
+def line_hash(words: list[bytes]) -> int:
+    """What line_key() gives in the JVM: XXH64 of a line's words, joined by one space, A-Z lower-cased."""
+    h = xxhash.xxh64_intdigest(b" ".join(words).lower(), 42)
     return h - (1 << 64) if h >> 63 else h
 
 
+def line_key(line: Column) -> Column:
+    words = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    return F.xxhash64(F.translate(words, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def stats_of(text: str | None) -> tuple:
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
@@ -72,82 +76,80 @@ def stats_of(text: str | None) -> tuple:
         if own:
             n_dup += line in seen
             seen.add(line)
-            key = _hash(b" ".join(own).lower())
+            key = line_hash(own)
             lines[key] = lines.get(key, 0) + len(own)
     blanks = sum(map(text.count, " \t\n\v\f\r"))
-    return len(words), len(text) - blanks, sum(map(text.count, SYMBOLS)), n_dup, repeat_words(words), _hash(data), list(lines), list(lines.values())
+    return len(words), len(text) - blanks, sum(map(text.count, SYMBOLS)), n_dup, repeat_words(words), list(lines), list(lines.values())
 
 
-def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    return per_text(plain, stats_of, STATS)
+def measured(docs: DataFrame, text_col: str, host_col: str, carried: list[Column]) -> DataFrame:
+    """The columns `carried`, host, the statistics and a number for each row, `_row`: written, so that all of it stays as it is."""
+    plain = docs.select(*carried, F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    return keep(per_text(plain, stats_of, STATS).withColumn("_row", F.monotonically_increasing_id()), "stats")
 
 
-def frequent_lines(measured: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, line, first): lines above the limits of their host, with the smallest doc_id that holds them."""
-    held = measured.select("host", "content", "doc_id", F.explode("line").alias("line"))
-    by_text = held.groupBy("host", "line", "content").agg(F.min("doc_id").alias("doc_id"))
-    by_line = by_text.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > line_docs)
-    hosts = measured.groupBy("host", "content").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
+def frequent_lines(rows: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(host, line): lines that more documents of the host hold than the limits; a document holds a line once."""
+    by_line = rows.select("host", F.explode("line").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
     limited = by_line.alias("l").join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
-    return limited.where(F.col("n") > F.col("n_docs") * line_share).select("l.host", "line", "first")
+    return limited.where(F.col("n") > F.col("n_docs") * line_share).select("l.host", "line")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """One row for each row of `docs`: doc_id, the base statistics, base_failed, n_removed_words, kept, removed_lines.
-
-    The first document of a host that holds a frequent line (by smallest doc_id) keeps it;
-    the others lose it. A document is rejected if base_failed, or if the removal depletes it.
-    removed_lines has the hashes of the normalised lines that go. Null texts count as empty
-    ones, null hosts as one host, null ids as rows of their own that are never a line's first
-    unless no other is. Rows that repeat an id are told apart. Texts are taken whole.
-    """
-    measured = keep(stats(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id()), "stats")
-    often = frequent_lines(measured, line_docs, line_share)
-    lines = measured.select("_row", "doc_id", "host", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select("_row", "doc_id", "host", "x.line", "x.line_words")
-    lost = (
+def verdicts(rows: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(_row, n_removed_words, removed_lines) of the rows that lose lines."""
+    often = frequent_lines(rows, line_docs, line_share)
+    lines = rows.select("_row", "host", F.inline(F.arrays_zip("line", "line_words")))
+    return (
         lines.alias("a")
         .join(often.alias("b"), (F.col("a.line") == F.col("b.line")) & F.col("a.host").eqNullSafe(F.col("b.host")))
-        .where(~F.col("a.doc_id").eqNullSafe(F.col("b.first")))
         .groupBy("_row")
         .agg(F.sum("line_words").alias("n_removed_words"), F.collect_list("a.line").alias("removed_lines"))
     )
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    removed = F.coalesce("n_removed_words", F.lit(0))
-    left = F.col("n_words") - removed
-    depleted = (removed > 0) & ((left < LEFT_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
-    return measured.join(lost, "_row", "left").select(
-        F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
-        removed.cast("long").alias("n_removed_words"), F.coalesce("removed_lines", F.array().cast("array<long>")).alias("removed_lines"), "content",
-    )
 
 
-def without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
-    """Texts without the lines whose normalised hash is among `removed`."""
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
-    def cut(t: str | None, hashes: np.ndarray | None) -> str | None:
-        if t is None or hashes is None or not len(hashes):
-            return t
-        gone = set(hashes)
-        return "\n".join(line for line in t.split("\n") if line_hash(line) not in gone)
 
-    return pd.Series([cut(t, h) for t, h in zip(text, removed, strict=True)], dtype=object)
+def depleted(removed: Column) -> Column:
+    left = F.col("n_words") - removed
+    return (removed > 0) & ((left < LEFT_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
 
 
-def line_hash(line: str) -> int:
-    return _hash(b" ".join(line.encode("utf-8", "surrogatepass").split()).lower())
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """One row for each row of `docs`: doc_id, the base statistics, base_failed, kept, n_removed_words, removed_lines.
+
+    Every document of a host loses the host's frequent lines. A document is rejected if
+    base_failed, or if the removal depletes it. removed_lines has the hashes of the normalised
+    lines that go. Each row is a document, those that repeat an id or have none as well, and
+    copies of one text count each time. Null texts count as empty ones, null hosts as one host.
+    Texts are taken whole; an empty table gives no rows; other columns are not read.
+    """
+    rows = measured(docs, text_col, host_col, [F.col(id_col).cast("long").alias("doc_id")])
+    lost = verdicts(rows, line_docs, line_share)
+    removed = F.coalesce("n_removed_words", F.lit(0))
+    return rows.join(lost, "_row", "left").select(
+        F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~depleted(removed)).alias("kept"),
+        removed.cast("long").alias("n_removed_words"), F.coalesce("removed_lines", F.array().cast("array<long>")).alias("removed_lines"),
+    )
 
 
-def content_hash(text: pd.Series) -> pd.Series:
-    return pd.Series([_hash((t or "").encode("utf-8", "surrogatepass")) for t in text], dtype="int64")
+def without_lines(text: Column, removed: Column) -> Column:
+    """A text without the lines whose key is among `removed`; null or no keys leave it as it is."""
+    left = F.filter(F.split(text, "\n", -1), lambda line: ~F.array_contains(removed, line_key(line)))
+    return F.when(removed.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """`docs` without rejected rows, and without the removed lines in the others' texts; columns as they were."""
-    ship(docs.sparkSession)
-    verdicts = quality_rules(docs, id_col, text_col, host_col).where("kept").select(F.col(id_col).alias("_id"), F.col("content").alias("_content"), F.array_sort("removed_lines").alias("_lines"))
-    verdicts = verdicts.dropDuplicates(["_id", "_content"])
-    keyed = docs.withColumn("_content", F.pandas_udf(content_hash, "long")(F.col(text_col)))
-    joined = keyed.join(verdicts.hint("shuffle_hash"), keyed[id_col].cast("long").eqNullSafe(verdicts["_id"]) & (keyed["_content"] == verdicts["_content"]))
-    return joined.select(*[F.pandas_udf(without_lines, "string")(F.col(text_col), F.col("_lines")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """`docs` without rejected rows, and without the removed lines in the others' texts; columns as they were, whatever their names.
 
+    Rows are judged as in quality_rules. The whole row travels once through the statistics and
+    is written; what is decided about it meets it by row number.
+    """
+    rows = measured(docs, text_col, host_col, [F.struct(*docs.columns).alias("_doc")])
+    lost = verdicts(rows.select("_row", "host", "line", "line_words"), line_docs, line_share)
+    lost = lost.select(F.col("_row").alias("_lost"), "n_removed_words", "removed_lines")
+    good = rows.where(~base_failed()).select("_row", "_doc", "n_words").join(lost.hint("shuffle_hash"), F.col("_row") == F.col("_lost"), "left")
+    good = good.where(~depleted(F.coalesce("n_removed_words", F.lit(0))))
+    return good.select(*[without_lines(F.col("_doc")[c], F.col("removed_lines")).alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
