@@ -58,7 +58,7 @@ def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "at_first", "at_second")
+    return mixing.mix(docs, with_text=False).select("doc_id", "size", "source_size", "target", "taken", "at_first", "at_second")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
