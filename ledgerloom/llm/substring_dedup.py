@@ -4,13 +4,17 @@ Every run of window starts that share an anchor (the smallest 10-word hash insid
 the 20-word window) is a *reference block*. Equal windows have equal anchors, so a
 block's bucket, chosen by its anchor, brings together all places that can hold a
 window. Per bucket each window learns its earliest place in the corpus; windows that
-advance in step with their places form a *factor* (start, words, reference document,
-reference start). A document is parsed greedily from left to right; windows that
-straddle the end of a factor have places of their own, and so are checked too.
+advance in step with their places form a run, which a *factor* (start, words, reference
+document, reference start) copies. A document is parsed greedily from left to right: at
+each word the longest factor that a reference block offers. Factors of 20 words and more
+are the duplicate spans; windows that straddle the end of a factor have places of their
+own and are checked there, since they may repeat another block.
 
 One shuffle carries about nine bytes for each window, with repeats inside a task
 already folded into their first place, so that a passage held by a third of the
-corpus reaches a bucket once for each million windows.
+corpus reaches a bucket once for each million windows. Windows that differ but share a
+frequent anchor (a line of 10 to 19 words between other words) are blocks of their own,
+dealt out by their own hash, so that no anchor makes a bucket hot.
 
 Windows are compared by 64-bit polynomial hashes of 64-bit word hashes.
 """
@@ -31,13 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import keep, words_of
+from .common import ordered_key, words_of
 
 WINDOW = 20
 ANCHOR = 10
 FLUSH = 1 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 256
+#: Text whose anchors are counted to find the heavy ones, how many of these there may be, and the windows in it from which one is heavy.
+SAMPLE_BYTES = 32 << 20
+HEAVY_ANCHORS = 4096
+HEAVY_WINDOWS = 64
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -115,11 +123,8 @@ def runs_of(doc: np.ndarray, pos: np.ndarray, ref_doc: np.ndarray, ref_pos: np.n
     return {"doc_id": doc[at], "start": pos[at], "len": np.diff(at, append=len(doc)), "ref_doc": ref_doc[at], "ref_start": ref_pos[at]}
 
 
-def blocks_of(ids: list[int], arrays: list[np.ndarray], buckets: int, window: int = WINDOW, anchor: int = ANCHOR) -> Iterator[tuple[int, bytes | None, bytes | None]]:
-    """Rows (bucket, blocks, runs already known to be repeats) for some documents' word hashes."""
-    order = np.argsort(np.array(ids, np.int64), kind="stable")
-    lens = np.array([len(arrays[i]) for i in order])
-    x = np.concatenate([arrays[i] for i in order])
+def hashed(x: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and anchor of the window that starts at each word."""
     n = len(x)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(x * _powers(_BASE, n), out=sums[1:])
@@ -133,6 +138,15 @@ def blocks_of(ids: list[int], arrays: list[np.ndarray], buckets: int, window: in
         size *= 2
     if span > size:
         low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
+    return whole, low
+
+
+def blocks_of(ids: list[int], arrays: list[np.ndarray], buckets: int, heavy: np.ndarray | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> Iterator[tuple[int, bytes | None, bytes | None]]:
+    """Rows (bucket, blocks, runs already known to be repeats) for some documents' word hashes."""
+    order = np.argsort(np.array(ids, np.int64), kind="stable")
+    lens = np.array([len(arrays[i]) for i in order])
+    x = np.concatenate([arrays[i] for i in order])
+    whole, low = hashed(x, window, anchor)
     doc_no = np.repeat(np.arange(len(lens)), lens)
     first = np.cumsum(lens) - lens
     at = np.arange(len(whole))
@@ -149,6 +163,8 @@ def blocks_of(ids: list[int], arrays: list[np.ndarray], buckets: int, window: in
         runs = runs_of(doc[again], pos[again], doc[origin[again]], pos[origin[again]])
         yield int(h[again[0]] % np.uint64(buckets)), None, np.stack([v.astype("<i8") for v in runs.values()]).tobytes()
     doc, pos, h, a = doc[fresh], pos[fresh], h[fresh], a[fresh]
+    if heavy is not None and len(heavy):  # windows of a heavy anchor are blocks of their own, dealt by their own hash
+        a = np.where(heavy[np.minimum(np.searchsorted(heavy, a), len(heavy) - 1)] == a, h, a)
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (a[1:] != a[:-1])
     start = np.flatnonzero(new)
@@ -163,12 +179,14 @@ def blocks_of(ids: list[int], arrays: list[np.ndarray], buckets: int, window: in
         yield int(bucket[lo]), pack_blocks(doc[lo:hi], pos[lo:hi], count[lo:hi], h[ends[lo] - count[lo] : ends[hi - 1]]), None
 
 
-def _index(buckets: int):
+def _index(buckets: int, heavy: list[int]):
+    heavy_sorted = np.sort(np.array(heavy, np.int64).view(np.uint64))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = WordHashes()
 
         def packed(ids: list[int], arrays: list[np.ndarray]) -> pd.DataFrame:
-            return pd.DataFrame(blocks_of(ids, arrays, buckets), columns=["bucket", "blocks", "known"])
+            return pd.DataFrame(blocks_of(ids, arrays, buckets, heavy_sorted), columns=["bucket", "blocks", "known"])
 
         ids: list[int] = []
         arrays: list[np.ndarray] = []
@@ -230,6 +248,23 @@ def factors_of(starts: np.ndarray, lens: np.ndarray, ref_doc: np.ndarray, ref_st
     return found
 
 
+def covered(spans: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
+    """The words of a text that factors copy."""
+    edge = np.zeros(n + 1, np.int64)
+    for start, words, *_ in spans:
+        edge[start] += 1
+        edge[start + words] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def straddling(gone: np.ndarray, starts: np.ndarray, lens: np.ndarray, window: int = WINDOW) -> None:
+    """Add the windows that reach over the end of a factor and repeat another block."""
+    ends = starts + lens - 1 + window
+    kept = np.concatenate([[0], np.cumsum(~gone)])
+    for i in np.flatnonzero(kept[ends] > kept[starts]):
+        gone[starts[i] : ends[i]] = True
+
+
 def _apply(with_text: bool, window: int = WINDOW):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,12 +273,11 @@ def _apply(with_text: bool, window: int = WINDOW):
                 words = words_of(text)
                 n, spans = len(words), []
                 if starts:
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, np.asarray(starts) + np.asarray(lens) - 1 + window, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                    if with_text:
-                        spans = factors_of(np.asarray(starts), np.asarray(lens), np.asarray(ref_doc), np.asarray(ref_start), window)
+                    runs = [np.asarray(x) for x in (starts, lens, ref_doc, ref_start)]
+                    spans = factors_of(*runs, window)
+                    gone = covered(spans, n)
+                    straddling(gone, runs[0], runs[1], window)
+                    words = [words[i] for i in np.flatnonzero(~gone)]
                 kept = b" ".join(words)
                 row = (n, n - len(words), hashlib.sha256(kept).hexdigest())
                 if with_text:
@@ -258,14 +292,32 @@ def _apply(with_text: bool, window: int = WINDOW):
     return run
 
 
-def unique_key(docs: DataFrame, id_col: str, n_rows: int, n_ids: int) -> DataFrame:
-    """Add `key`: the id where every row has its own, else a number that follows (id, nulls last) and tells rows apart."""
-    if n_rows == n_ids:
-        return docs.withColumn("key", F.col(id_col).cast("long"))
-    numbered = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    order = numbered.select(id_col, "_row").orderBy(F.col(id_col).asc_nulls_last(), "_row")
-    keys = order.rdd.zipWithIndex().map(lambda x: (x[0]["_row"], x[1])).toDF("_row long, key long")
-    return keep(numbered.join(keys, "_row").drop("_row"), "keyed")
+def heavy_anchors(plain: DataFrame, n_bytes: int) -> list[int]:
+    """Anchors that many windows share, from a sample of the documents: at most HEAVY_ANCHORS.
+
+    They only say which blocks to spread; any list gives the same result.
+    """
+    every = max(1, n_bytes // SAMPLE_BYTES)
+    sample = plain.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key", "text")
+    counts = sample.mapInPandas(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "anchor").limit(HEAVY_ANCHORS).collect()
+    return sorted(r["anchor"] for r in top if r["n"] >= HEAVY_WINDOWS)
+
+
+def _count_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    of = WordHashes()
+    for pdf in batches:
+        found = []
+        for text in pdf["text"]:
+            words = words_of(text)
+            if len(words) >= WINDOW:
+                x = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
+                found.append(np.stack(hashed(x)))
+        if found:
+            h, a = np.concatenate(found, axis=1)  # equal windows weigh once: they fold
+            a, n = np.unique(a[np.unique(h, return_index=True)[1]], return_counts=True)
+            many = n > 1
+            yield pd.DataFrame({"anchor": a[many].view(np.int64), "n": n[many]})
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -286,10 +338,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     # Rows travel as id, text and one struct of the rest, so no column of theirs can clash.
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), (F.struct(*rest) if rest else F.struct(F.lit(0).alias("_none"))).alias("_rest"))
-    n_rows, n_ids, n_bytes = plain.agg(F.count(F.lit(1)), F.count_distinct("_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    plain = unique_key(plain, "_id", n_rows, n_ids)
+    plain = ordered_key(plain, "_id")
+    n_bytes = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, math.ceil(n_bytes / BUCKET_BYTES))
-    blocks = plain.select("key", "text").mapInPandas(_index(buckets), "bucket int, blocks binary, known binary")
+    blocks = plain.select("key", "text").mapInPandas(_index(buckets, heavy_anchors(plain, n_bytes)), "bucket int, blocks binary, known binary")
     runs = blocks.groupBy("bucket").applyInPandas(earliest, RUN)
     by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "ref_doc", "ref_start")).alias("_runs"))
     # The runs are the smaller side; hashing them spares sorting the texts.
