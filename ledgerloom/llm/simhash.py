@@ -84,8 +84,8 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     """(a, b): verified links that connect what links of three or fewer bits connect, among distinct fingerprints `fp`."""
     ship(fps.sparkSession)
     forests = F.pandas_udf(lambda groups: groups.map(lambda x: [{"a": a, "b": b} for a, b in forest(np.asarray(x, np.int64))]), "array<struct<a:long,b:long>>")
-    # Dealt out before 64 rows are made of each: fingerprints are small, and few tasks would hold them.
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Dealt out before 64 rows are made of each: fingerprints are small, and few tasks would hold them. By a hash, since Spark drops a second dealing by the same column.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     # `open_` holds the bits that the key leaves open, moved to the low end.
     rows = fps.select("fp", F.explode(_variants(0)).alias("v")).select(
         "fp", F.xxhash64(F.lit(0), "v.seg", "v.pos", "v.rest").alias("k"), F.expr("shiftrightunsigned(fp, cast((1 - v.seg) * 32 as int)) & 4294967295L").alias("open_")
