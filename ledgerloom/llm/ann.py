@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots are rows drawn by hash (their number follows the square root of the rows, within
-bounds). A vector is represented by its nearest pivots in order; it is posted in the
-inverted file of its nearest pivot. A query opens the files of its nearest pivots, ranks
-what is there by Spearman's footrule between permutations, and reranks the best by cosine.
+bounds). A vector is represented by its ORDER nearest pivots in order and posted, with its
+place, in the inverted file of each. A query reads the files of its own pivots, which adds up
+Spearman's footrule to every row that shares one; only rows whose footrule is good enough are
+scored by cosine. What is good enough is found for each query on a bounded sample of the rows:
+KEPT of them (or LEAST_KEPT rows), fewer where the best ones stand out, as in clusters; never under TOP + 1 a block.
 
 Equal vectors are one class: only the class is posted, with the ids that can be among any
-query's nearest (the smallest TOP + 1). A file is divided into blocks of BLOCK classes, and
-queries into blocks as well, so that a task's work is bounded whatever pivot is popular.
+query's nearest (the smallest TOP + 1). The rows are indexed in blocks of BLOCK classes, and
+the stated queries meet each in blocks as well, so that a task's work is bounded whatever
+pivot is popular.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from ..shipping import ship
 from .common import keep
 
 TOP = 5
-PIVOTS = (16, 1024)
-ORDER = 12
-#: Shares of the pivots whose files a query opens, and of a block's classes that footrule leaves to be reranked. Vectors without structure need large ones.
-OPENED = 0.8
-KEPT = 0.6
-LEAST_KEPT = 64
+PIVOTS = (256, 1024)
+ORDER = 64
+#: Rows (the first by hash) on which a query's least nearness by footrule is found.
+SAMPLE = 2048
+#: Share of the rows that footrule leaves to be scored, or a share that comes to LEAST_KEPT rows if that is more, and the share of the third best sampled nearness below which none is.
+KEPT = 0.08
+LEAST_KEPT = 600
+CLOSE = 0.5
 BLOCK = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
 
 
 def usable(vector: F.Column) -> F.Column:
@@ -52,16 +57,36 @@ def permutations(x: np.ndarray, pivots: np.ndarray, order: int) -> np.ndarray:
     return np.argsort(-(unit(x) @ pivots.T), axis=1, kind="stable")[:, :order]
 
 
-def footrule(queries: np.ndarray, rows: np.ndarray, n_pivots: int) -> np.ndarray:
-    """Spearman's footrule between truncated permutations; a pivot that one of them lacks stands at its end."""
-    order = rows.shape[1]
-    place = np.full((len(queries), n_pivots), order, np.int16)
-    np.put_along_axis(place, queries, np.arange(order, dtype=np.int16)[None, :].repeat(len(queries), 0), axis=1)
-    total = np.zeros((len(queries), len(rows)), np.int16)
-    held = np.where(place < order, order - place, 0).astype(np.int16)
-    for j in range(order):  # what the row has, against the query's places; what it lacks of the query's stands at the end
-        total += (np.abs(place - np.int16(j)) - held)[:, rows[:, j]]
-    return total + np.int16(order * (order + 1) // 2)
+class Files:
+    """The inverted files of some rows: for each pivot, the rows that have it and how near it is to them (ORDER for the nearest, down to 1)."""
+
+    def __init__(self, perms: np.ndarray, n_pivots: int):
+        self.n, self.order = perms.shape
+        flat = perms.ravel()
+        by = np.argsort(flat, kind="stable")
+        self.rows, self.place = (by // self.order).astype(np.int32), (self.order - by % self.order).astype(np.int32)
+        self.edge = np.searchsorted(flat[by], np.arange(n_pivots + 1))
+
+    def nearness(self, perm: np.ndarray) -> np.ndarray:
+        """For each row, half of what shared pivots take off the largest footrule: that is order * (order + 1) - 2 * nearness, a pivot that one lacks standing at its end."""
+        total = np.zeros(self.n, np.int32)
+        for j, p in enumerate(perm.tolist()):
+            file = slice(self.edge[p], self.edge[p + 1])
+            total[self.rows[file]] += np.minimum(self.place[file], self.order - j)
+        return total
+
+
+def least_nearness(files: Files, perm: np.ndarray, n: int) -> int:
+    """From the sample's files: what one of `n` rows must reach to be scored for this query."""
+    found = np.sort(files.nearness(perm))[::-1]
+    return max(int(found[min(len(found) - 1, int(max(KEPT, LEAST_KEPT / n) * len(found)))]), math.ceil(CLOSE * found[min(2, len(found) - 1)]))
+
+
+def selected(files: Files, perm: np.ndarray, least: int, top: int) -> np.ndarray:
+    """Rows of a block to be scored: at least TOP + 1, ties with the last one too."""
+    near = files.nearness(perm)
+    most = min(top + 1, len(near))
+    return np.flatnonzero(near >= min(least, np.partition(near, -most)[-most]))
 
 
 def cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -75,24 +100,15 @@ def _search(n_pivots: int, top: int):
         queries, rows = pdf[is_query], pdf[~is_query]
         q, c, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(queries) and len(rows):
-            x, ids, perms = matrix(rows["vector"]), rows["cid"].to_numpy(np.int64), np.array(rows["perm"].tolist())
-            qx, qids, qperms = matrix(queries["vector"]), queries["cid"].to_numpy(np.int64), np.array(queries["perm"].tolist())
-            n, most = min(len(rows), max(LEAST_KEPT, math.ceil(KEPT * len(rows)))), min(len(rows), top + 1)
-            along = unit(x).T
-            for lo in range(0, len(queries), 64):
-                near = unit(qx[lo : lo + 64]) @ along
-                if n < len(rows):  # ties with the last one kept stay
-                    far = footrule(qperms[lo : lo + 64], perms, n_pivots)
-                    near[far > np.partition(far, n - 1, axis=1)[:, n - 1 : n]] = -np.inf
-                # Products of matrices round otherwise than the score: what can be among the best is scored again.
-                i, j = np.nonzero(near >= np.partition(near, -most, axis=1)[:, -most, None] - 1e-9)
-                s = cosines(qx[lo + i], x[j])
-                by = np.lexsort((ids[j], -s, i))
-                i, j, s = i[by], j[by], s[by]
-                first = np.arange(len(i)) - np.searchsorted(i, i) < most
-                q.append(qids[lo + i[first]])
-                c.append(ids[j[first]])
-                score.append(s[first])
+            x, ids = matrix(rows["vector"]), rows["cid"].to_numpy(np.int64)
+            files = Files(np.array(rows["perm"].tolist()), n_pivots)
+            for qid, v, perm, least in zip(queries["cid"], matrix(queries["vector"]), queries["perm"], queries["least"], strict=True):
+                j = selected(files, np.asarray(perm), least, top)
+                s = cosines(v, x[j])
+                best = np.lexsort((ids[j], -s))[: top + 1]
+                q.append(np.full(len(best), qid))
+                c.append(ids[j[best]])
+                score.append(s[best])
         return pd.DataFrame({"q": np.concatenate(q), "c": np.concatenate(c), "score": np.concatenate(score)})
 
     return run
@@ -125,25 +141,27 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     n_pivots = int(min(max(PIVOTS[0], math.sqrt(n)), PIVOTS[1], n))
     chosen = members.select("vector", F.xxhash64("cid").alias("h")).orderBy("h").limit(n_pivots).collect()  # PIVOTS[1] vectors at most
     pivots = spark.sparkContext.broadcast(unit(np.array([r["vector"] for r in chosen])))
-    # Up to a block of classes every file is opened, so that few candidates are all found.
-    order, opened = min(ORDER, n_pivots), n_pivots if n <= BLOCK else math.ceil(OPENED * n_pivots)
+    order = min(ORDER, n_pivots)
 
     @F.pandas_udf("array<int>")
     def perm(v: pd.Series) -> pd.Series:
-        return pd.Series(list(permutations(matrix(v), pivots.value, max(order, opened)).astype(np.int32)))
-
-    posted = members.select("cid", "vector", F.slice(perm("vector"), 1, order).alias("perm"))
-    posted = keep(posted.withColumn("pivot", F.element_at("perm", 1)), "posted")
-    asked = keep(wanted.groupBy("vector").agg(F.min("id").alias("cid")), "asked")
-    files = posted.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("row_blocks"))
-    routes = asked.withColumn("route", perm("vector")).select("cid", "vector", F.slice("route", 1, order).alias("perm"), F.explode(F.slice("route", 1, opened)).alias("pivot"))
-    busy = routes.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    plan = files.join(busy, "pivot")
-    side = lambda df, own, other: df.join(plan, "pivot").select(
-        "cid", "vector", "perm", "pivot", F.pmod(F.xxhash64("cid"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
-    )
-    both = side(posted, "row_blocks", "query_blocks").withColumn("is_query", F.lit(False)).unionByName(side(routes, "query_blocks", "row_blocks").withColumn("is_query", F.lit(True)))
-    near = both.groupBy("pivot", "row_blocks", "query_blocks").applyInPandas(_search(n_pivots, top), "q long, c long, score double")
+        return pd.Series(list(permutations(matrix(v), pivots.value, order).astype(np.int32)))
+
+    posted = keep(members.select("cid", "vector", perm("vector").alias("perm")), "posted")
+    sample = posted.select("perm", F.xxhash64("cid").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    sampled = spark.sparkContext.broadcast(np.array([r["perm"] for r in sample], np.int32))
+
+    @F.pandas_udf("int")
+    def least(perms: pd.Series) -> pd.Series:
+        files = Files(sampled.value, n_pivots)
+        return pd.Series([least_nearness(files, np.asarray(p), n) for p in perms], dtype="int32")
+
+    asked = keep(wanted.groupBy("vector").agg(F.min("id").alias("cid")).withColumn("perm", perm("vector")), "asked")
+    row_blocks, query_blocks = math.ceil(n / BLOCK), max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    dealt = lambda df, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64(F.lit(7), "cid"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    rows_dealt = dealt(posted.select("cid", "vector", "perm", F.lit(0).alias("least"), F.lit(False).alias("is_query")), "row_block", row_blocks, "query_block", query_blocks)
+    queries_dealt = dealt(asked.select("cid", "vector", "perm", least("perm").alias("least"), F.lit(True).alias("is_query")), "query_block", query_blocks, "row_block", row_blocks)
+    near = rows_dealt.unionByName(queries_dealt).groupBy("row_block", "query_block").applyInPandas(_search(n_pivots, top), "q long, c long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     near = near.withColumn("no", F.row_number().over(best)).where(F.col("no") <= top + 1).select("q", "c", "score")
     # Classes back to ids: each query of a vector has that vector's classes, and their smallest ids but its own.

@@ -32,6 +32,29 @@ def escape_role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit(NEWLINE))
 
 
+def log_of(messages: DataFrame, pieces: int = 4) -> DataFrame:
+    """(conv_id, msg, seq, kind, role, text): a log that folds into (conv_id, msg, role, text), as a chat service would write it.
+
+    Each message streams in up to `pieces` deltas. By a hash of conversation and message, a third
+    of them first streams a draft (the text reversed) that is regenerated, another third is
+    edited: a draft is replaced by the first piece, and what follows is streamed after it. The
+    events of a message come in no order. A null text has one empty delta.
+    """
+    text = F.coalesce("text", F.lit(""))
+    width = F.greatest(F.ceil(F.length(text) / pieces), F.lit(1)).cast("int")
+    way = F.pmod(F.xxhash64("conv_id", "msg"), F.lit(3))
+    event = lambda seq, kind, role, said: F.struct(F.lit(seq).cast("int").alias("seq") if isinstance(seq, int) else seq.cast("int").alias("seq"), kind.alias("kind"), role.alias("role"), said.alias("text"))
+    none = F.lit(None).cast("string")
+    final = F.transform(
+        F.sequence(F.lit(0), F.lit(pieces - 1)),
+        lambda i: event(i + 3, F.when((way == 2) & (i == 0), "edit").otherwise("delta"), F.when(i == 0, F.col("role")), F.substring(text, i * width + 1, width)),
+    )
+    draft = F.array(event(0, F.lit("delta"), F.col("role"), F.reverse(text)), event(1, F.lit("delta"), none, F.lit("...")))
+    again = F.array(event(2, F.lit("regenerate"), none, none))
+    events = F.when(way == 0, final).when(way == 1, F.concat(final, again, draft)).otherwise(F.concat(final, draft))
+    return messages.select("conv_id", "msg", F.inline(F.reverse(events)))
+
+
 def fold_messages(events: DataFrame) -> DataFrame:
     """(conv_id, msg, role, text) from events (conv_id, msg, seq, kind, role, text).
 

@@ -25,13 +25,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row is logged as one delta of its own message; read back from the rendered text and its mask."""
+    """Conversations logged as events, folded and formatted; read back from the rendered text and its mask."""
     control = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(control).alias("text")) for i, r in enumerate(("user", "assistant"))])))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = rows.select("conv_id", place.alias("msg"), F.lit(0).alias("seq"), F.lit("delta").alias("kind"), "role", "text")
-    read = chat.parse(chat.format_chat(events))
+    messages = rows.select("conv_id", place.alias("msg"), "role", "text")
+    read = chat.parse(chat.format_chat(chat.log_of(messages)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
