@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -12,47 +15,44 @@ from .common import per_text
 #: Fixed values: (verdict, host, path). A rule fits its host and all subdomains.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-GRAMS = (3, 4)
-BUCKETS = 1 << 14
-EPOCHS = 300
-PENALTY = 1e-3
+GRAMS = (3, 4, 5)
+BUCKETS = 1 << 15
+EPOCHS = 800
+PENALTY = 1e-5
+
+_DIGITS = re.compile(r"\d+")
 
-_BAD_WORDS = ("cheap-pills", "spam-farm", "casino-win", "free-money", "porn-tube", "xxx-cams", "payday-loan", "replica-watch", "lottery-prize", "click-bait", "warez-crack", "phish-login")
-_GOOD_WORDS = ("library", "university", "news", "docs", "gardening", "recipes", "museum", "weather", "science", "history", "travel", "cycling")
+#: The labelled table: host, path, 1 to block. Subdomains, domains and languages stand on both sides alike.
+LABELLED = Path(__file__).with_name("labelled_urls.tsv")
 
 
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """A small labelled table (host, path, 1 to block), from a rule: each word as host and as path, under two hosts' ends."""
-    rows = []
-    for words, label in ((_BAD_WORDS, 1), (_GOOD_WORDS, 0)):
-        for i, word in enumerate(words):
-            for end in ("example.org", "example.com"):
-                rows.append((f"{word}.{end}", f"/en/{100 + 7 * i}", label))
-                rows.append((f"www.{word}.{end}", f"/fr/{200 + 7 * i}.html", label))
-                rows.append((f"blog.th{'ereonti'[i % 5:]}.{end}", f"/{word}/{i}", label) if label else (f"m.th{'ereonti'[i % 5:]}.{end}", f"/es/{300 + 7 * i}/", label))
-    return rows
+def labelled_urls(path: str | Path = LABELLED) -> list[tuple[str, str, int]]:
+    """Rows (host, path, label) of a small labelled table; the driver trains on it."""
+    rows = [line.split("\t") for line in Path(path).read_text().splitlines()[1:]]
+    return [(host, url_path, int(label)) for host, url_path, label in rows]
 
 
 def grams_of(host: str, path: str) -> list[int]:
-    """Buckets of the distinct n-grams of host and path, each text with its own mark and ends."""
+    """Buckets of the distinct n-grams of host and path, each text with its own mark and ends; a number counts as one digit."""
     found = set()
-    for mark, text in (("h", f"^{host}$"), ("p", f"^{path.lower()}$")):
+    for mark, text in (("h", f"^{_DIGITS.sub('0', host)}$"), ("p", f"^{_DIGITS.sub('0', path.lower())}$")):
         for n in GRAMS:
             found.update(f"{mark}{text[i : i + n]}" for i in range(len(text) - n + 1))
     return sorted({xxhash.xxh32_intdigest(g) % BUCKETS for g in found})
 
 
 def train(rows: list[tuple[str, str, int]]) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent with momentum, on rows scaled to unit length. Deterministic."""
+    """Weights and bias by full-batch gradient descent with momentum, on rows scaled to unit length, both labels of equal weight. Deterministic."""
     x = np.zeros((len(rows), BUCKETS))
     for i, (host, path, _) in enumerate(rows):
         at = grams_of(host, path)
         x[i, at] = 1 / np.sqrt(max(1, len(at)))
     y = np.array([r[2] for r in rows], float)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
     w, b, vw, vb = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), 0.0
     for _ in range(EPOCHS):
-        e = 1 / (1 + np.exp(-(x @ w + b))) - y
-        vw, vb = 0.9 * vw - 2.0 * (x.T @ e / len(y) + PENALTY * w), 0.9 * vb - 2.0 * e.mean()
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
+        vw, vb = 0.9 * vw - 2.0 * (x.T @ e + PENALTY * w), 0.9 * vb - 2.0 * e.sum()
         w, b = w + vw, b + vb
     return w, float(b)
 
@@ -79,15 +79,18 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return found
 
 
+OWN = ("host", "path", "rule", "verdict", "block_score")
+
+
 def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, labelled: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """`pages` with host, path, rule, verdict and block_score (the model's, for every row).
 
     The verdict is the rule's, else block where block_score is over a half. Null urls, and
-    urls without `://`, have empty host and path and are judged by the model on these. Extra
-    columns pass through; those named like the added ones are replaced. Rows are judged one by
+    urls without `://`, have empty host and path and are judged by the model on these. Urls of
+    any length are taken whole; an empty table gives no rows. Extra columns pass through,
+    whatever their names; those named like the added ones are replaced. Rows are judged one by
     one, so ties and repeats change nothing.
     """
-    own = ("host", "path", "rule", "verdict", "block_score")
     weights, bias = train(labelled_urls() if labelled is None else labelled)
     spark_weights = pages.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # BUCKETS floats
 
@@ -96,9 +99,9 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, la
         at = grams_of(host, path)
         return (float(1 / (1 + np.exp(-(spark_weights.value[at].sum() / np.sqrt(max(1, len(at))) + bias)))),)
 
-    split = pages.select(*[F.col(c) for c in pages.columns if c not in own], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    scored = per_text(split.withColumn("_both", F.concat("host", F.lit("\0"), "path")), score, "block_score double", text="_both")
-    rule = rule_of(F.col("host"), F.col("path"), rules)
-    scored = scored.withColumn("_rule", rule)
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
-    return scored.select(*[c for c in scored.columns if c not in ("block_score", "_rule")], F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "block_score")
+    passed = [c for c in pages.columns if c not in OWN]
+    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
+    split = pages.select(F.struct(*passed).alias("page"), host.alias("host"), path.alias("path"), F.concat(host, F.lit("\0"), path).alias("text"))
+    scored = per_text(split, score, "block_score double").withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
+    return scored.select(*[F.col("page")[c].alias(c) for c in passed], "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "block_score")
