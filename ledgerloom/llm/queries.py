@@ -62,10 +62,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives are written, scanned into the index, and the index's blocks read."""
-    path = warc.write_archives(table(spark, sf_dir, "pages"))
-    index = warc.build_index(warc.scan_archives(spark, path))
-    return warc.captures(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Archives are written and scanned into the index; then every url is looked up and its captures' byte ranges are read."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = warc.build_index(warc.scan_archives(warc.write_archives(pages)))
+    return warc.verified(index, pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,7 +201,7 @@ def test_samples_follow_the_lattice():
 def test_warc(spark):
     rows = [(1, "http://b.example.com/x", "same\r\n\r\nWARC/1.1"), (3, "http://a.example.com/%y\n", "same\r\n\r\nWARC/1.1"), (2, None, None), (9, "nope", ""), (None, "http://b.example.com/x", "é"), (4, "http://b.example.com/x", "z" * 5000)]
     pages = spark.createDataFrame([(*r, "s") for r in rows], "page_id long, url string, html string, digest string")
-    index = warc.build_index(warc.scan_archives(spark, warc.write_archives(pages)), block=2)
+    index = warc.build_index(warc.scan_archives(warc.write_archives(pages, archive_bytes=400)), block=2)
     got = {r.page_id: r for r in warc.captures(index).collect()}
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 3), 3: ("response", None), 2: ("revisit", 9), 9: ("response", None), None: ("response", None), 4: ("response", None)}
     assert all(got[i].payload_digest == base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode() and got[i].payload_bytes == len((h or "").encode()) and got[i].url == u for i, u, h in rows)
@@ -209,7 +209,8 @@ def test_warc(spark):
     for bound in (100, 1):
         hits = warc.lookup(index, asked, bound).collect()
         assert sorted((r.page_id or 0, bytes(r.payload).decode()) for r in hits) == sorted([(0, "é"), (1, "same\r\n\r\nWARC/1.1"), (2, ""), (3, "same\r\n\r\nWARC/1.1"), (4, "z" * 5000)])
-    assert warc.captures(warc.build_index(warc.scan_archives(spark, warc.write_archives(pages.limit(0))))).count() == 0
+        assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.verified(index, pages.select("url"), bound).collect()) == [(0, "response", 0), (1, "revisit", 3), (2, "revisit", 9), (3, "response", 0), (4, "response", 0), (9, "response", 0)]
+    assert warc.captures(warc.build_index(warc.scan_archives(warc.write_archives(pages.limit(0))))).count() == 0
 
 
 def test_ann(spark):
