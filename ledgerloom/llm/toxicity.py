@@ -3,13 +3,17 @@
 The kernel of two words counts the subsequences of three letters that they share, each
 weighted down by the stretch it takes in either word, so that gaps and inserted characters
 cost little. It is normalised and raised to a power, which keeps it a kernel. Landmarks are
-words, and beginnings of words, of the labelled texts that tell toxic from other texts. A
-text's values at the landmarks are the largest kernels of its words and of their stretches
-of STRETCH characters; Nyström's map makes features of them, and a linear SVM with squared hinge loss is trained on
-labelled texts. Platt's logistic turns its decision into a score.
+words of the labelled texts that tell toxic from other texts. A text's value at a landmark is
+the largest kernel of any part of its words, wherever the part begins and ends, so that what
+is glued to an insult costs nothing. Nyström's map makes features of the values, and a linear
+SVM with squared hinge loss is trained on labelled texts and on copies of the toxic ones whose
+landmarks have inserted, doubled or interleaved characters. Platt's logistic turns its decision
+into a score.
 
 A word is a run of non-space characters, of which letters and digits count; single
-characters in a row with spaces between them are read as one word as well.
+characters in a row with spaces between them are read as one word as well. A word is met in
+other forms too: letters alone, runs of a letter as one, and without a character that fills
+two fifths of it. Where a word begins is a letter of its own, to the kernel.
 """
 
 from __future__ import annotations
@@ -28,19 +32,25 @@ from .common import per_text
 #: At most so many labelled texts of each label are fitted on: the first by a hash of doc_id.
 SAMPLE = {1: 1500, 0: 2500}
 LANDMARKS = 80
-#: Lengths of the beginnings of words that may become landmarks; the last is that of a stretch as well. Whole words may be up to LONGEST.
-SHORTEST, STRETCH, LONGEST = 4, 7, 14
-#: Least log-likelihood ratio of a landmark.
-LEAST_RATIO = 12.0
+#: Lengths of stems that may become landmarks, and of the longest whole word that may.
+SHORTEST, STEM, LONGEST = 4, 7, 14
+#: Least log-likelihood ratio of a landmark, and its least share of the largest one's.
+LEAST_RATIO, LEAST_SHARE = 12.0, 0.15
 ORDER = 3
 DECAY = 0.5
-POWER = 3
-LEAST = 0.3
+POWER = 2
+LEAST = 0.2
+LACKING = 7
 CACHE = 300_000
-#: Starts in long tokens that are held at a time.
-WINDOWS = 4096
+#: A longer word is met in pieces of so many characters, which overlap by half: no part is longer than that.
+PIECE = 64
+#: Words, and starts of parts, that are held at a time.
+WORDS, WINDOWS = 20_000, 4096
 PENALTY = 1e-4
+#: Where a word begins.
+EDGE = "^"
 
+_RUN = re.compile(r"(.)\1+")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 
 
@@ -58,6 +68,21 @@ def clean(token: str) -> str:
     return token if token.isalnum() else "".join(filter(str.isalnum, token))
 
 
+def forms(token: str) -> set[str]:
+    """What a token may stand for; forms shorter than the kernel's order say nothing."""
+    word = clean(token)
+    found = {word}
+    if len(word) > SHORTEST:
+        if not word.isalpha():
+            found.add("".join(filter(str.isalpha, word)))
+        for w in tuple(found):
+            found.add(_RUN.sub(r"\1", w))
+        c = max(set(word), key=word.count)
+        if 5 * word.count(c) >= 2 * len(word):
+            found.add(word.replace(c, ""))
+    return {EDGE + w for w in found if len(w) >= ORDER}
+
+
 def codes(words: list[str], width: int) -> np.ndarray:
     """Code points of each word in a row, zero beyond its end."""
     return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
@@ -99,172 +124,84 @@ def prefix_kernels(s: np.ndarray, t: np.ndarray | None = None, order: int = ORDE
     return np.cumsum(gained, axis=0).T
 
 
-def letters(c: np.ndarray) -> np.ndarray:
-    """A set of 64 letter classes for each row of code points."""
-    return np.bitwise_or.reduce(classes(c), axis=1)
-
-
-def classes(c: np.ndarray) -> np.ndarray:
-    """Each code point's letter class, as a set of one."""
-    return np.where(c > 0, np.uint64(1) << (c.astype(np.uint64) % np.uint64(64)), np.uint64(0))
-
-
 class Kernel:
-    """Powers of the normalised kernel, sparse: zero below LEAST.
+    """Powers of the normalised kernel of landmarks with the best part of each word; zero below LEAST.
 
-    Landmarks of up to STRETCH characters meet every stretch of a word, by a table of the
-    landmarks' subsequences; the longer ones meet whole words of up to LONGEST, by the recursion.
-    A word that lacks two letters of a landmark, or is over twice its length plus two, counts as
-    zero. Of a token beyond LONGEST the longer landmarks meet every part that is a word to them
-    by these rules, wherever it begins and ends.
+    A word has all letters of a landmark, in its order, or counts as zero; one may lack in
+    landmarks of LACKING letters and more. Parts begin with the first letter (or the second,
+    where one may lack), or where the word does, and are twice as long as the landmark, and two more, at most.
     """
 
     def __init__(self, landmarks: list[str]):
         self.words = landmarks
         if not landmarks:
             return
-        lens = np.array([len(w) for w in landmarks])
-        self.short, self.long = np.flatnonzero(lens <= STRETCH), np.flatnonzero(lens > STRETCH)
-        c = codes(landmarks, LONGEST)
-        self.norm = np.sqrt(raw_kernel(c, c))
-        self.long_codes, self.long_lens = c[self.long], lens[self.long]
-        self.sets = letters(self.long_codes)
-        self.least_letters = np.bitwise_count(self.sets).astype(np.int64) - 1
-        self.triples = [(i, j, k, DECAY ** (k - i + 1)) for i in range(STRETCH) for j in range(i + 1, STRETCH) for k in range(j + 1, STRETCH)]
-        alphabet = sorted({ord(x) for m in self.short for x in landmarks[m]})
-        self.base = len(alphabet) + 1
-        self.letter = np.zeros(1 << 16, np.int32)
+        self.lens = np.array([len(w) for w in landmarks])
+        self.codes = codes([EDGE + w for w in landmarks], LONGEST + 1)
+        self.lacking = (self.lens >= LACKING).astype(np.int64)
+        self.norm = np.sqrt(raw_kernel(self.codes, self.codes))
+        alphabet = sorted({ord(x) for w in landmarks for x in w})
+        self.letter = np.zeros(1 << 16, np.int32)  # by the low 16 bits: rare others may be taken for a letter here, never by the kernel
         for i, x in enumerate(alphabet):
             self.letter[x & 0xFFFF] = i + 1
-        # For each subsequence of three letters: the landmarks that have it, with their weights.
-        held: dict[int, dict[int, float]] = {}
-        for n, m in enumerate(self.short):
-            x = self.letter[[ord(ch) & 0xFFFF for ch in landmarks[m]]].tolist()
-            for i, j, k, w in self.triples:
-                if k < len(x):
-                    of = held.setdefault((x[i] * self.base + x[j]) * self.base + x[k], {})
-                    of[n] = of.get(n, 0.0) + w
-        self.table = np.full(self.base**3, -1, np.int32)
-        for u, key in enumerate(held):
-            self.table[key] = u
-        counts = np.array([len(of) for of in held.values()], np.int64)
-        self.begin, self.count = np.cumsum(counts) - counts, counts
-        self.mark = np.array([n for of in held.values() for n in of], np.int64)
-        self.weight = np.array([w for of in held.values() for w in of.values()])
-        # A stretch's kernel with itself is at least that of one with all letters different.
-        self.least_self = np.array([1e-30] * 3 + [sum(w * w for i, j, k, w in self.triples if k < n) for n in range(3, STRETCH + 1)])
-
-    def stretches(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, landmark and normalised kernel, where not below LEAST, of rows of up to STRETCH code points."""
-        rows, marks, values = [], [], []
-        x = self.letter[c & 0xFFFF]
-        for lo in range(0, len(c), 40_000):
-            part = x[lo : lo + 40_000].astype(np.int64)
-            total = np.zeros(len(part) * len(self.short))
-            for i, j, k, w in self.triples:
-                u = self.table[(part[:, i] * self.base + part[:, j]) * self.base + part[:, k]]
-                at = np.flatnonzero(u >= 0)
-                u = u[at]
-                n = self.count[u]
-                slot = np.repeat(self.begin[u] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                np.add.at(total, np.repeat(at, n) * len(self.short) + self.mark[slot], w * self.weight[slot])
-            hit = np.flatnonzero(total)
-            r, m = hit // len(self.short), hit % len(self.short)
-            most = total[hit] / (np.sqrt(self.least_self[(c[lo + r] > 0).sum(axis=1)]) * self.norm[self.short[m]])
-            good = most >= LEAST
-            rows.append(lo + r[good])
-            marks.append(self.short[m[good]])
-            values.append(total[hit[good]])
-        r, m, v = np.concatenate(rows), np.concatenate(marks), np.concatenate(values)
-        used, back = np.unique(r, return_inverse=True)
-        v /= np.sqrt(np.maximum(raw_kernel(c[used], c[used]), 1e-30))[back] * self.norm[m]
-        good = v >= LEAST
-        return r[good], m[good], v[good]
-
-    def wholes(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same of whole words with the longer landmarks."""
-        lens, sets = (c > 0).sum(axis=1), letters(c)
-        pairs = [np.flatnonzero((np.bitwise_count(sets & self.sets[n]) >= self.least_letters[n]) & (lens <= 2 * self.long_lens[n] + 2)) for n in range(len(self.long))]
-        r, n = np.concatenate(pairs), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-        used, back = np.unique(r, return_inverse=True)
-        v = raw_kernel(c[r], self.long_codes[n]) / (np.sqrt(np.maximum(raw_kernel(c[used], c[used]), 1e-30))[back] * self.norm[self.long[n]])
-        good = v >= LEAST
-        return r[good], self.long[n[good]], v[good]
-
-    def windows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same of words beyond LONGEST: a word's best part for each longer landmark.
-
-        A part that begins with a letter that the landmark lacks is no better than without it.
-        One recursion from each start gives the parts of all lengths.
-        """
-        most = 2 * LONGEST + 2
-        # Words end to end, with zeros between them that no part reaches over.
-        flat = np.array("".join(w + "\0" * most for w in words), dtype=str).reshape(1).view(np.uint32) if words else np.zeros(0, np.uint32)
-        lens = np.array([len(w) for w in words], np.int64)
-        owner = np.repeat(np.arange(len(words)), lens)
-        starts = np.arange(lens.sum()) + owner * most
-        best: dict[int, float] = {}
-        for lo in range(0, len(starts), WINDOWS):
-            c = flat[starts[lo : lo + WINDOWS, None] + np.arange(most)]
-            of, sets = owner[lo : lo + WINDOWS], np.bitwise_or.accumulate(classes(c), axis=1)
-            widths = 2 * self.long_lens + 2
-            pairs = [np.flatnonzero((sets[:, 0] & self.sets[n] > 0) & (np.bitwise_count(sets[:, widths[n] - 1] & self.sets[n]) >= self.least_letters[n])) for n in range(len(self.long))]
-            used = np.unique(np.concatenate(pairs))
-            if not len(used):
-                continue
-            place = np.zeros(len(c), np.int64)
-            place[used] = np.arange(len(used))
-            own = np.sqrt(np.maximum(prefix_kernels(c[used]), 1e-30))
-            for n, r in enumerate(pairs):
-                if len(r):
-                    w = int(widths[n])
-                    v = prefix_kernels(c[r, :w], np.broadcast_to(self.long_codes[n, : self.long_lens[n]], (len(r), self.long_lens[n]))) / (own[place[r], :w] * self.norm[self.long[n]])
-                    v = np.where(np.bitwise_count(sets[r, :w] & self.sets[n]) >= self.least_letters[n], v, 0.0).max(axis=1)
-                    for i in np.flatnonzero(v >= LEAST).tolist():
-                        key = int(of[r[i]]) * len(self.words) + int(self.long[n])
-                        best[key] = max(best.get(key, 0.0), float(v[i]))
-        keys = np.array(list(best), np.int64)
-        return keys // len(self.words), keys % len(self.words), np.array(list(best.values()), np.float64)
+        # For each landmark and letter, the places where it has it.
+        self.places = np.zeros((len(landmarks), len(alphabet) + 1), np.uint64)
+        for m, w in enumerate(landmarks):
+            for i, x in enumerate(w):
+                self.places[m, self.letter[ord(x) & 0xFFFF]] |= np.uint64(1 << i)
+
+    def shared(self, x: np.ndarray, m: int) -> np.ndarray:
+        """Length of the longest common subsequence of each row of letters with a landmark, by bits."""
+        row = np.full(len(x), ~np.uint64(0))
+        at = self.places[m]
+        for j in range(x.shape[1]):
+            u = row & at[x[:, j]]
+            row = (row + u) | (row - u)
+        return np.bitwise_count(~row & np.uint64((1 << int(self.lens[m])) - 1)).astype(np.int64)
+
+    def parts(self, c: np.ndarray, m: int) -> np.ndarray:
+        """The best part's normalised kernel with a landmark, for rows of code points."""
+        width, n = int(2 * self.lens[m] + 3), c.shape[1]
+        padded = np.hstack([c, np.zeros((len(c), width), c.dtype)])
+        mark = self.codes[m, : self.lens[m] + 1]
+        row, start = np.nonzero(np.isin(c, mark[: 2 + self.lacking[m]]))
+        best = np.zeros(len(c))
+        for lo in range(0, len(row), WINDOWS):
+            r, s = row[lo : lo + WINDOWS], start[lo : lo + WINDOWS]
+            part = padded[r[:, None], s[:, None] + np.arange(min(width, n))]
+            own = np.sqrt(np.maximum(prefix_kernels(part), 1e-30))
+            v = prefix_kernels(part, np.broadcast_to(mark, (len(part), len(mark)))) / (own * self.norm[m])
+            np.maximum.at(best, r, np.where(np.cumsum(part == 0, axis=1) == 0, v, 0.0).max(axis=1))
+        return best
 
     def of_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token numbers (ascending), landmark numbers and values: the kernel to the power, of each stretch, whole and long token's best part."""
-        flat, owner, beyond = [], [], []
+        """Token numbers (ascending), landmark numbers and values: the kernel to the power."""
+        by_width: dict[int, tuple[list[str], list[int]]] = {}
         for i, token in enumerate(tokens):
-            word = clean(token)
-            if len(word) <= LONGEST:
-                if len(word) >= ORDER:
-                    flat.append(word)
-                    owner.append(i)
-            else:  # pieces that overlap by a stretch less one hold every stretch
-                step = LONGEST - STRETCH + 1
-                found = [word[at : at + LONGEST] for at in range(0, len(word) - STRETCH + 1, step)]
-                flat += found
-                owner += [-1 - i] * len(found)
-                beyond.append((i, word))
-        if not flat or not self.words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        c, who = codes(flat, LONGEST), np.array(owner)
-        lens, token_of = (c > 0).sum(axis=1), np.where(who < 0, -1 - who, who)
-        got = []
-        if len(self.short):
-            which = [np.flatnonzero((lens >= at + STRETCH) | (at == 0)) for at in range(LONGEST - STRETCH + 1)]
-            at = np.concatenate(which)
-            r, m, v = self.stretches(np.concatenate([c[w, i : i + STRETCH] for i, w in enumerate(which)]))
-            got.append((token_of[at[r]], m, v))
-        whole = np.flatnonzero((lens > STRETCH) & (who >= 0))
-        if len(self.long) and len(whole):
-            r, m, v = self.wholes(c[whole])
-            got.append((token_of[whole[r]], m, v))
-        if len(self.long) and beyond:
-            r, m, v = self.windows([word for _, word in beyond])
-            got.append((np.array([i for i, _ in beyond])[r], m, v))
+            for word in forms(token):
+                for piece in (word,) if len(word) <= PIECE else (word[at : at + PIECE] for at in range(0, len(word) - PIECE // 2, PIECE // 2)):
+                    of = by_width.setdefault(-(-len(piece) // 8) * 8, ([], []))
+                    of[0].append(piece)
+                    of[1].append(i)
+        got: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for width, (words, owner) in by_width.items() if self.words else ():
+            who = np.array(owner, np.int64)
+            for lo in range(0, len(words), WORDS):
+                c = codes(words[lo : lo + WORDS], width)
+                x = self.letter[c & 0xFFFF]
+                for m in range(len(self.words)):
+                    near = np.flatnonzero(self.shared(x, m) >= self.lens[m] - self.lacking[m])
+                    if len(near):
+                        v = self.parts(c[near], m)
+                        good = v >= LEAST
+                        got.append((who[lo + near[good]], np.full(good.sum(), m), v[good] ** POWER))
         t, m, v = (np.concatenate(x) for x in zip(*got, strict=True))
         by = np.argsort(t, kind="stable")
-        return t[by], m[by], v[by] ** POWER
+        return t[by], m[by], v[by]
 
     def among(self) -> np.ndarray:
         """The landmarks' kernel matrix."""
-        n, c = len(self.words), codes(self.words, LONGEST)
+        n, c = len(self.words), self.codes
         i, j = (x.ravel() for x in np.indices((n, n)))
         return ((raw_kernel(c[i], c[j]) / (self.norm[i] * self.norm[j])) ** POWER).reshape(n, n)
 
@@ -298,11 +235,14 @@ class Features:
 
 
 def landmark_words(texts: list[set[str]], labels: np.ndarray, n: int = LANDMARKS) -> list[str]:
-    """Beginnings of words that most raise the odds of the toxic label, by the likelihood ratio of their presence; none adds to another that only toxic texts have."""
+    """Words and stems (beginnings of words) that most raise the odds of the toxic label, by the likelihood ratio of their presence.
+
+    Of words that begin alike the best one stands for all, as the kernel finds it in the others.
+    """
     n1, n0 = int(labels.sum()), int((labels == 0).sum())
-    scored = []
-    for m in (*range(SHORTEST, STRETCH + 1), 0):  # beginnings of each length, then whole words: one kind is held at a time
-        kinds = lambda found, m=m: {c[:m] if m else c for c in map(clean, found) if len(c) >= ORDER and (m or len(c) <= LONGEST)}
+    scored = set()
+    for m in (*range(SHORTEST, STEM + 1), 0):  # beginnings of each length, then whole words: one kind is held at a time
+        kinds = lambda found, m=m: {c[:m] if m else c for c in map(clean, found) if len(c) >= SHORTEST and (m or len(c) <= LONGEST)}
         toxic = Counter(w for found, y in zip(texts, labels, strict=True) if y for w in kinds(found))
         toxic = {w: a for w, a in toxic.items() if a >= 2}
         other = Counter(w for found, y in zip(texts, labels, strict=True) if not y for w in kinds(found) & toxic.keys())
@@ -316,16 +256,28 @@ def landmark_words(texts: list[set[str]], labels: np.ndarray, n: int = LANDMARKS
                 q = x / of if of else 0.0
                 ll += (x * math.log(q / p) if x else 0.0) + ((of - x) * math.log((1 - q) / (1 - p)) if of > x else 0.0)
             if ll > LEAST_RATIO:
-                scored.append((-round(ll, 6), -len(w), w, 50 * b < a))
+                scored.add((-round(ll, 6), -len(w), w))
     chosen: list[str] = []
-    pure: list[str] = []
-    for _, _, w, only in sorted(set(scored)):
-        if len(chosen) < n and not any(w.startswith(c) or c.startswith(w) for c in pure):
+    for ll, _, w in sorted(scored):
+        if len(chosen) < n and ll <= LEAST_SHARE * min(scored)[0] and not any(w.startswith(c) or c.startswith(w) for c in chosen):
             chosen.append(w)
-            pure += [w] * only
     return chosen
 
 
+def changed(tokens: set[str], marks: list[str], how: int, at: int) -> set[str]:
+    """Copies of a text's tokens whose landmarks have a character put in, doubled, or between all letters; `at` says which and where."""
+    filler = "xzqj10"[at % 6]
+    found = set()
+    for t in tokens:
+        w = clean(t)
+        mark = next((m for m in marks if w.startswith(m)), None)
+        if mark:
+            i = 1 + at % (len(mark) - 1)
+            t = (w[:i] + filler + w[i:], w[:i] + w[i - 1] + w[i:], filler.join(w))[how]
+        found.add(t)
+    return found
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 60) -> tuple[np.ndarray, float]:
     """Linear SVM, squared hinge, classes balanced, by Newton's method on the active rows."""
     s = np.where(y > 0, 1.0, -1.0)
@@ -366,6 +318,15 @@ class Model:
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float):
         self.landmarks, self.weights, self.bias = landmarks, weights, bias
+        self.held: Features | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": None}
+
+    def features(self) -> Features:
+        """Made once in each worker."""
+        self.held = self.held or Features(Kernel(self.landmarks))
+        return self.held
 
     def score(self, features: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(features @ self.weights + self.bias, -500, 500))))
@@ -379,6 +340,9 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     if not marks:
         share = (y.sum() + 0.5) / (len(y) + 2.0)
         return Model([], np.zeros(0), float(np.log(share / (1 - share))))
+    copies = [changed(t, marks, i % 3, i // 3) for i, (t, label) in enumerate(zip(texts, y, strict=True)) if label]
+    copies = [c for c, t in zip(copies, (t for t, label in zip(texts, y, strict=True) if label), strict=True) if c != t]
+    texts, y = texts + copies, np.concatenate([y, np.ones(len(copies), y.dtype)])
     kernel = Kernel(marks)
     features = Features(kernel)
     f = np.zeros((len(texts), len(marks)))
@@ -395,7 +359,7 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: dict[int, int] | None = None) -> Model:
-    """Train on the labelled documents, a bounded sample of each label. Repeated labels of a document: the larger counts; null labels don't."""
+    """Train on the labelled documents, whole texts of a bounded sample of each label. Repeated labels of a document: the larger counts; null labels don't."""
     sample = sample or SAMPLE
     marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_y"))
     marked = marked.withColumn("_h", F.xxhash64("_id"))
@@ -407,22 +371,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1] or ""))])
 
 
-_HELD: dict[int, Features] = {}
-
-
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` without its text, with `score` in [0, 1] and `predicted` (1 from a half on). Null texts score as empty ones; each row by itself, whole."""
+    """`docs` without its text, with `score` in [0, 1] and `predicted` (1 from a half on); columns of these names are replaced.
+
+    Null texts score as empty ones, each row by itself and whole: ties and repeated rows score
+    alike. An empty table gives no rows. Extra columns pass through, whatever their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: list[str | None]) -> list[tuple[float, int]]:
         m = sent.value
-        features = _HELD.get(id(m))
-        if features is None:
-            _HELD.clear()
-            features = _HELD[id(m)] = Features(Kernel(m.landmarks))
+        features = m.features()
         found = [tokens_of(t) for t in texts]
         features.learn(found)
         scores = [m.score(features.of(t)) for t in found]
         return [(s, int(s >= 0.5)) for s in scores]
 
-    return per_text(docs, score, "score double, predicted int", text=text_col, chunk=256)
+    passed = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
+    rows = docs.select(F.struct(*passed).alias("doc") if passed else F.lit(0).alias("doc"), F.col(text_col).alias("text"))
+    scored = per_text(rows, score, "score double, predicted int", chunk=256)
+    return scored.select(*[F.col("doc")[c].alias(c) for c in passed], "score", "predicted")
