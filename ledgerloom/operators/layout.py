@@ -138,6 +138,25 @@ def nearest_role(cx: Column, roles: Column) -> Column:
     return F.array_min(F.transform(roles, lambda r: F.struct(F.abs(r["cx"] - cx).alias("d"), r["rank"].alias("rank"), r["name"].alias("name"))))["name"]
 
 
+def cells_by_header(tokens: DataFrame, tolerance: float = 18.0) -> tuple[DataFrame, DataFrame]:
+    """(cells, layouts) of pages of tokens, for parse_rows: a page's lines, each word under the role of the nearest header word.
+
+    Two roles of one header word: the first takes the words, the last fills the cell. Pages
+    without a header line in their first eight have no layout and no cells.
+    """
+    lines = group_lines(tokens, tolerance).select("source_file", "page_num", F.lit(0).alias("table_id"), F.col("line_no").alias("row_idx"), "words")
+    layouts = detect_layout(lines.withColumn("cells", F.col("words.text")))
+    heads = lines.join(layouts.withColumnRenamed("header_row", "row_idx"), ["source_file", "page_num", "table_id", "row_idx"])
+    roles = F.transform(F.map_entries("columns"), lambda e, i: F.struct(i.alias("rank"), e["key"].alias("name"), e["value"].alias("at"), ((F.get("words", e["value"])["x"] + F.get("words", e["value"])["x1"]) / 2).alias("cx")))
+    heads = heads.select("source_file", "page_num", F.col("row_idx").alias("head"), roles.alias("roles"))
+    rows = lines.join(heads, ["source_file", "page_num"]).where("row_idx > head")
+    placed = rows.withColumn("words", F.transform("words", lambda w: F.struct(nearest_role((w["x"] + w["x1"]) / 2, F.col("roles")).alias("role"), w["text"].alias("text"))))
+    name_at = lambda i: F.element_at(F.filter("roles", lambda r: r["at"] == i), -1)["name"]
+    said = lambda role: F.array_join(F.transform(F.filter("words", lambda w: w["role"] == role), lambda w: w["text"]), " ")
+    cells = F.transform(F.sequence(F.lit(0), F.array_max(F.col("roles.at"))), lambda i: F.when(F.exists("roles", lambda r: r["at"] == i), said(name_at(i))).otherwise(""))
+    return placed.select("source_file", "page_num", "table_id", "row_idx", cells.alias("cells")), layouts
+
+
 # Lines that are no transactions, and the slots of the borderless layout.
 _FURNITURE = r"Date Narration|Closing Balance|HDFC BANK LIMITED|\*Closing balance|Contents of this statement|Registered Office|STATEMENT SUMMARY"
 _SLOTS = {"description": (65, 280), "cheque_no": (280, 355), "value_date": (355, 400), "debit": (400, 480), "credit": (480, 550), "balance": (550, 640)}
@@ -172,11 +191,22 @@ def parse_borderless(tokens: DataFrame) -> DataFrame:
     return grouped.select("source_file", "page_num", F.col("gid").cast("int").alias("row_idx"), "h.txn_date", "h.value_date", "h.cheque_no", "description", "h.debit", "h.credit", "h.balance", F.lit(True).alias("direct"))
 
 
+def borderless_hint(text: Column) -> Column:
+    """A page's text that sends it straight to the word parser."""
+    text = F.lower(text)
+    return F.contains(text, F.lit("narration")) & (F.contains(text, F.lit("withdrawal amt")) | F.contains(text, F.lit("deposit amt")))
+
+
 def choose_rows(found: DataFrame) -> DataFrame:
-    """Of a page's candidates (path: `layout`, `free`, `borderless`) those of the chain: a layout's, else the free ones unless they are one at most and the borderless more."""
+    """Of a page's candidates (path: `layout`, `free`, `borderless`; optionally `hint`) those of the chain.
+
+    Borderless ones where the page's text hints at them, else a layout's, else the free ones
+    unless they are one at most and the borderless more.
+    """
     page = Window.partitionBy("source_file", "page_num")
     n = {p: F.sum((F.col("path") == p).cast("int")).over(page) for p in ("layout", "free", "borderless")}
-    path = F.when(n["layout"] > 0, "layout").when((n["free"] <= 1) & (n["borderless"] > n["free"]), "borderless").otherwise("free")
+    hinted = F.coalesce(F.max("hint").over(page), F.lit(False)) if "hint" in found.columns else F.lit(False)
+    path = F.when(hinted & (n["borderless"] > 0), "borderless").when(n["layout"] > 0, "layout").when((n["free"] <= 1) & (n["borderless"] > n["free"]), "borderless").otherwise("free")
     return found.withColumn("_path", path).where("path = _path").drop("_path")
 
 
@@ -185,6 +215,17 @@ def page_format(direct: Column, is_hdfc: Column, branch: Column, flag: Column) -
     return F.when(~direct, "Fallback (Math Engine)").when(is_hdfc & (branch == "") & (flag == ""), "Schema HDFC – Withdrawal / Deposit").when((branch == "") & (flag != ""), "Format B – Cr/Dr Flag").otherwise("Format A – Standard")
 
 
+def page_formats(rows: DataFrame) -> DataFrame:
+    """(source_file, page_num, format): the label of each page's first direct row (layout, cheque_no, value_date, debit, credit, branch_code, cr_dr)."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    entry = (F.col("cheque_no").isNotNull()) & F.col("value_date").isNotNull() & (F.concat(text("debit"), text("credit")) != "")
+    is_hdfc = (F.col("layout") == "schema_hdfc") | (entry & (text("branch_code") == "") & (text("cr_dr") == ""))
+    # A branch or a flag says more than the layout's name only where the layout isn't named.
+    label = F.when(is_hdfc, "Schema HDFC – Withdrawal / Deposit").when((text("branch_code") == "") & (text("cr_dr") != ""), "Format B – Cr/Dr Flag").otherwise("Format A – Standard")
+    first = F.min_by(F.when(F.col("direct"), label), F.when(F.col("direct"), F.struct("table_id", "row_idx")))
+    return rows.groupBy("source_file", "page_num").agg(F.coalesce(first, F.lit("Fallback (Math Engine)")).alias("format"))
+
+
 def bank_name(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: strip(x)), lambda x: x != "")
     out = F.coalesce(F.get(lines, F.lit(0)), F.lit("Bank Statement"))
@@ -226,6 +267,21 @@ def row_confidence(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("source_file", "page_num", "line_no").agg(F.round(F.avg("score"), 4).alias("confidence"))
 
 
+def recognised_rows(tokens: DataFrame) -> DataFrame:
+    """Lines of three tokens or more (line_no, x0, text, score) whose first is a date: cells from left to right, and confidence."""
+    cells = F.array_sort(F.collect_list(F.struct("x0", "text")))
+    rows = tokens.groupBy("source_file", "page_num", "line_no").agg(cells["text"].alias("cells"), F.round(F.avg("score"), 4).alias("confidence"))
+    return rows.where((F.size("cells") >= 3) & F.get("cells", F.lit(0)).rlike(DATE))
+
+
+# Phrases of headers, footers and watermarks.
+_NOISE = ("statement of account", "customer id", "synthetic data", "txn date", "value date", "account holders name", "micr code")
+
+
+def is_noise(line: Column) -> Column:
+    return _any(F.lower(line), _NOISE)
+
+
 def unique_names(names: list[str]) -> list[str]:
     """Column names without blanks and repeats."""
     seen: dict[str, int] = {}
