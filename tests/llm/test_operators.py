@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import ann, chat, mixing, quality, queries, sampled_pieces, simhash, substring_dedup, toxicity, urls, warc
+from ledgerloom.llm import ann, chat, mixing, oracle, quality, queries, sampled_pieces, simhash, substring_dedup, toxicity, urls, warc
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -103,10 +103,12 @@ def test_quality_rules(spark, odd):
     body = lambda i: " ".join(f"d{i}x{j}" for j in range(40))
     docs = spark.createDataFrame([(i, f"{line}\n{body(i)}" if i else line, "a") for i in range(30)] + [(99, line + "\n" + line + "\n" + line + " more words of its own so that twenty are reached", "a")], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
-    assert got[1].n_removed_words == 11 and got[1].kept and got[0].n_removed_words == 0 and not got[0].kept  # too short
+    assert got[1].n_removed_words == 11 and got[1].kept and got[0].n_removed_words == 11 and not got[0].kept  # too short
     assert got[99].n_dup_lines == 1 and got[99].n_repeat_words == 33 and got[99].base_failed
     texts = {r.doc_id: r.text for r in quality.apply_quality(docs).collect()}
     assert texts[1] == body(1) and 0 not in texts
+    short = spark.createDataFrame([(i, f"{line}\nanother of those lines that all pages of this host have\nown words {i}", "a") for i in range(30)], "doc_id long, text string, source string")
+    assert {(r.base_failed, r.kept) for r in quality.quality_rules(short).collect()} == {(False, False)} and quality.apply_quality(short).count() == 0  # depleted
     rows = quality.quality_rules(odd).collect()
     assert len(rows) == 9 and all(r.kept is not None for r in rows) and quality.apply_quality(odd).count() > 0
     assert quality.quality_rules(odd.limit(0)).count() == 0
@@ -379,3 +381,66 @@ def test_ann_recall_and_pairs_scored(spark, clustered):
     for i in (0, 1):
         places[i, perms[i]] = np.arange(ann.ORDER)
     assert np.abs(places[0] - places[1]).sum() == ann.ORDER * (ann.ORDER + 1) - 2 * files.nearness(perms[0])[1]
+
+
+def test_frequent_anchors_are_dealt_out(spark):
+    rng = np.random.default_rng(2)
+    phrase = " ".join(f"licence{i}" for i in range(19))
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 15)) + f" {phrase} " + " ".join(f"w{x}" for x in rng.integers(0, 5000, 15))) for i in range(4000)], "key long, text string")
+    heavy = substring_dedup.heavy_anchors(docs, 1 << 20)
+    assert 0 < len(heavy) < 100
+
+    def largest(marks):
+        rows = docs.mapInPandas(substring_dedup._index(256, marks), "bucket int, blocks binary, known binary").groupBy("bucket").agg(F.sum(F.length("blocks")).alias("n")).toPandas()["n"]
+        return rows.max() / rows.sum()
+
+    assert largest([]) > 0.03 and largest(heavy) < 0.02
+    got = substring_dedup.substring_dedup(docs.withColumnRenamed("key", "doc_id"), with_text=False).agg(F.sum("n_words") - F.sum("n_removed")).first()[0]
+    assert got == sum(map(len, brute_substrings(docs.orderBy("key").collect())))
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, odd, ""), stage(spark, odd.limit(0), "")
+        assert none.count() == 0 and got.count() <= 18, name
+        if name != "sentencepiece sampling":
+            assert tuple(got.columns) == corpus_pipeline.COLUMNS
+    kept = {name: stage(spark, odd, "").count() for name, stage in corpus_pipeline.STAGES[:3]}
+    assert kept == {"quality rules": 4, "simhash near-dedup": 4, "substring dedup": 9}
+
+
+def test_pipeline_by_brute_force(spark):
+    """run() on the smallest tables: rules, links, windows and mixing done plainly, one document after the other."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").orderBy("doc_id").collect()]
+    ok = [i for i, t, _ in docs if (w := quality.stats_of(t))[0] >= 20 and 100 * w[4] <= 30 * w[0]]
+    plain = lambda line: " ".join(line.split()).lower()
+    held, hosts = Counter((s, x) for _, t, s in docs for x in {plain(x) for x in (t or "").split("\n")} if x), Counter(s for _, _, s in docs)
+    often = {(s, x) for (s, x), n in held.items() if n > 10 and n > 0.01 * hosts[s]}
+    left = []
+    for i, t, s in docs:
+        if i in ok:
+            cut = "\n".join(x for x in t.split("\n") if (s, plain(x)) not in often)
+            n, m = len(t.split()), len(cut.split())
+            if m == n or (m >= 10 and m >= 0.3 * n):
+                left.append((i, cut, s))
+    fps = [simhash.fingerprint_of(t) & (2**64 - 1) for _, t, _ in left]
+    root = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    left = [d for i, d in enumerate(left) if root[i] == i]
+    kept = brute_substrings([d[:2] for d in left])
+    left = [(i, t if len(k) == len(t.split()) else b" ".join(k).decode(), s) for (i, t, s), k in zip(left, kept, strict=True)]
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(left, columns=["doc_id", "text", "source"]))
+    times = {i: (a is not None) + (b is not None) for i, a, b in con.execute(f"SELECT doc_id, at_first, at_second FROM ({oracle.OP8})").fetchall()}
+    rows = corpus_pipeline.run(spark, DATA).where("rank = 1")
+    got = sampled_pieces.decode(rows).select("doc_id", "decoded", "decoded_ok").collect()
+    assert all(r.decoded_ok for r in got) and Counter(r.doc_id for r in got) == Counter({i: n for i, n in times.items() if n})
+    texts = {i: t.replace("\u2581", " ") for i, t, _ in left}
+    assert all(r.decoded == texts[r.doc_id] for r in got)
