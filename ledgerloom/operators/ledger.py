@@ -159,13 +159,14 @@ def row_style(df: DataFrame, order: list[str]) -> DataFrame:
 def weak_labels(rows: DataFrame, description: str = "narration", flag: str = "cr_dr") -> DataFrame:
     """(domain, label, phrase): deep-cleaned narrations of quality with each label their rules give, once each."""
     raw = F.col(description)
-    phrase = text.deep_clean(raw)
+    # In a generator the cleaner stands once; a filter on its column would repeat it, inlined, for each mention.
+    phrase = F.explode(F.filter(F.array(text.deep_clean(raw)), text.is_exemplar))
     found = {
         "Transaction Mode": rules.first_rule(raw, rules.WEAK_MODE), "Transaction Direction": rules.weak_direction(text.has_value(F.col("debit")), text.has_value(F.col("credit")), F.col(flag)),
         "Transaction Purpose": rules.weak_purpose(raw), "Bank / Institution": rules.first_rule(raw, rules.WEAK_BANK),
     }
     labels = F.array(*[F.struct(F.lit(d).alias("domain"), label.alias("label")) for d, label in found.items()])
-    good = rows.withColumn("phrase", phrase).where(text.is_exemplar(F.col("phrase")))
+    good = rows.withColumn("phrase", phrase)
     return good.select("phrase", F.inline(labels)).where("label is not null").select("domain", "label", "phrase").distinct()
 
 
