@@ -6,8 +6,13 @@ are sent to every task. Beyond PROTOTYPES they are joined in blocks of about tha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PROTOTYPES = 10_000
 
@@ -25,20 +30,46 @@ def normalise(v: Column) -> Column:
 def label_scores(vectors: DataFrame, prototypes: DataFrame, pool: str = "max") -> DataFrame:
     """(id, label, label_rank, score) of unit vectors (id, v) against unit prototypes (label, label_rank, v), pooled over a label's.
 
-    pool: `max`, `top3` (mean of the three best) or `mean`. All prototypes travel as one array with
-    the label set, so rows are neither multiplied nor shuffled before their scores are ready.
+    pool: `max`, `top3` (mean of the three best) or `mean`. Prototypes go to every task as one matrix, so
+    rows are neither multiplied nor shuffled before their scores are ready. A vector that is null, of another
+    length, or has a null or NaN inside has null scores; such a prototype takes no part.
     """
-    n = prototypes.count()
-    if n > PROTOTYPES:
-        return _blocked_scores(vectors, prototypes, pool, -(-n // PROTOTYPES))
-    labels = prototypes.groupBy("label", "label_rank").agg(F.collect_list("v").alias("ps"))
-    packed = F.broadcast(labels.agg(F.array_sort(F.collect_list(F.struct("label_rank", "label", "ps"))).alias("all_")))
-    both = vectors.join(packed)
-    sims = lambda p: F.transform(p["ps"], lambda q: dot(F.col("v"), q))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    pooled = {"max": lambda a: F.array_max(a), "top3": lambda a: mean(F.slice(F.sort_array(a, False), 1, 3)), "mean": mean}[pool]
-    scored = both.select("id", F.explode(F.transform("all_", lambda p: F.struct(p["label"].alias("label"), p["label_rank"].alias("label_rank"), pooled(sims(p)).alias("score")))).alias("s"))
-    return scored.select("id", "s.label", "s.label_rank", "s.score")
+    given = prototypes.select("label", "label_rank", "v").limit(PROTOTYPES + 1)
+    found = given.toArrow()
+    if found.num_rows > PROTOTYPES:
+        return _blocked_scores(vectors, prototypes, pool, -(-prototypes.count() // PROTOTYPES))
+    rows = [r for r in found.to_pylist() if r["v"] is not None and not any(x is None or x != x for x in r["v"])]
+    groups: dict[tuple, list] = {}
+    for r in rows:
+        key = r["label"]
+        groups.setdefault((r["label_rank"], tuple(key.items()) if isinstance(key, dict) else key), []).append(r)
+    keys = sorted(groups, key=lambda k: (k[0], str(k[1])))
+    schema = T.StructType([T.StructField("pos", T.IntegerType()), *[given.schema[c] for c in ("label", "label_rank")]])
+    labels = vectors.sparkSession.createDataFrame([(i, groups[k][0]["label"], k[0]) for i, k in enumerate(keys)], schema)
+    pooled = _pooled([np.array([r["v"] for r in groups[k]], dtype=float) for k in keys], pool)
+    scored = vectors.select("id", F.posexplode(pooled(F.col("v"))).alias("pos", "score"))
+    return scored.join(F.broadcast(labels), "pos").select("id", "label", "label_rank", "score")
+
+
+def _pooled(groups: list[np.ndarray], pool: str) -> Callable[[Column], Column]:
+    """Column of vectors to their score for each group, by one matrix product a slice of rows."""
+    matrix = np.concatenate(groups) if groups else np.zeros((0, 0))
+    starts = np.cumsum([0, *map(len, groups)])
+    at_once = max(1, 4_000_000 // max(1, len(matrix)))
+
+    @F.pandas_udf("array<double>")
+    def scores(v: pd.Series) -> pd.Series:
+        whole = np.array([x is not None and len(x) == matrix.shape[1] and not np.isnan(np.asarray(x, dtype=float)).any() for x in v], dtype=bool)
+        out = np.full((len(v), len(starts) - 1), None, dtype=object)
+        for some in np.array_split(np.flatnonzero(whole), -(-int(whole.sum()) // at_once) or 1):
+            if len(some) and len(matrix):
+                sims = np.stack([np.asarray(v.iloc[i], dtype=float) for i in some]) @ matrix.T
+                for g, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                    part = sims[:, a:b]
+                    out[some, g] = part.max(axis=1) if pool == "max" else (np.sort(part, axis=1)[:, -3:] if pool == "top3" else part).mean(axis=1)
+        return pd.Series(list(out), dtype=object)
+
+    return scores
 
 
 def _blocked_scores(vectors: DataFrame, prototypes: DataFrame, pool: str, blocks: int) -> DataFrame:
