@@ -149,11 +149,12 @@ def blank_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.bool_and(F.coalesce(F.col(c), F.lit("")) == "").alias(c) for c in columns])
 
 
-def row_style(df: DataFrame, order: list[str]) -> DataFrame:
-    """`row_style` by entry, else by parity of the row's place in its file."""
-    place = F.row_number().over(Window.partitionBy("source_file").orderBy(*order)) - 1
-    style = F.when(F.coalesce(F.col("debit"), F.lit("")) != "", "debit").when(F.coalesce(F.col("credit"), F.lit("")) != "", "credit").when(place % 2 == 0, "even").otherwise("odd")
-    return df.withColumn("row_style", style)
+def row_style(df: DataFrame, order: list[str], place: str | None = None) -> DataFrame:
+    """`row_style` by entry, else by parity of the row's number in its file, from 1, which `place` names if it is wanted."""
+    number = F.row_number().over(Window.partitionBy("source_file").orderBy(*order))
+    filled = lambda c: text.strip(F.coalesce(F.col(c), F.lit(""))) != ""
+    style = F.when(filled("debit"), "debit").when(filled("credit"), "credit").when(number % 2 == 0, "even").otherwise("odd")
+    return (df.withColumn(place, number) if place else df).withColumn("row_style", style)
 
 
 def weak_labels(rows: DataFrame, description: str = "narration", flag: str = "cr_dr") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..functions.taxonomy import GATES
+from ..functions.taxonomy import GATES, TAXONOMY
 from ..operators import clusters, ledger, vectors
 
 # The ledger bridge, the same SQL in both engines: narrations and running balances from orders.
@@ -187,6 +187,11 @@ def _merged(df: DataFrame) -> DataFrame:
     return ledger.merge_exemplars(base, ledger.top_exemplars(ledger.weak_labels(df))).groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n_exemplars"))
 
 
+_BASE = "base(domain, label, phrase) AS (VALUES " + ", ".join(f"({_q(d)}, {_q(label)}, {_q(e)})" for d, labels in TAXONOMY.items() for label, es in labels.items() for e in es) + ")"
+_MERGED = f"""{_WEAK}, t AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY domain, label ORDER BY length(phrase) DESC, phrase) <= 6), {_BASE},
+n AS (SELECT domain, label FROM base UNION ALL SELECT domain, label FROM t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.domain = t.domain AND b.label = t.label AND b.phrase = t.phrase))
+SELECT domain, label, count(*) AS n_exemplars FROM n GROUP BY ALL"""
+
 SWEEP = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]
 
 #: name: (query, SQL or None)
@@ -224,7 +229,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "w1_balance_engine": (_b(_balances), _W1),
     "w4_k4_row_style": (
         _b(lambda b: ledger.row_style(b.withColumn("source_file", F.col("file_id")), ["txn_date", "o_orderkey"]).select("o_orderkey", "row_style")),
-        f"{_B} SELECT o_orderkey, CASE WHEN debit <> '' THEN 'debit' WHEN credit <> '' THEN 'credit' WHEN (row_number() OVER (PARTITION BY file_id ORDER BY txn_date, o_orderkey) - 1) % 2 = 0 THEN 'even' ELSE 'odd' END AS row_style FROM b",
+        f"{_B} SELECT o_orderkey, CASE WHEN debit <> '' THEN 'debit' WHEN credit <> '' THEN 'credit' WHEN row_number() OVER (PARTITION BY file_id ORDER BY txn_date, o_orderkey) % 2 = 0 THEN 'even' ELSE 'odd' END AS row_style FROM b",
     ),
     "a1_a2_a3_summary": (
         _b(lambda b: ledger.summary(b)),
@@ -251,7 +256,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         f"{_WEAK} SELECT domain, label, CAST(row_number() OVER (PARTITION BY domain, label ORDER BY length(phrase) DESC, phrase) AS INT) AS rank, phrase FROM w QUALIFY rank <= 6",
     ),
     "o4_preview": (_b(lambda b: b.orderBy("o_orderkey").limit(15).select("o_orderkey", "narration")), f"{_B} SELECT o_orderkey, narration FROM b ORDER BY o_orderkey LIMIT 15"),
-    "u2_merged_exemplars": (_b(_merged), None),
+    "u2_merged_exemplars": (_b(_merged), _MERGED),
     "v2_normalise": (lambda s, d: _unit(s, d).select("vec_id", F.round(vectors.dot(F.col("v"), F.col("v")), 4).alias("norm2")), f"{_V} SELECT vec_id, round(list_dot_product(v, v), 4) AS norm2 FROM v"),
     "v4_label_score": (_pooled("max"), f"{_V} SELECT id, label, round(mx, 4) AS score FROM m"),
     "v5_v6_best_label": (
