@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, StopWordsRemover
+from pyspark.ml.feature import PCA, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -18,30 +17,37 @@ def stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word), without stop words, repeats included. The stop list is fixed and small."""
-    return df.select(key, F.explode(tokens(F.col(text))).alias("word")).where(~F.col("word").isin(stop_words()))
+def words(df: DataFrame, key: str, text: str, stop: list[str] | None = None) -> DataFrame:
+    """(key, word), without stop words (by default Spark's), repeats included. A stop list is small; any other goes in as `stop`."""
+    return df.select(key, F.explode(tokens(F.col(text))).alias("word")).where(~F.col("word").isin(stop_words() if stop is None else stop))
 
 
-def tf_idf(df: DataFrame, key: str, text: str, features: int = 500) -> tuple[DataFrame, list[str]]:
-    """(key, vector) and the vocabulary: the most frequent terms, smoothed inverse document frequency, rows of unit length.
+def tf_idf_weights(df: DataFrame, key: str, text: str, features: int = 500, stop: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """(key, i, word, weight) and the vocabulary: the most frequent terms, smoothed inverse document frequency, rows of unit length.
 
-    The weight is count * (ln((1 + n) / (1 + df)) + 1); documents without a term have zero vectors.
+    The weight is count * (ln((1 + n) / (1 + df)) + 1) over the row's length; documents without a term have no row. Rows
+    of one key are one document; null is no key.
     """
-    n = df.count()
-    tf = words(df, key, text).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
+    n = df.where(F.col(key).isNotNull()).select(key).distinct().count()
+    tf = words(df.where(F.col(key).isNotNull()), key, text, stop).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
     terms = tf.groupBy("word").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "word").limit(features)
     chosen = [(r["word"], r["df"]) for r in terms.orderBy("word").collect()]  # `features` rows at most
-    vocabulary = [w for w, _ in chosen]
-    spark = df.sparkSession
-    idx = spark.createDataFrame([(w, i, d) for i, (w, d) in enumerate(chosen)] or [("", 0, 0)], "word string, i int, df long")
-    weighted = tf.join(F.broadcast(idx), "word").withColumn("x", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
+    idx = df.sparkSession.createDataFrame([(w, i, d) for i, (w, d) in enumerate(chosen)], "word string, i int, df long")
+    raw = tf.join(F.broadcast(idx), "word").withColumn("x", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
+    rows = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.array_sort(F.collect_list(F.struct("i", "word", "x"))).alias("terms"))  # `features` terms at most
+    return rows.select(key, "length", F.inline("terms")).select(key, "i", "word", (F.col("x") / F.col("length")).alias("weight")), [w for w, _ in chosen]
+
+
+def tf_idf(df: DataFrame, key: str, text: str, features: int = 500, stop: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """(key, vector) and the vocabulary; documents without a term have zero vectors."""
+    weights, vocabulary = tf_idf_weights(df, key, text, features, stop)
     size = max(1, len(vocabulary))
-    rows = weighted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("ix"))
-    norm = F.sqrt(F.aggregate("ix", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
-    rows = rows.select(key, F.col("ix.i").alias("i"), F.transform("ix", lambda e: e["x"] / norm).alias("x"))
-    to_vector = F.udf(lambda i, x: SparseVector(size, i or [], x or []), VectorUDT())
-    return df.select(key).join(rows, key, "left").select(key, to_vector("i", "x").alias("vector")), vocabulary
+    dense = F.map_from_entries(F.collect_list(F.struct("i", "weight")))
+    rows = weights.groupBy(key).agg(dense.alias("w"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("w", i), F.lit(0.0)))
+    full = df.select(key).join(rows, key, "left").select(key, array_to_vector(F.coalesce(filled, F.array_repeat(F.lit(0.0), size))).alias("_full"))
+    # The assembler stores a vector as its non-zero places where that is shorter.
+    return VectorAssembler(inputCols=["_full"], outputCol="vector").transform(full).select(key, "vector"), vocabulary
 
 
 def k_means(features: DataFrame, k: int = 4, seed: int = 42, vector: str = "vector") -> tuple[DataFrame, list]:
@@ -55,6 +61,12 @@ def top_terms(centres: list, vocabulary: list[str], n: int = 6) -> list[list[str
     return [[vocabulary[i] for i in sorted(range(len(vocabulary)), key=lambda j: (-c[j], j))[:n]] for c in centres]
 
 
+def centre_terms(spark: SparkSession, centres: list, vocabulary: list[str], n: int = 6) -> DataFrame:
+    """(cluster, rank, term, weight): the heaviest terms of each centre; ties in order of the vocabulary. Centres are few."""
+    rows = [(k, i, t, float(c[vocabulary.index(t)])) for k, (c, terms) in enumerate(zip(centres, top_terms(centres, vocabulary, n), strict=True)) for i, t in enumerate(terms, 1)]
+    return spark.createDataFrame(rows, "cluster int, rank int, term string, weight double")
+
+
 def sizes(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy("cluster")
 

@@ -20,20 +20,37 @@ def statement_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") ->
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
 
-def read_with(files: DataFrame, reader: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows that `reader(path, content)` yields for each file; a file that fails gives none."""
+Reader = Callable[[str, bytes], Iterator[tuple]]
+
+
+def read_with(files: DataFrame, *readers: Reader, schema: str, one_only: bool = False) -> DataFrame:
+    """Rows that the first reader with any yields for each file of (path, content), with `error`.
+
+    Readers stand in order: the next is asked if one yields nothing or, unless `one_only`, fails. A file that no reader
+    could read gives one row of nulls with the path as source_file and the errors; one without rows or errors gives none.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        errors = []
+        for reader in readers:
+            try:
+                rows = list(reader(path, content))
+            except Exception as e:  # one bad file must not end the others
+                errors.append(f"{type(e).__name__}: {e}")
+                if one_only:
+                    break
+                continue
+            if rows:
+                return [(*r, None) for r in rows]
+        return [(*[path if n == "source_file" else None for n in names], "; ".join(errors))] if errors else []
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows = list(reader(path, content))
-                except Exception:  # one bad file must not end the others
-                    rows = []
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows_of(path, content), columns=[*names, "error"], dtype=object)
 
-    return files.mapInPandas(run, schema)
+    return files.mapInPandas(run, f"{schema}, error string")
 
 
 def pages_with_layer(pages: DataFrame) -> DataFrame:
@@ -41,5 +58,17 @@ def pages_with_layer(pages: DataFrame) -> DataFrame:
 
 
 def split_tables(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two-column tables are metadata, those of four columns or more transactions."""
-    return cells.where(F.size("cells") == 2), cells.where(F.size("cells") >= 4)
+    """Rows of tables of two columns are metadata, those of tables of four or more transactions; a table is as wide as its widest row."""
+    table = ["source_file", "page_num", "table_id"]
+    wide = cells.groupBy(*table).agg(F.max(F.size("cells")).alias("_width"))
+    # Null-safe, as a reader may leave a number out; widths are a row for each table.
+    names = {c: wide[c].alias(f"_{c}") for c in table}
+    both = cells.join(wide.select(*names.values(), "_width"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in table]).select(*cells.columns, "_width")
+    return both.where("_width = 2").drop("_width"), both.where("_width >= 4").drop("_width")
+
+
+def metadata_pairs(cells: DataFrame) -> DataFrame:
+    """(source_file, page_num, table_id, row_idx, field, value) of two-column tables, blank and missing names left out."""
+    name = F.btrim(F.get("cells", F.lit(0)))
+    pairs = cells.select("source_file", "page_num", "table_id", "row_idx", name.alias("field"), F.btrim(F.get("cells", F.lit(1))).alias("value"))
+    return pairs.where(F.col("field").isNotNull() & ~F.lower("field").isin("", "nan", "none"))

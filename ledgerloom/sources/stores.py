@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ledger import description_column
+
 
 def missing_labels(taxonomy: DataFrame, store: DataFrame) -> DataFrame:
     """Labels that a store lacks; any at all means that it is built anew."""
@@ -21,7 +25,7 @@ def missing_texts(texts: DataFrame, cache: DataFrame) -> DataFrame:
 def write_version(df: DataFrame, root: str, *partition: str) -> str:
     """Write a new version of a store and then point to it; readers of the old one are not disturbed, and a failed write leaves it."""
     version = uuid.uuid4().hex
-    df.write.partitionBy(*partition).parquet(f"{root}/versions/{version}")
+    (df.write.partitionBy(*partition) if partition else df.write).parquet(f"{root}/versions/{version}")
     df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/pointer")
     return version
 
@@ -33,6 +37,46 @@ def read_version(spark: SparkSession, root: str, back: int = 0) -> DataFrame:
     return spark.read.parquet(f"{root}/versions/{version}")
 
 
+def write_bundle(parts: dict[str, DataFrame], root: str) -> None:
+    """Each part as a new version of its own, then one row that names them all: a reader sees either all new parts or none."""
+    versions = [(name, write_version(df, f"{root}/{name}")) for name, df in sorted(parts.items())]
+    spark = next(iter(parts.values())).sparkSession
+    write_version(spark.createDataFrame(versions, "part string, part_version string").coalesce(1), root)
+
+
+def read_bundle(spark: SparkSession, root: str, back: int = 0) -> dict[str, DataFrame]:
+    """The parts of the latest bundle, or an earlier one; a folder without a bundle is an error."""
+    try:
+        named = read_version(spark, root, back).collect()  # a row for each part
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no prototypes in {root}") from e
+    return {r["part"]: spark.read.parquet(f"{root}/{r['part']}/versions/{r['part_version']}") for r in named}
+
+
+def read_first(spark: SparkSession, paths: list[str], **readers: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """The first of `paths` that exists, read by its ending: csv (with a header), parquet, json, or as a plug-in of that name says."""
+    own = {"csv": lambda s, p: s.read.option("header", True).csv(p), "parquet": lambda s, p: s.read.parquet(p), "json": lambda s, p: s.read.json(p)}
+    for path in paths:
+        kind = path.rsplit(".", 1)[-1].lower()
+        if kind not in own | readers:
+            raise ValueError(f"no reader for {path!r}: give one as {kind}=")
+        try:
+            return (own | readers)[kind](spark, path)
+        except (AnalysisException, FileNotFoundError) as e:
+            if isinstance(e, AnalysisException) and e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"none of {paths}")
+
+
+def described(df: DataFrame, embeddings: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """The table's descriptions as text (missing: `nan`), and how many more rows it has than `embeddings`: anything but 0 is for the caller to report."""
+    name = description_column(df.columns) if "Description" not in df.columns else "Description"
+    texts = df.select(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("nan")).alias("description"))
+    return texts, 0 if embeddings is None else texts.count() - embeddings.count()
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with a header; one file only for ledgers known to be small."""
     (df.coalesce(1) if single else df).write.option("header", True).option("encoding", "UTF-8").csv(path)

@@ -89,8 +89,8 @@ def test_sources_and_stores(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.pdf").write_bytes(b"hello")
     (tmp_path / "in/b.pdf").write_bytes(b"")
-    pages = documents.read_with(documents.statement_files(spark, f"file://{tmp_path}/in"), lambda p, c: [(p, 1, chr(c[0]))], documents.PAGES)
-    assert [r.layer for r in documents.pages_with_layer(pages).collect()] == ["scanned"]
+    pages = documents.read_with(documents.statement_files(spark, f"file://{tmp_path}/in"), lambda p, c: [(p, 1, chr(c[0]))], schema=documents.PAGES)
+    assert [r.layer for r in documents.pages_with_layer(pages.where('error is null')).collect()] == ["scanned"]
     tax = ledger.taxonomy(spark)
     stores.write_version(tax, f"file://{tmp_path}/s", "domain")
     assert stores.missing_labels(tax, stores.read_version(spark, f"file://{tmp_path}/s")).count() == 0
