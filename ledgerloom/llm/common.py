@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..shared import keep, new_path, remove, remove_path, scratch, shared_dir
 from ..shipping import ship
 
 #: A word: a run of characters other than the six ASCII white-space characters.
@@ -56,70 +52,6 @@ def per_text(df: DataFrame, fn: Callable, fields: str, text: str = "text", chunk
     return df.mapInArrow(run, T.StructType([*(f for f in df.schema if f.name != text), *new]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, gets an own one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Folders written and not yet removed, by application.
-_WRITTEN: dict[str, set[str]] = {}
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared one; removed by remove(), else when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    app = spark.sparkContext.applicationId
-    if app not in _WRITTEN:
-        _WRITTEN[app] = set()
-        atexit.register(_remove_rest, spark, app)
-    _WRITTEN[app].add(path)
-    return path
-
-
-def _remove_rest(spark: SparkSession, app: str) -> None:
-    for path in sorted(_WRITTEN.pop(app, ())):
-        try:
-            remove_path(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have ended before
-            return
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it from there: its lineage ends, and losing executors costs nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    read = df.sparkSession.read.schema(df.schema).parquet(path)
-    read.kept_at = path
-    return read
-
-
-def remove(df: DataFrame) -> None:
-    """Delete what keep() gave, when it's read no more."""
-    remove_path(df.sparkSession, df.kept_at)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession, *spared: str) -> Iterator[None]:
-    """Remove at the end what was written within, but for folders whose names begin as said."""
-    before = set(_WRITTEN.get(spark.sparkContext.applicationId, ()))
-    yield
-    for path in sorted(_WRITTEN.get(spark.sparkContext.applicationId, set()) - before):
-        if not path.rsplit("/", 1)[1].startswith(spared):
-            remove_path(spark, path)
-
-
 def ordered_key(docs: DataFrame, id_col: str, key: str = "key") -> DataFrame:
     """Add a long that tells rows apart and follows (id, nulls last, place in the table): the id itself where every row has its own."""
     n_rows, n_ids = docs.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()

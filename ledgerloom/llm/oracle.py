@@ -80,4 +80,51 @@ SELECT page_id, payload_bytes,
 FROM h
 """
 
-ORACLE = {"op2_substring_dedup": OP2, "op3_chat_formatting": OP3, "op4_quality_rules": OP4, "op8_mixing": OP8, "op9_warc": OP9}
+
+
+def _crc32() -> str:
+    """A relation of one row, the checksum's table, made by its rule."""
+    steps = "SELECT n, n AS x FROM range(256) r(n)"
+    for _ in range(8):
+        steps = f"SELECT n, xor(x >> 1, 3988292384 * (x & 1)) AS x FROM ({steps})"
+    return f"crc AS (SELECT list(x ORDER BY n) AS t FROM ({steps}))"
+
+
+def _crc_of(text: str) -> str:
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+OP11 = rf"""
+WITH {_crc32()}, d0 AS (SELECT doc_id, {_WORDS} AS w, {_crc_of('doc_id::VARCHAR')} AS h FROM documents, crc),
+d1 AS (SELECT *, len(w) AS n, h // 10 AS g FROM d0),
+d2 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM d1),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM d2),
+p AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM d),
+e AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM e),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+b AS (SELECT doc_id, start, length, period, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM r),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM r) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period, (1000 * b.length // b.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+OP12 = rf"""
+WITH {_crc32()}, c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+k AS (SELECT c.*, b.ts AS bs, {_crc_of('c.conv_id::VARCHAR')} % 4 AS h FROM crc, c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+r AS (SELECT conv_id, list_concat(coalesce(bs, [])[1:h], ts[h + 1:]) AS ts FROM k),
+p AS (SELECT conv_id, len(ts) AS n, unnest(range(len(ts) + 1)) AS depth, ts FROM r),
+q AS (SELECT conv_id, n, depth, md5(ts[1:depth]::VARCHAR) AS node, CASE WHEN depth > 0 THEN md5(ts[1:depth - 1]::VARCHAR) END AS up, CASE WHEN depth > 0 THEN len(regexp_extract_all(ts[depth].text, '[^ 	-]+')) ELSE 0 END AS words FROM p),
+g AS (SELECT depth, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth) AS said FROM q GROUP BY depth, node),
+kids AS (SELECT depth - 1 AS depth, up AS node, count(*) AS n FROM g WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT g.*, coalesce(kids.n, 0) AS n_children FROM g LEFT JOIN kids USING (depth, node)),
+under AS (SELECT q.depth, q.node, sum((v.n_children = 0)::INT) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved FROM v JOIN q m ON m.conv_id = v.conv_id AND m.depth = v.depth AND m.node = v.node
+  JOIN q ON q.conv_id = v.conv_id AND q.depth <= v.depth GROUP BY ALL)
+SELECT v.conv_id, v.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs, v.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(v.said, '')) AS ends_sha256
+FROM v JOIN under USING (depth, node) LEFT JOIN v parent ON parent.depth = v.depth - 1 AND parent.node = v.up
+"""
+
+ORACLE = {"op2_substring_dedup": OP2, "op3_chat_formatting": OP3, "op4_quality_rules": OP4, "op8_mixing": OP8, "op9_warc": OP9, "op11_periodic_runs": OP11, "op12_prefix_trie": OP12}

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, quality, sampled_pieces, simhash, substring_dedup, toxicity, urls, warc
-from .common import table
+from ..operators.running import numbered
+from . import ann, bpe, chat, mixing, prefix_trie, quality, runs, sampled_pieces, simhash, substring_dedup, toxicity, urls, warc
+from .common import WORD, keep, n_words, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,59 @@ def op10_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
+def _repeated_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the checksum of its id, ends in copies of a part of itself."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words, n = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), n_words(F.col("text"))
+    g = F.floor(h / 10).cast("long")
+    a = F.when(n > 0, g % n)
+    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+    a, times = a.cast("int"), F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), (n - a).cast("int"))
+    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_repeated_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+    def order(a: Column, b: Column) -> Column:  # exact: products of whole numbers
+        x, y = a["length"] * b["period"], b["length"] * a["period"]
+        return F.when(x != y, F.when(x > y, -1).otherwise(1)).when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(F.when(a["period"] < b["period"], -1).when(a["period"] > b["period"], 1).otherwise(0))
+
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise("")
+    first = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return first.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, place, role, text) and all conv_ids: conversations that begin with turns of the first of their twenty."""
+    rows = table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = keep(numbered(rows, ["conv_id"], [F.asc_nulls_first("turn"), "role", "text"], "place").drop("turn"), "conversations")
+    base, h = F.col("conv_id") - F.col("conv_id") % 20, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    bases = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
+    convs = keep(sizes.withColumn("base", base).withColumn("h", h).join(bases, "base", "left").select("conv_id", "base", "h", "n", F.least("h", F.coalesce("n_base", F.lit(0))).alias("head")), "heads")
+    heads = turns.where("place <= 3").withColumnRenamed("conv_id", "base").join(convs.select("conv_id", "base", "head"), "base").where("place <= head")
+    own = prefix_trie.joined(turns, convs.select("conv_id", "h", "head", "n"), ["conv_id"], "n", turns.count()).where("place > h").withColumn("place", F.col("place") - F.col("h") + F.col("head"))
+    return heads.select("conv_id", "place", "role", "text").unionByName(own.select("conv_id", "place", "role", "text")), convs.select("conv_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefix_trie.prefix_trie(*_rebuilt(spark, sf_dir))
+    return nodes.join(prefix_trie.ends_digest(ends), ["conv_id", "depth"], "left").select(*nodes.columns, prefix_trie.digest_or_empty(F.col("sha256")).alias("ends_sha256"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded, then decoded from the ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    told = encoded.select("doc_id", "ids", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    return bpe.decode(told, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_substring_dedup, op3_chat_formatting, op4_quality_rules, op5_simhash_near_dedup, op6_url_filters, op7_sentencepiece_sampling, op8_mixing, op9_warc, op10_permutation_ann)
+    for f in (op1_toxicity, op2_substring_dedup, op3_chat_formatting, op4_quality_rules, op5_simhash_near_dedup, op6_url_filters, op7_sentencepiece_sampling, op8_mixing, op9_warc, op10_permutation_ann, op11_periodic_runs, op12_prefix_trie, op13_bpe)
 }
