@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .taxonomy import ENTITIES
-from .text import title_case, u
+from .text import has_value, title_case, u
 
 # Every rule list below, in the order of evaluation.
 MODE = (
@@ -79,11 +81,38 @@ def word(text: Column, words: str) -> Column:
 
 
 def first_rule(text: Column, rules: tuple, default: str | None = None) -> Column:
-    """The label of the first rule that fits upper-cased text."""
-    upper, out = F.upper(text), F.lit(default).cast("string")
-    for label, kind, words in reversed(rules):
-        out = F.when(word(upper, words) if kind == "word" else upper.rlike(words), F.lit(label)).otherwise(out)
-    return out
+    """The label of the first rule that fits upper-cased text; one pass for all rules.
+
+    A look-ahead meets every place of the text and takes the first rule's words that begin there, so places may overlap;
+    of all places the first rule counts.
+    """
+    ranks: dict[str, int] = {}
+    for i, (label, _, words) in enumerate(rules):
+        for w in words.split("|"):
+            if ranks.setdefault(w, i) != i and rules[ranks[w]][0] != label:
+                raise ValueError(f"{w!r} stands in two rules")
+    pattern = "|".join(rf"\b(?:{words})\b" if kind == "word" else words for _, kind, words in rules)
+    found = F.regexp_extract_all(F.upper(text), F.lit(u(f"(?=({pattern}))")), F.lit(1))
+    rank_of = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
+    rank = F.array_min(F.transform(found, lambda w: F.element_at(rank_of, w)))
+    label = F.get(F.array(*[F.lit(label) for label, _, _ in rules]), rank)
+    return F.coalesce(label, F.lit(default)) if default is not None else label
+
+
+def first_named(columns: list[str], names: tuple[str, ...]) -> list[Column]:
+    """The columns of a table that have one of the names, in the order of the names."""
+    return [F.col(f"`{n}`") for n in names if n in columns]
+
+
+def direction_of_table(columns: list[str]) -> Column:
+    """Direction by whatever columns for either side and for flags a table has; null where they don't tell.
+
+    A side has a value if any of its columns has; of the flags the first that says credit or debit counts.
+    """
+    filled = lambda names: reduce(lambda a, b: a | b, map(has_value, first_named(columns, names)), F.lit(False))
+    debit, credit = filled(DEBIT_COLUMNS), filled(CREDIT_COLUMNS)
+    said = [direction_of_columns(F.lit(False), F.lit(False), c.cast("string")) for c in first_named(columns, FLAG_COLUMNS)]
+    return F.coalesce(direction_of_columns(debit, credit), *said)
 
 
 def direction_of_columns(debit: Column, credit: Column, flag: Column | None = None) -> Column:

@@ -198,21 +198,45 @@ def borderless_hint(text: Column) -> Column:
 
 
 def choose_rows(found: DataFrame) -> DataFrame:
-    """Of a page's candidates (path: `layout`, `free`, `borderless`; optionally `hint`) those of the chain.
+    """Of a page's candidates (path: `layout`, `free`, `borderless`; optionally `hint` and `hdfc`, true for a page if true in any row) those of the chain.
 
-    Borderless ones where the page's text hints at them, else a layout's, else the free ones
-    unless they are one at most and the borderless more.
+    Borderless ones, if any, where the page's text hints at them or a table has the HDFC layout; also where all other rows
+    are one at most and the borderless more. Else the rows of all tables, with a layout or without.
     """
     page = Window.partitionBy("source_file", "page_num")
     n = {p: F.sum((F.col("path") == p).cast("int")).over(page) for p in ("layout", "free", "borderless")}
-    hinted = F.coalesce(F.max("hint").over(page), F.lit(False)) if "hint" in found.columns else F.lit(False)
-    path = F.when(hinted & (n["borderless"] > 0), "borderless").when(n["layout"] > 0, "layout").when((n["free"] <= 1) & (n["borderless"] > n["free"]), "borderless").otherwise("free")
-    return found.withColumn("_path", path).where("path = _path").drop("_path")
+    said = F.lit(False)
+    for flag in ("hint", "hdfc"):
+        if flag in found.columns:
+            said = said | F.coalesce(F.max(flag).over(page), F.lit(False))
+    other = n["layout"] + n["free"]
+    words = F.when(said & (n["borderless"] > 0), True).otherwise((other <= 1) & (n["borderless"] > other))
+    return found.withColumn("_words", words).where((F.col("path") == "borderless") == F.col("_words")).drop("_words")
 
 
-def page_format(direct: Column, is_hdfc: Column, branch: Column, flag: Column) -> Column:
-    """Label of the page's first direct row."""
-    return F.when(~direct, "Fallback (Math Engine)").when(is_hdfc & (branch == "") & (flag == ""), "Schema HDFC – Withdrawal / Deposit").when((branch == "") & (flag != ""), "Format B – Cr/Dr Flag").otherwise("Format A – Standard")
+def digital_rows(cells: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """Ledger rows of digital pages, with `path` and `direct`: what the chain leaves of all parsers' rows.
+
+    cells: the pages' tables. tokens: the pages' words. texts: (source_file, page_num, text). A page may lack any of them.
+    """
+    page = ["source_file", "page_num"]
+    layouts = detect_layout(cells)
+    placed = parse_rows(cells, layouts).withColumn("direct", F.lit(True)).withColumn("path", F.lit("layout"))
+    plain = cells.join(layouts.select(*page, "table_id"), [*page, "table_id"], "left_anti")
+    free = parse_free_rows(plain).withColumn("path", F.lit("free"))
+    words = parse_borderless(tokens).withColumn("path", F.lit("borderless"))
+    marked = texts.where(borderless_hint(F.col("text"))).select(*page).unionByName(layouts.where("layout = 'schema_hdfc'").select(*page)).distinct()
+    found = placed.unionByName(free, allowMissingColumns=True).unionByName(words, allowMissingColumns=True)
+    return choose_rows(found.join(marked.withColumn("hint", F.lit(True)), page, "left")).drop("hint")
+
+
+def scanned_rows(tokens: DataFrame, tolerance: float = 18.0) -> DataFrame:
+    """Ledger rows of recognised pages, with `path` and `direct`: by the header's words, and where no header or no such row is found, from the joined lines."""
+    page = ["source_file", "page_num"]
+    placed = parse_rows(*cells_by_header(tokens, tolerance)).withColumn("direct", F.lit(True)).withColumn("path", F.lit("layout"))
+    lines = group_lines(tokens, tolerance).select(*page, F.lit(0).alias("table_id"), F.col("line_no").alias("row_idx"), F.transform("words", lambda w: strip(w["text"])).alias("cells"))
+    rest = lines.join(placed.select(*page).distinct(), page, "left_anti")
+    return placed.unionByName(parse_free_rows(rest).withColumn("path", F.lit("free")), allowMissingColumns=True)
 
 
 def page_formats(rows: DataFrame) -> DataFrame:
@@ -262,11 +286,6 @@ def merge_metadata(per_file: DataFrame) -> DataFrame:
     return per_file.groupBy("field").agg(F.max_by("value", "file_idx").alias("value"))
 
 
-def row_confidence(tokens: DataFrame) -> DataFrame:
-    """(source_file, page_num, line_no, confidence): mean score of a line's tokens, to four digits."""
-    return tokens.groupBy("source_file", "page_num", "line_no").agg(F.round(F.avg("score"), 4).alias("confidence"))
-
-
 def recognised_rows(tokens: DataFrame) -> DataFrame:
     """Lines of three tokens or more (line_no, x0, text, score) whose first is a date: cells from left to right, and confidence."""
     cells = F.array_sort(F.collect_list(F.struct("x0", "text")))

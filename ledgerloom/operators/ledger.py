@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,32 +38,48 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "domain string, label string, label_rank int, exemplar_rank int, exemplar string")
 
 
-def classify(ledger: DataFrame, description: str = "narration", debit: str = "debit", credit: str = "credit", flag: str | None = None, scored: DataFrame | None = None, null_as_nan: bool = True) -> DataFrame:
+def per_distinct(df: DataFrame, column: str, make: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """`df` with the columns that `make` derives from a text column, worked out once for each distinct text and joined back.
+
+    Narrations repeat, and a dozen patterns cost more than a text's way through a shuffle. Null is a text like any other; a column
+    that is there already is replaced.
+    """
+    made = make(F.col("_text"))
+    texts = df.select(F.col(column).alias("_text")).distinct().select("_text", *[c.alias(n) for n, c in made.items()])
+    return df.drop(*made).join(texts, F.col(column).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
+_NAMES = {"Transaction Mode": "mode", "Transaction Direction": "direction", "Transaction Purpose": "purpose", "Bank / Institution": "bank"}
+
+
+def classify(ledger: DataFrame, description: str = "narration", debit: str | None = "debit", credit: str | None = "credit", flag: str | None = None, scored: DataFrame | None = None, null_as_nan: bool = True) -> DataFrame:
     """Five labels for each row: rules first, then the nearest prototype of the domain if it passes the gate, else the domain's default.
 
     `scored` (eval_text, domain, label, score) comes from an encoder for the texts no rule
     decides; without it the defaults stand. Mode, direction and bank look at the cleaned text,
-    purpose and counterparty at the raw one.
+    purpose and counterparty at the raw one. With `debit` and `credit` None a row's entries and flags are looked for
+    under all names that statements give them.
     """
-    raw = text.raw_text(F.col(description), null_as_nan)
-    rows = ledger.withColumn("_raw", raw).withColumn("eval_text", text.eval_text(F.col("_raw")))
-    by_columns = rules.direction_of_columns(text.has_value(F.col(debit)), text.has_value(F.col(credit)), F.col(flag) if flag else None)
-    ruled = {
-        "Transaction Mode": rules.first_rule(F.col("eval_text"), rules.MODE), "Transaction Direction": F.coalesce(by_columns, rules.direction_of_text(F.col("eval_text"))),
-        "Transaction Purpose": rules.purpose_rule(F.col("_raw")), "Bank / Institution": rules.first_rule(F.col("eval_text"), rules.BANK),
-    }
-    names = {"Transaction Mode": "mode", "Transaction Direction": "direction", "Transaction Purpose": "purpose", "Bank / Institution": "bank"}
-    for domain, rule in ruled.items():
-        rows = rows.withColumn(names[domain], rule)
+    by_columns = rules.direction_of_table(ledger.columns) if debit is None or credit is None else rules.direction_of_columns(text.has_value(F.col(debit)), text.has_value(F.col(credit)), F.col(flag) if flag else None)
+    cleaned = per_distinct(ledger.withColumn("_raw", text.raw_text(F.col(description), null_as_nan)).withColumn("_by_columns", by_columns), "_raw", _readings)
     if scored is not None:
         gates = reduce(lambda c, d: F.when(F.col("domain") == d, GATES[d][0]).otherwise(c), GATES, F.lit(2.0))
         best = scored.where(F.col("score") >= gates).groupBy("eval_text").pivot("domain", list(GATES)).agg(F.first("label"))
-        best = best.select("eval_text", *[F.col(f"`{d}`").alias(f"_{names[d]}") for d in GATES])
-        rows = rows.join(best, "eval_text", "left")
-    for domain, name in names.items():
-        more = [F.col(f"_{name}")] if scored is not None else []
-        rows = rows.withColumn(name, F.coalesce(F.col(name), *more, F.lit(GATES[domain][1])))
-    return rows.withColumn("counterparty", rules.counterparty(F.col("_raw"))).drop("_raw", *[f"_{n}" for n in names.values()])
+        cleaned = cleaned.join(best.select("eval_text", *[F.col(f"`{d}`").alias(f"_{n}") for d, n in _NAMES.items()]), "eval_text", "left")
+    chosen = {}
+    for domain, name in _NAMES.items():
+        ruled = [F.col("_by_columns"), F.col(name)] if name == "direction" else [F.col(name)]
+        chosen[name] = F.coalesce(*ruled, *([F.col(f"_{name}")] if scored is not None else []), F.lit(GATES[domain][1]))
+    return cleaned.withColumns(chosen).drop("_raw", "_by_columns", *[f"_{n}" for n in _NAMES.values()])
+
+
+def _readings(raw: Column) -> dict[str, Column]:
+    """What the rules say of a raw text; null where they say nothing."""
+    cleaned = text.eval_text(raw)
+    return {
+        "eval_text": cleaned, "mode": rules.first_rule(cleaned, rules.MODE), "direction": rules.direction_of_text(cleaned), "purpose": rules.purpose_rule(raw),
+        "bank": rules.first_rule(cleaned, rules.BANK), "counterparty": rules.counterparty(raw),
+    }
 
 
 def undecided(ledger: DataFrame, description: str = "narration") -> DataFrame:
@@ -159,15 +176,14 @@ def row_style(df: DataFrame, order: list[str], place: str | None = None) -> Data
 
 def weak_labels(rows: DataFrame, description: str = "narration", flag: str = "cr_dr") -> DataFrame:
     """(domain, label, phrase): deep-cleaned narrations of quality with each label their rules give, once each."""
-    raw = F.col(description)
+    direction = rules.weak_direction(text.has_value(F.col("debit")), text.has_value(F.col("credit")), F.col(flag))
+    # A narration's other labels are its own, whatever row it stands in.
+    raws = rows.select(F.col(description).alias("_raw"), direction.alias("_direction")).distinct()
     # In a generator the cleaner stands once; a filter on its column would repeat it, inlined, for each mention.
-    phrase = F.explode(F.filter(F.array(text.deep_clean(raw)), text.is_exemplar))
-    found = {
-        "Transaction Mode": rules.first_rule(raw, rules.WEAK_MODE), "Transaction Direction": rules.weak_direction(text.has_value(F.col("debit")), text.has_value(F.col("credit")), F.col(flag)),
-        "Transaction Purpose": rules.weak_purpose(raw), "Bank / Institution": rules.first_rule(raw, rules.WEAK_BANK),
-    }
+    good = raws.select("_raw", "_direction", F.explode(F.filter(F.array(text.deep_clean(F.col("_raw"))), text.is_exemplar)).alias("phrase"))
+    raw = F.col("_raw")
+    found = {"Transaction Mode": rules.first_rule(raw, rules.WEAK_MODE), "Transaction Direction": F.col("_direction"), "Transaction Purpose": rules.weak_purpose(raw), "Bank / Institution": rules.first_rule(raw, rules.WEAK_BANK)}
     labels = F.array(*[F.struct(F.lit(d).alias("domain"), label.alias("label")) for d, label in found.items()])
-    good = rows.withColumn("phrase", phrase)
     return good.select("phrase", F.inline(labels)).where("label is not null").select("domain", "label", "phrase").distinct()
 
 

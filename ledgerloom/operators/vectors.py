@@ -118,7 +118,3 @@ def classify_one(scores: DataFrame, threshold: float = 0.58) -> DataFrame:
         F.max_by("label", F.struct("score", -F.col("label_rank"))).alias("top"), F.array_sort(F.collect_list(F.when(F.col("score") >= threshold, F.col("label")))).alias("matches"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", F.round("score", 4).alias("score"))))).alias("all_scores"),
     )
-
-
-def rank_within(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -98,6 +98,15 @@ def _b(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], Da
     return lambda spark, sf_dir: fn(bridge(spark, sf_dir))
 
 
+def _derived(make: Callable[[Column], dict[str, Column]]) -> Callable[[SparkSession, str], DataFrame]:
+    """What is derived from narrations, once for each distinct one."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = bridge(spark, sf_dir).select("o_orderkey", "narration")
+        return ledger.per_distinct(rows, "narration", make).drop("narration")
+
+    return run
+
+
 def _evald(df: DataFrame) -> DataFrame:
     return df.withColumn("eval_text", text.eval_text(F.col("narration")))
 
@@ -196,9 +205,9 @@ SWEEP = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]
 
 #: name: (query, SQL or None)
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "t1_clean_description": (_b(lambda b: b.select("o_orderkey", text.clean_description(F.col("narration")).alias("cleaned"))), f"{_B} SELECT o_orderkey, {_T} AS cleaned FROM b"),
-    "t2_strong_clean": (_b(lambda b: b.select("o_orderkey", text.strong_clean(F.col("narration")).alias("cleaned"))), f"{_B} SELECT o_orderkey, {_STRONG} AS cleaned FROM b"),
-    "t3_deep_clean": (_b(lambda b: b.select("o_orderkey", text.deep_clean(F.col("narration")).alias("cleaned"))), f"{_B} SELECT o_orderkey, {_DEEP} AS cleaned FROM b"),
+    "t1_clean_description": (_derived(lambda t: {"cleaned": text.clean_description(t)}), f"{_B} SELECT o_orderkey, {_T} AS cleaned FROM b"),
+    "t2_strong_clean": (_derived(lambda t: {"cleaned": text.strong_clean(t)}), f"{_B} SELECT o_orderkey, {_STRONG} AS cleaned FROM b"),
+    "t3_deep_clean": (_derived(lambda t: {"cleaned": text.deep_clean(t)}), f"{_B} SELECT o_orderkey, {_DEEP} AS cleaned FROM b"),
     "t4_eval_text": (_b(lambda b: _evald(b).select("o_orderkey", "eval_text")), f"{_B} SELECT o_orderkey, eval_text FROM e"),
     "t5_encoder_text": (_b(lambda b: _evald(b).select("o_orderkey", F.concat(F.lit("search_document: "), "eval_text").alias("t"))), f"{_B} SELECT o_orderkey, 'search_document: ' || eval_text AS t FROM e"),
     "t6_amount": (_b(lambda b: b.select("o_orderkey", text.amount(F.concat(F.lit("Rs. "), "debit")).alias("value"))), f"{_B} SELECT o_orderkey, coalesce(TRY_CAST(debit AS DOUBLE), 0.0::DOUBLE) AS value FROM b"),
@@ -215,7 +224,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "r2_r3_direction": (_b(lambda b: _classified(b).select("o_orderkey", "direction")), f"{_B} SELECT o_orderkey, {_DIR} AS direction FROM e"),
     "r4_r5_purpose": (_b(lambda b: b.select("o_orderkey", rules.purpose_rule(F.col("narration")).alias("purpose"))), f"{_B} SELECT o_orderkey, {_PURPOSE} AS purpose FROM b"),
     "r6_bank": (_b(lambda b: _evald(b).select("o_orderkey", rules.first_rule(F.col("eval_text"), rules.BANK).alias("bank"))), f"{_B} SELECT o_orderkey, {_rule_sql('eval_text', rules.BANK)} AS bank FROM e"),
-    "r7_counterparty": (_b(lambda b: b.select("o_orderkey", rules.counterparty(F.col("narration")).alias("party"))), None),
+    "r7_counterparty": (_derived(lambda t: {"party": rules.counterparty(t)}), None),
     "r8_weak_mode": (_b(lambda b: b.select("o_orderkey", rules.first_rule(F.col("narration"), rules.WEAK_MODE).alias("label"))), f"{_B} SELECT o_orderkey, {_rule_sql('narration', rules.WEAK_MODE)} AS label FROM b"),
     "r9_weak_direction": (
         _b(lambda b: b.select("o_orderkey", rules.weak_direction(text.has_value(F.col("debit")), text.has_value(F.col("credit")), F.col("cr_dr")).alias("label"))),

@@ -111,32 +111,86 @@ def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.parse_rows(*layout.cells_by_header(_tokens(spark, sf_dir))).select(*[c for c in _ROW if c != "layout"])
 
 
-def _borderless_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _borderless_words(orders: DataFrame) -> DataFrame:
     """Two lines for an order: date, words and amounts; every third has its last word on a line of its own."""
     word = lambda x, text, down=0.0: F.struct(F.lit(float(x)).alias("x0"), F.lit(down).alias("down"), text.alias("text"))
     side = F.when(F.col("is_debit") == 1, F.lit(410.0)).otherwise(F.lit(490.0))
     more = F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.lit(80.0).alias("x0"), F.lit(10.0).alias("down"), F.lit("more").alias("text")))
     amount = F.struct(side.alias("x0"), F.lit(1.0).alias("down"), F.col("amount").alias("text"))
     words = F.array(word(40, F.col("val")), word(70, F.lit("UPI")), word(120, F.col("ref")), word(290, F.lit("77")), word(360, F.col("val")), amount, word(560, F.col("balance"), 2.0), more)
-    rows = paged(spark, sf_dir).select("source_file", "page_num", "pos", F.inline(F.filter(words, lambda w: w.isNotNull())))
+    rows = orders.select("source_file", "page_num", "pos", F.inline(F.filter(words, lambda w: w.isNotNull())))
     y = 230.0 + 20 * F.col("pos") + F.col("down")
     return rows.select("source_file", "page_num", "x0", y.alias("y0"), (F.col("x0") + 30).alias("x1"), (y + 6).alias("y1"), "text", F.lit(1.0).alias("score"))
 
 
 def _borderless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.parse_borderless(_borderless_tokens(spark, sf_dir)).drop("direct")
+    return layout.parse_borderless(_borderless_words(paged(spark, sf_dir))).drop("direct")
+
+
+# What a page of the chain offers, by its number: a table with a layout (of whose rows the first so many are there), a free table (so many), words (so many), a hint.
+_A, _B, _HDFC = 2, 1, 0
+_OFFERS = (
+    (_A, 25, 0, 25, True), (_A, 25, 0, 0, True), (_HDFC, 25, 0, 25, False), (_HDFC, 25, 0, 0, False), (_B, 12, 13, 0, False), (_A, 1, 0, 3, False), (_A, 1, 1, 3, False),
+    (_A, 0, 0, 25, False), (_A, 0, 1, 1, False), (_A, 0, 1, 2, False), (_B, 2, 0, 25, False), (_HDFC, 0, 2, 3, False), (_A, 0, 0, 0, True),
+)
+_PATHS = ("layout", "free", "borderless")
+
+
+def _offer(i: int) -> Column:
+    return F.get(F.array(*[F.lit(o[i]) for o in _OFFERS]), F.col("page_num") % len(_OFFERS))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, tokens, texts) of pages that offer as said: the tables stand one under the other, the words are those of the borderless layout."""
+    rows = paged(spark, sf_dir).withColumn("kind", _offer(0)).withColumns({"n_laid": _offer(1), "n_free": _offer(2), "n_words": _offer(3), "hinted": _offer(4)})
+    page = ["source_file", "page_num"]
+    laid = rows.where("pos < n_laid").select(*page, F.lit(0).alias("table_id"), (F.col("pos") + 1).alias("row_idx"), _row_cells().alias("cells"))
+    free = rows.where("pos >= n_laid and pos < n_laid + n_free").withColumn("kind", F.lit(3)).select(*page, F.lit(1).alias("table_id"), F.col("pos").alias("row_idx"), _row_cells().alias("cells"))
+    head = F.split(F.get(F.array(*map(F.lit, _HEADS)), F.col("kind")), r"\|")
+    heads = rows.where("pos = 0 and (n_laid > 0 or kind = 0)").select(*page, F.lit(0).alias("table_id"), F.lit(0).alias("row_idx"), head.alias("cells"))
+    words = _borderless_words(rows.where("pos < n_words"))
+    texts = rows.where("pos = 0").select(*page, F.when(F.col("hinted"), "Date Narration Withdrawal Amt.").otherwise("Narration").alias("text"))
+    return laid.unionByName(free).unionByName(heads), words, texts
+
+
+_CHAINED = ("source_file", "page_num", "path", "row_idx", "txn_date", "description", "debit", "balance")
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of each page by its kind: a layout's and free ones; one free and borderless; free and borderless; all with a hint."""
-    offers = {0: ("layout", "free"), 1: ("borderless",), 2: ("free", "borderless"), 3: ("layout", "free", "borderless")}
-    paths = F.when(F.col("kind") == 0, F.array(*map(F.lit, offers[0])))
-    for kind in (1, 2, 3):
-        paths = paths.when(F.col("kind") == kind, F.array(*map(F.lit, offers[kind])))
-    paths = F.when((F.col("kind") == 1) & (F.col("pos") == 0), F.array(F.lit("free"), F.lit("borderless"))).otherwise(paths)
-    page_text = F.when(F.col("kind") == 3, "Date Narration Withdrawal Amt.").otherwise("Narration")
-    found = paged(spark, sf_dir).select("source_file", "page_num", "o_orderkey", layout.borderless_hint(page_text).alias("hint"), F.explode(paths).alias("path"))
-    return layout.choose_rows(found).groupBy("source_file", "page_num", "path").agg(F.count(F.lit(1)).alias("n"))
+    return layout.digital_rows(*_pages(spark, sf_dir)).select(*_CHAINED)
+
+
+def _chain_sql() -> str:
+    """Every parser's rows of a page, counted, and the chain's choice between them."""
+    offers = ", ".join(f"({i}, {k}, {a}, {f}, {w}, {str(h).lower()})" for i, (k, a, f, w, h) in enumerate(_OFFERS))
+    rs = "concat('Rs. ', {})".format
+    owed = f"CASE WHEN is_debit = 1 THEN {rs('amount')} ELSE '' END"
+    return f"""{_PAGED}, o(i, of, n_laid, n_free, n_words, hinted) AS (VALUES {offers}), q AS (SELECT * FROM p JOIN o ON page_num % {len(_OFFERS)} = i),
+c AS (SELECT source_file, page_num, 'layout' AS path, pos + 1 AS row_idx, CASE of WHEN {_B} THEN val ELSE day END AS txn_date, {_SAID} AS description,
+   CASE WHEN of = {_B} THEN CASE WHEN contains(upper(flag), 'DR') THEN {rs('amount')} ELSE '' END ELSE {owed} END AS debit, {rs('balance')} AS balance FROM q
+   WHERE pos < n_laid AND CASE of WHEN {_B} THEN flag <> '' ELSE day <> '' END
+ UNION ALL SELECT source_file, page_num, 'free', pos, day, said, NULL, NULL FROM q WHERE pos >= n_laid AND pos < n_laid + n_free AND day <> ''
+ UNION ALL SELECT source_file, page_num, 'borderless', pos + 1, val, concat('UPI ', ref, CASE WHEN o_orderkey % 3 = 0 THEN ' more' ELSE '' END), {owed}, {rs('balance')} FROM q WHERE pos < n_words),
+n AS (SELECT source_file, page_num, sum((path = 'borderless')::INT) AS b, sum((path <> 'borderless')::INT) AS other FROM c GROUP BY ALL),
+w AS (SELECT source_file, page_num, CASE WHEN (hinted OR of = {_HDFC}) AND b > 0 THEN true WHEN other <= 1 AND b > other THEN true ELSE false END AS words FROM n JOIN o ON page_num % {len(_OFFERS)} = i)
+SELECT source_file, page_num, path, row_idx::INT AS row_idx, txn_date, description, debit, balance FROM c JOIN w USING (source_file, page_num) WHERE (path = 'borderless') = words"""
+
+
+def _scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as recognised tokens, a little askew: a fourth has no header, and of the others a third have rows without columns."""
+    rows = paged(spark, sf_dir).withColumn("day", F.expr("CASE WHEN kind < 3 THEN val ELSE day END")).withColumn("flag", F.expr("CASE WHEN flag = '' THEN 'CR' ELSE flag END"))
+    loose = F.array(F.col("val"), F.concat_ws(" ", "said", "ref", F.lit("0042"), "amount"))
+    cells = F.when((F.col("page_num") % 3 == 0) & (F.col("kind") < 3), loose).otherwise(_row_cells())
+    body = rows.select("source_file", "page_num", (F.col("pos") + 1).alias("line"), F.col("o_orderkey").alias("k"), F.posexplode(cells).alias("i", "text"))
+    head = F.split(F.get(F.array(*map(F.lit, _HEADS)), F.col("kind")), r"\|")
+    heads = rows.where("pos = 0 and kind < 3").select("source_file", "page_num", F.lit(0).alias("line"), F.lit(0).cast("long").alias("k"), F.posexplode(head).alias("i", "text"))
+    x = 100.0 * F.col("i") + (F.col("k") + F.col("i")) % 23
+    y = 40.0 * F.col("line") + (F.col("k") + 3 * F.col("i")) % 7
+    return body.unionByName(heads).where("text <> ''").select("source_file", "page_num", x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 9).alias("y1"), F.translate("text", "\n", " ").alias("text"), F.lit(1.0).alias("score"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.scanned_rows(_scan_tokens(spark, sf_dir)).select("source_file", "page_num", "path", "row_idx", "txn_date", "cheque_no", "description", F.array_join("raw_amounts", "|").alias("amounts"))
 
 
 _FIELDS = ("Bank Name", "Account Holder", "Client Address", "Customer ID", "IFSC Code", "MICR Code", "Account Number", "Opening Balance", "Email")
@@ -184,9 +238,12 @@ REGISTRY = {
         _borderless,
         f"{_PAGED} SELECT source_file, page_num, CAST(pos + 1 AS INT) AS row_idx, val AS txn_date, val AS value_date, '77' AS cheque_no, concat('UPI ', ref, CASE WHEN o_orderkey % 3 = 0 THEN ' more' ELSE '' END) AS description, {_DC} FROM p",
     ),
-    "p12_chain": (
-        _chain,
-        f"{_PAGED}, c AS (SELECT source_file, page_num, kind, count(*) AS n FROM p GROUP BY ALL) SELECT source_file, page_num, CASE kind WHEN 0 THEN 'layout' WHEN 2 THEN CASE WHEN n <= 1 AND n > n THEN 'borderless' ELSE 'free' END WHEN 1 THEN CASE WHEN n > 1 THEN 'borderless' ELSE 'free' END ELSE 'borderless' END AS path, n FROM c",
+    "p12_chain": (_chain, _chain_sql()),
+    "p7_scanned_rows": (
+        _scanned,
+        f"""{_PAGED} SELECT source_file, page_num, 'layout' AS path, (pos + 1)::INT AS row_idx, val AS txn_date, ref AS cheque_no, {_SAID} AS description, NULL AS amounts FROM p WHERE kind < 3 AND page_num % 3 <> 0
+UNION ALL SELECT source_file, page_num, 'free', pos + 1, val, ref, said, amount FROM p WHERE kind < 3 AND page_num % 3 = 0
+UNION ALL SELECT source_file, page_num, 'free', CASE WHEN kind = 3 THEN pos ELSE pos + 1 END, day, ref, said, concat(amount, '|', balance) FROM p WHERE kind = 3 AND day <> ''""",
     ),
     "p13_page_formats": (
         _labels,
