@@ -97,20 +97,24 @@ x AS (SELECT doc_id, word, tf * (ln((1.0::DOUBLE + (SELECT count(DISTINCT doc_id
 SELECT doc_id, word, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x"""
 
 
-_COLUMNS = ["Txn Date", "Description", "Debit", "Credit", "Balance"]
+COLUMNS = ["Txn Date", "Description", "Debit", "Credit", "Balance"]
 _FIELDS = "CASE file_id % 3 WHEN 0 THEN map_from_arrays(array('Bank Name', 'PAN', 'Opening Balance'), array('Some Bank', concat('P', file_id), '10.00')) WHEN 1 THEN map_from_arrays(array('Bank Name', 'Interest Rate', 'Nominee', 'Client Address'), array('Other Bank', '3%', 'N', '')) END"
 
 
-def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten statements of the bridge; a third have no metadata."""
     rows = q.bridge(spark, sf_dir)
     day = F.date_format("txn_date", "yyyy-MM-dd")
     shown = rows.select(F.col("file_id").alias("source_file"), "o_orderkey", day.alias("Txn Date"), F.col("narration").alias("Description"), F.col("debit").alias("Debit"), F.col("credit").alias("Credit"), F.col("amount").alias("Balance"))
     fields = rows.select("file_id").distinct().selectExpr("file_id AS source_file", f"{_FIELDS} AS fields")
-    return workbook.statement_cells(shown, _COLUMNS, ["Txn Date", "o_orderkey"], fields).withColumn("value", F.coalesce("value", F.lit("<none>")))
+    return workbook.statement_cells(shown, COLUMNS, ["Txn Date", "o_orderkey"], fields)
+
+
+def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workbook_cells(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit("<none>")))
 
 
-def _workbook_sql() -> str:
+def workbook_sql() -> str:
     """Each statement's cells, from the places that its number of fields gives; the box is listed pair by pair."""
     lit, none = q._q, q._q(workbook.NONE)
     n, mid = 9, 4
@@ -124,12 +128,12 @@ def _workbook_sql() -> str:
     parts = [
         cell(first, 1, 1, n, f"concat({lit(before)}, upper(coalesce(bank, 'BANK STATEMENT')), {lit(after)})", "title", "center", "f"), cell(first, 3, 1, mid, lit(workbook.LEFT_TITLE), "section", "left", "f"),
         cell(first, 3, mid + 1, n - mid, lit(workbook.RIGHT_TITLE), "section", "left", "f"), cell(first, "top - 1", 1, n, lit(workbook.LEDGER_TITLE), "ledger_title", "left", "f"),
-        *[cell(first, "top", i, 1, lit(c), "header", "center", "f") for i, c in enumerate(_COLUMNS, 1)],
+        *[cell(first, "top", i, 1, lit(c), "header", "center", "f") for i, c in enumerate(COLUMNS, 1)],
         *[cell(first, "r", col + at, (1, span)[at], ("label", "value")[at], ("label", "value")[at], "left", "x", f"WHERE side = '{side}'") for side, col, span in (("l", 1, mid - 1), ("r", mid + 1, n - mid - 1)) for at in (0, 1)],
         *[cell(second, 1, i, 1, lit(x), "field_header", "center", "f", "WHERE kind < 2") for i, x in enumerate(("Metadata Field", "Extracted Value"), 1)],
         *[cell(second, "i + 1", at, 1, ("k", "v")[at - 1], "field", "left", "m") for at in (1, 2)],
     ]
-    body = [f"SELECT s, {lit(first)}, top + p, {i}, 1, {val}, style, {lit(workbook.align(c))} FROM l" for i, (c, val) in enumerate(zip(_COLUMNS, ("day", "narration", "debit", "credit", "CAST(amount AS VARCHAR)"), strict=True), 1)]
+    body = [f"SELECT s, {lit(first)}, top + p, {i}, 1, {val}, style, {lit(workbook.align(c))} FROM l" for i, (c, val) in enumerate(zip(COLUMNS, ("day", "narration", "debit", "credit", "CAST(amount AS VARCHAR)"), strict=True), 1)]
     return f"""WITH b AS ({q.BRIDGE}), f AS (SELECT DISTINCT file_id AS s, file_id % 3 AS kind, CASE file_id % 3 WHEN 0 THEN 'Some Bank' WHEN 1 THEN 'Other Bank' END AS bank, CASE file_id % 3 WHEN 1 THEN 14 ELSE 13 END AS top FROM b),
 x(s, r, label, value, side) AS ({' UNION ALL '.join(boxes)} UNION ALL {extra['left']} UNION ALL {extra['right']}),
 m AS (SELECT s, p.* FROM f, LATERAL (VALUES (0, 1, 'Bank Name', 'Some Bank'), (0, 2, 'Opening Balance', '10.00'), (0, 3, 'PAN', concat('P', s)), (1, 1, 'Bank Name', 'Other Bank'), (1, 2, 'Client Address', ''), (1, 3, 'Interest Rate', '3%'), (1, 4, 'Nominee', 'N')) p(of, i, k, v) WHERE of = kind),
@@ -144,5 +148,5 @@ REGISTRY = {
     "k9_store_metadata": (_metadata, _METADATA_SQL),
     "c1_tf_idf_weights": (_weights, weights_sql(_STOP)),
     "c4_o2_centre_terms": (_centre_terms, None),
-    "k3_statement_workbook": (_workbook, _workbook_sql()),
+    "k3_statement_workbook": (_workbook, workbook_sql()),
 }

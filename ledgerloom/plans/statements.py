@@ -65,12 +65,12 @@ def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_file", "page_num", "layout", "header_row", *[F.col("columns")[r].alias(f"{r}_at") for r in ("description", "val_date", "balance")])
 
 
-_ROW = ("source_file", "page_num", "row_idx", "layout", "txn_date", "value_date", "cheque_no", "description", "branch_code", "cr_dr", "debit", "credit", "balance")
+ROW = ("source_file", "page_num", "row_idx", "layout", "txn_date", "value_date", "cheque_no", "description", "branch_code", "cr_dr", "debit", "credit", "balance")
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = cells(spark, sf_dir)
-    return layout.parse_rows(tables, layout.detect_layout(tables)).select(*_ROW)
+    return layout.parse_rows(tables, layout.detect_layout(tables)).select(*ROW)
 
 
 _PAGED = f"WITH p AS ({PAGED})"
@@ -108,7 +108,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.parse_rows(*layout.cells_by_header(_tokens(spark, sf_dir))).select(*[c for c in _ROW if c != "layout"])
+    return layout.parse_rows(*layout.cells_by_header(_tokens(spark, sf_dir))).select(*[c for c in ROW if c != "layout"])
 
 
 def _borderless_words(orders: DataFrame) -> DataFrame:
@@ -223,12 +223,14 @@ def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged(spark, sf_dir).select("o_orderkey", F.expr(_LINES).alias("line")).where(~layout.is_noise(F.col("line")))
 
 
+ROWS_SQL = f"{_ROWS_SQL} SELECT * FROM r"
+
 REGISTRY = {
     "p1_p2_layouts": (
         _layouts,
         f"{_PAGED} SELECT source_file, page_num, CASE kind WHEN 0 THEN 'schema_hdfc' WHEN 1 THEN 'schema_b' ELSE 'schema_a' END AS layout, 1 AS header_row, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 3 END AS description_at, CASE kind WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS val_date_at, CASE kind WHEN 0 THEN 6 WHEN 1 THEN 8 ELSE 7 END AS balance_at FROM p WHERE pos = 0 AND kind < 3",
     ),
-    "p3_p6_direct_rows": (_rows, f"{_ROWS_SQL} SELECT * FROM r"),
+    "p3_p6_direct_rows": (_rows, ROWS_SQL),
     "p7_free_rows": (_free, f"{_PAGED} SELECT source_file, page_num, CAST(pos + 2 AS INT) AS row_idx, day AS txn_date, ref AS cheque_no, '0042' AS branch_code, said AS description, concat(amount, '|', balance) AS amounts FROM p WHERE kind = 3 AND day <> ''"),
     "p8_p9_token_rows": (
         _token_rows,
