@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,8 +25,6 @@ from .common import keep, n_words, remove
 
 #: A class with over a HEAVY-th of all conversations is broadcast; there are fewer than HEAVY.
 HEAVY = 1000
-#: Levels folded in one plan.
-LEVELS = 8
 _REST = 1 << 40
 
 
@@ -71,16 +68,21 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None) -> tup
         rest = F.struct("length", "rest_a", "rest_b")
         classes = members.groupBy("parent", "turn").agg(F.min("conv_id").alias("node"), F.count(F.lit(1)).alias("n"), (F.min(rest) == F.max(rest)).alias("retired"))
         classes = keep(classes, "classes")
-        split = keep(joined(members, classes, ["parent", "turn"], "n", total).select("conv_id", "parent", "node", "n", "retired", "length", "words", "rest_words"), "split")
+        split = joined(members, classes, ["parent", "turn"], "n", total)
+        split = keep(split.select(F.lit(depth).cast("long").alias("depth"), "conv_id", "parent", "node", "n", "retired", "length", "words", "rest_words"), "split")
         remove(classes)
         rounds.append(split)
         active = split.where("not retired").select("conv_id", "node", "length")
-    nodes = _fold(first, rounds, table)
-    ends = [first.where("length = 0").select(F.col("node").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.col("conv_id").alias("member"))]
-    for d, split in enumerate(rounds, 1):
-        ended = split.where(F.col("retired") | (F.col("length") == d))
-        ends.append(ended.select(F.col("node").alias("conv_id"), F.col("length").alias("depth"), F.col("conv_id").alias("member")))
-    return nodes, reduce(DataFrame.unionByName, ends)
+    ends = first.where("length = 0").select(F.col("node").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.col("conv_id").alias("member"))
+    if rounds:
+        ended = _together(rounds).where("retired or length = depth")
+        ends = ends.unionByName(ended.select(F.col("node").alias("conv_id"), F.col("length").alias("depth"), F.col("conv_id").alias("member")))
+    return _fold(first, rounds, table), ends
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    """Kept tables of one schema, read in one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.kept_at for t in tables])
 
 
 def _rooted(lengths: DataFrame) -> DataFrame:
@@ -90,31 +92,30 @@ def _rooted(lengths: DataFrame) -> DataFrame:
 
 
 def _fold(first: DataFrame, rounds: list[DataFrame], table: DataFrame) -> DataFrame:
-    """All nodes with their totals, level by level from the deepest, and the chains in closed form."""
-    totals = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
+    """All nodes with their totals: level by level from the deepest, each written, and the chains in closed form."""
     saved = (F.col("n") - 1) * F.col("rest_words")
-    found, below = [], None
-    for d in range(len(rounds), 0, -1):
-        own = rounds[d - 1].where("conv_id = node").select("node", "parent", "n", "retired", "length", "words", "rest_words")
-        level = _summed(own, below).select(
-            F.col("node").alias("conv_id"), F.lit(d).cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"),
-            F.when(F.col("retired"), (F.col("length") > d).cast("long")).otherwise(F.coalesce("children", F.lit(0))).alias("n_children"),
+    levels: list[DataFrame] = []
+    for split in reversed(rounds):
+        own = split.where("conv_id = node").select("depth", "node", "parent", "n", "retired", "length", "words", "rest_words")
+        level = _summed(own, levels[-1] if levels else None).select(
+            F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"),
+            F.when(F.col("retired"), (F.col("length") > F.col("depth")).cast("long")).otherwise(F.coalesce("children", F.lit(0))).alias("n_children"),
             F.when(F.col("retired"), 1).otherwise(F.coalesce("leaves", F.lit(1))).cast("long").alias("n_leaves"),
             F.when(F.col("retired"), saved).otherwise((F.col("n") - 1) * F.col("words") + F.coalesce("more", F.lit(0))).alias("saved_tokens"),
         )
-        if d % LEVELS == 0:
-            level = keep(level, "level")
-        found.append(level)
-        below = level
-        chains = rounds[d - 1].where("conv_id = node and retired").select("conv_id", "n").join(table.where(F.col("place") > d), "conv_id")
-        chain = chains.select("conv_id", F.col("place").alias("depth"), F.col("conv_id").alias("parent_conv_id"), F.col("n").alias("n_convs"), (F.col("left") > 1).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), saved.alias("saved_tokens"))
-        found.append(chain)
+        levels.append(keep(level, "level"))
     root = first.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    top = _summed(root, below).select(
+    top = _summed(root, levels[-1] if levels else None).select(
         F.col("node").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.col("n").alias("n_convs"),
         F.coalesce("children", F.lit(0)).cast("long").alias("n_children"), F.coalesce("leaves", F.lit(1)).cast("long").alias("n_leaves"), F.coalesce("more", F.lit(0)).cast("long").alias("saved_tokens"),
     )
-    return reduce(DataFrame.unionByName, [f.select(*totals) for f in found], top)
+    if not rounds:
+        return top
+    retired = _together(rounds).where("conv_id = node and retired").select("conv_id", "n", F.col("depth").alias("_top"))
+    chain = retired.join(table, "conv_id").where("place > _top").select(
+        "conv_id", F.col("place").alias("depth"), F.col("conv_id").alias("parent_conv_id"), F.col("n").alias("n_convs"), (F.col("left") > 1).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), saved.alias("saved_tokens"),
+    )
+    return top.unionByName(_together(levels)).unionByName(chain)
 
 
 def _summed(own: DataFrame, below: DataFrame | None) -> DataFrame:
