@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, StopWordsRemover, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, StandardScaler, StopWordsRemover
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..shared import keep
+from .running import numbered
 
 #: Common English words, as Spark's remover has them.
 def stop_words() -> list[str]:
@@ -38,23 +44,35 @@ def tf_idf_weights(df: DataFrame, key: str, text: str, features: int = 500, stop
     return rows.select(key, "length", F.inline("terms")).select(key, "i", "word", (F.col("x") / F.col("length")).alias("weight")), [w for w, _ in chosen]
 
 
+def word_list(text: Column, stop: list[str] | None = None) -> Column:
+    """A text's words without stop words, in order, repeats included."""
+    listed = stop_words() if stop is None else stop
+    return F.filter(tokens(F.coalesce(text, F.lit(""))), lambda w: ~w.isin(listed))
+
+
 def tf_idf(df: DataFrame, key: str, text: str, features: int = 500, stop: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """(key, vector) and the vocabulary; documents without a term have zero vectors."""
-    weights, vocabulary = tf_idf_weights(df, key, text, features, stop)
-    size = max(1, len(vocabulary))
-    dense = F.map_from_entries(F.collect_list(F.struct("i", "weight")))
-    rows = weights.groupBy(key).agg(dense.alias("w"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("w", i), F.lit(0.0)))
-    full = df.select(key).join(rows, key, "left").select(key, array_to_vector(F.coalesce(filled, F.array_repeat(F.lit(0.0), size))).alias("_full"))
-    # The assembler stores a vector as its non-zero places where that is shorter.
-    return VectorAssembler(inputCols=["_full"], outputCol="vector").transform(full).select(key, "vector"), vocabulary
+    """`df` with words and vector (sparse, of unit length), and the vocabulary; each row is a document, whatever its key, and one without a term has the zero vector.
+
+    Weights are those of tf_idf_weights. Words are counted at the vocabulary's places, weighted place by place and scaled: no
+    row is taken apart and put together again, so other columns simply stay. Columns named words or vector are replaced.
+    """
+    # Written, as the texts would be cut up again for the vocabulary, the frequencies and each user of the vectors.
+    said = keep(df.drop(*{"vector", "words"} - {key, text}).withColumn("words", word_list(F.col(text), stop)), "words")
+    terms = said.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "word").limit(features)
+    vocabulary = sorted(r["word"] for r in terms.collect())  # `features` rows at most
+    if not vocabulary:
+        return said.withColumn("vector", array_to_vector(F.array(F.lit(0.0)))), []
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="_counts").transform(said)
+    n, found = counted.select(F.count(F.lit(1)), Summarizer.numNonZeros(F.col("_counts"))).first()
+    idf = Vectors.dense(np.log((1.0 + n) / (1.0 + np.asarray(found.toArray()))) + 1.0)
+    weighted = ElementwiseProduct(scalingVec=idf, inputCol="_counts", outputCol="_weights").transform(counted)
+    return Normalizer(inputCol="_weights", outputCol="vector").transform(weighted).drop("_counts", "_weights"), vocabulary
 
 
 def k_means(features: DataFrame, k: int = 4, seed: int = 42, vector: str = "vector") -> tuple[DataFrame, list]:
-    """`features` with `cluster`, and the centres. Features are read many times, so they are held."""
-    held = features.persist()
-    model = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(held)
-    return model.transform(held), model.clusterCenters()
+    """`features` with `cluster`, and the centres. The trainer holds the vectors while it runs, and nothing after."""
+    model = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(features)
+    return model.transform(features), model.clusterCenters()
 
 
 def top_terms(centres: list, vocabulary: list[str], n: int = 6) -> list[list[str]]:
@@ -71,17 +89,50 @@ def sizes(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy("cluster")
 
 
-def keyword_ranks(clustered: DataFrame, text: str) -> DataFrame:
-    """(cluster, total_records, rank, keyword, frequency)."""
-    freq = words(clustered, "cluster", text).groupBy("cluster", F.col("word").alias("keyword")).agg(F.count(F.lit(1)).alias("frequency"))
-    ranked = freq.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("frequency"), "keyword")))
+def keyword_ranks(clustered: DataFrame, words: str = "words") -> DataFrame:
+    """(cluster, total_records, rank, keyword, frequency) of rows with a cluster and their words; numbered by ranges, no task holds a cluster."""
+    freq = clustered.select("cluster", F.explode(words).alias("keyword")).groupBy("cluster", "keyword").agg(F.count(F.lit(1)).alias("frequency"))
+    ranked = numbered(freq, ["cluster"], [F.desc("frequency"), "keyword"])
     totals = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("total_records"))
-    return ranked.join(totals, "cluster").select("cluster", "total_records", "rank", "keyword", "frequency")
+    return ranked.join(totals, "cluster").select("cluster", "total_records", F.col("rank").cast("int").alias("rank"), "keyword", "frequency")
+
+
+# The report's lines.
+_WIDE = 80
+_TITLE = " " * 17 + "K-MEANS CLUSTERING KEYWORDS & FREQUENCY REPORT"
+_ROW, _LINE = "%-40s | %-10s", "%-40s | %-10d"
+_NO_ROWS, _NO_WORDS = "No records in this cluster.", "No distinctive keywords found."
 
 
 def keyword_report(ranks: DataFrame) -> DataFrame:
     """Lines of fixed width for a text file."""
-    return ranks.select("cluster", "rank", F.format_string("%-40s | %-10d", "keyword", "frequency").alias("line"))
+    return ranks.select("cluster", "rank", F.format_string(_LINE, "keyword", "frequency").alias("line"))
+
+
+def whole_report(ranks: DataFrame, sizes_: DataFrame, k: int) -> DataFrame:
+    """(cluster, line_no, line) of a report: a title before the first of `k` clusters, a head for each, its keywords by rank, two blank lines.
+
+    `sizes_` has (cluster, n). A cluster without records says so, and one whose records have no words.
+    """
+    rule, thin = "=" * _WIDE, "-" * _WIDE
+    heads = ranks.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster")).join(sizes_.select(F.col("cluster").cast("int").alias("cluster"), "n"), "cluster", "left")
+    named = heads.join(ranks.groupBy("cluster").agg(F.max("rank").alias("words")), "cluster", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "words": F.coalesce("words", F.lit(0))})
+    numbered_ = lambda lines, first: [F.struct(F.lit(first + i).cast("long").alias("line_no"), line.alias("line")) for i, line in enumerate(lines)]
+    title = numbered_([F.lit(rule), F.lit(_TITLE), F.lit(rule), F.lit("")], -8)
+    head = numbered_([F.lit(rule), F.format_string("CLUSTER %d (Total Records: %d)", "cluster", "n"), F.lit(rule), F.lit(_ROW % ("Keyword", "Frequency")), F.lit(thin)], -4)
+    none = F.when(F.col("n") == 0, F.lit(_NO_ROWS)).when(F.col("words") == 0, F.lit(_NO_WORDS))
+    after = lambda i: F.struct((F.col("words").cast("long") + i).alias("line_no"), F.lit("").alias("line"))
+    lines = F.concat(
+        F.when(F.col("cluster") == 0, F.array(*title)).otherwise(F.array().cast("array<struct<line_no:bigint,line:string>>")), F.array(*head),
+        F.filter(F.array(F.struct(F.lit(1).cast("long").alias("line_no"), none.alias("line"))), lambda x: x["line"].isNotNull()), F.array(after(2), after(3)),
+    )
+    words = ranks.select(F.col("cluster").cast("int").alias("cluster"), F.col("rank").cast("long").alias("line_no"), F.format_string(_LINE, "keyword", "frequency").alias("line"))
+    return named.select("cluster", F.inline(lines)).unionByName(words)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The report as text: its parts, in the order of their names, are the file."""
+    report.orderBy("cluster", "line_no").select("line").write.text(path)
 
 
 def project_pca(features: DataFrame, key: str, array: str) -> DataFrame:
@@ -89,13 +140,53 @@ def project_pca(features: DataFrame, key: str, array: str) -> DataFrame:
     v = features.select(key, array_to_vector(F.transform(array, lambda x: x.cast("double"))).alias("raw"))
     centred = StandardScaler(inputCol="raw", outputCol="vector", withMean=True, withStd=False).fit(v).transform(v)
     out = PCA(k=2, inputCol="vector", outputCol="p").fit(centred).transform(centred)
-    from pyspark.ml.functions import vector_to_array
-
     return out.select(key, vector_to_array("p")[0].alias("x"), vector_to_array("p")[1].alias("y"))
 
 
+def _passed(features: DataFrame, vector: str, basis: np.ndarray) -> np.ndarray:
+    """A'(A basis) for the rows A of `features`: a partial product for each partition, added up place by place."""
+    size, width = basis.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, width))
+        for pdf in batches:
+            if len(pdf):
+                rows = np.stack(pdf["a"].to_numpy())
+                total += rows.T @ (rows @ basis)
+        yield pd.DataFrame({"place": np.arange(size * width), "x": total.ravel()})
+
+    parts = features.select(vector_to_array(vector).alias("a")).mapInPandas(run, "place int, x double")
+    out = np.zeros(size * width)
+    for r in parts.groupBy("place").agg(F.sum("x").alias("x")).collect():  # vocabulary times width
+        out[r["place"]] = r["x"]
+    return out.reshape(size, width)
+
+
+def svd(features: DataFrame, k: int = 2, vector: str = "vector", more: int = 8, steps: int = 8, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """`features` with `svd`, its coordinates U S in the k leading directions, and the k largest singular values; rows aren't centred.
+
+    Randomised: a block of k + `more` random directions is multiplied by A'A and made orthogonal, `steps` times, so that it
+    holds the leading ones, equal values or not; what A'A is within the block then gives them exactly. A direction's largest
+    component is positive. No rows give zeros.
+    """
+    first = features.select(vector).first()
+    size = len(first[0]) if first is not None else 1
+    width = min(size, k + more)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
+    for _ in range(steps):
+        basis = np.linalg.qr(_passed(features, vector, basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ _passed(features, vector, basis))
+    order = np.argsort(-values)[:k]
+    axes = basis @ turn[:, order]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+
+    @F.pandas_udf("array<double>")
+    def coordinates(rows: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(rows.to_numpy()) @ axes)) if len(rows) else pd.Series([], dtype=object)
+
+    return features.withColumn("svd", coordinates(vector_to_array(vector))), np.sqrt(np.maximum(values[order], 0.0))
+
+
 def singular_values(features: DataFrame, vector: str = "vector") -> DataFrame:
-    """The two largest singular values of the feature rows."""
-    rows = features.select(vector).rdd.map(lambda r: OldVectors.fromML(r[0]))
-    s = RowMatrix(rows).computeSVD(2).s
-    return features.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "no int, value double")
+    """(no, value): the two largest singular values of the feature rows."""
+    return features.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(svd(features, vector=vector)[1])], "no int, value double")

@@ -1,7 +1,7 @@
 """Vector operators: normalisation, prototype scores, gates, centroids, pooled class scores.
 
 Prototypes are the exemplars of a taxonomy, a few hundred; their size is checked before they
-are sent to every task. Beyond PROTOTYPES they are joined in blocks of about that number.
+are sent to every task. Beyond PROTOTYPES each task streams them from a written table, a block at a time.
 """
 
 from __future__ import annotations
@@ -10,10 +10,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyarrow import dataset
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import keep
+from ..shipping import ship
+from ..sources.files import opened
+
 PROTOTYPES = 10_000
 
 
@@ -32,13 +37,14 @@ def label_scores(vectors: DataFrame, prototypes: DataFrame, pool: str = "max") -
 
     pool: `max`, `top3` (mean of the three best) or `mean`. Prototypes go to every task as one matrix, so
     rows are neither multiplied nor shuffled before their scores are ready. A vector that is null, of another
-    length, or has a null or NaN inside has null scores; such a prototype takes no part.
+    length, or has a null or NaN inside has null scores; such a prototype takes no part. Prototypes of two lengths are an error.
     """
-    given = prototypes.select("label", "label_rank", "v").limit(PROTOTYPES + 1)
-    found = given.toArrow()
+    whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))
+    given = prototypes.select("label", "label_rank", "v").where(whole)
+    found = given.limit(PROTOTYPES + 1).toArrow()
     if found.num_rows > PROTOTYPES:
-        return _blocked_scores(vectors, prototypes, pool, -(-prototypes.count() // PROTOTYPES))
-    rows = [r for r in found.to_pylist() if r["v"] is not None and not any(x is None or x != x for x in r["v"])]
+        return _streamed_scores(vectors, given, pool)
+    rows = found.to_pylist()
     groups: dict[tuple, list] = {}
     for r in rows:
         key = r["label"]
@@ -72,17 +78,52 @@ def _pooled(groups: list[np.ndarray], pool: str) -> Callable[[Column], Column]:
     return scores
 
 
-def _blocked_scores(vectors: DataFrame, prototypes: DataFrame, pool: str, blocks: int) -> DataFrame:
-    """The same, a block of prototypes at a time: a label's partial maximum, sum and three best are pooled over its blocks."""
-    labels = prototypes.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).groupBy("_block", "label", "label_rank").agg(F.collect_list("v").alias("ps"))
-    packed = labels.groupBy("_block").agg(F.collect_list(F.struct("label_rank", "label", "ps")).alias("all_"))
-    both = vectors.withColumn("_row", F.monotonically_increasing_id()).crossJoin(packed)  # rows may repeat an id
-    part = lambda p: F.struct(p["label"].alias("label"), p["label_rank"].alias("label_rank"), F.transform(p["ps"], lambda q: dot(F.col("v"), q)).alias("s"))
-    each = both.select("_row", "id", F.explode(F.transform("all_", part)).alias("p")).select("_row", "id", "p.label", "p.label_rank", "p.s")
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
-    best = F.slice(F.sort_array(F.flatten(F.collect_list(F.slice(F.sort_array("s", False), 1, 3))), False), 1, 3)
-    pooled = {"max": F.max(F.array_max("s")), "top3": F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best), "mean": F.sum(total) / F.sum(F.size("s"))}[pool]
-    return each.groupBy("_row", "id", "label", "label_rank").agg(pooled.alias("score")).select("id", "label", "label_rank", "score")
+def _streamed_scores(vectors: DataFrame, prototypes: DataFrame, pool: str) -> DataFrame:
+    """The same for any number of whole prototypes: written once, and read by each task a block at a time, for a batch of its vectors."""
+    sizes = prototypes.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"prototypes of {sizes[0]} and of {sizes[1]} places")
+    # Labels are those of a taxonomy: every vector gets a score for each.
+    ship(vectors.sparkSession)
+    labels = keep(prototypes.select("label", "label_rank").distinct().withColumn("pos", F.row_number().over(Window.orderBy("label_rank", "label")) - 1), "labels")
+    numbered = prototypes.join(F.broadcast(labels), ["label", "label_rank"]).select("pos", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    stored = keep(numbered.sortWithinPartitions("pos"), "prototypes")
+    pooled = _pooled_from(stored.kept_at, sizes[0], labels.count(), pool)
+    scored = vectors.select("id", F.posexplode(pooled(F.col("v"))).alias("pos", "score"))
+    return scored.join(F.broadcast(labels), "pos").select("id", "label", "label_rank", "score")
+
+
+def _pooled_from(path: str, size: int, n_labels: int, pool: str) -> Callable[[Column], Column]:
+    """Column of vectors to their score for each label, with partial maxima, three best and sums over blocks of prototypes."""
+    block = PROTOTYPES
+
+    def scores_of(x: np.ndarray) -> np.ndarray:
+        best, total, n = np.full((len(x), n_labels, 3), -np.inf), np.zeros((len(x), n_labels)), np.zeros(n_labels)
+        system, root = opened(path)
+        for batch in dataset.dataset(root, filesystem=system, format="parquet").to_batches(batch_size=block):
+            if not batch.num_rows:
+                continue
+            pos, rows = batch.column("pos").to_numpy(), np.stack(batch.column("v").to_numpy(zero_copy_only=False))
+            sims = x @ rows.T
+            for g in np.unique(pos):
+                part = sims[:, pos == g]
+                best[:, g] = np.sort(np.concatenate([best[:, g], part], axis=1), axis=1)[:, -3:]
+                total[:, g] += part.sum(axis=1)
+                n[g] += part.shape[1]
+        if pool == "max":
+            return best[:, :, 2]
+        return total / n if pool == "mean" else np.where(np.isinf(best), 0.0, best).sum(axis=2) / np.minimum(n, 3)
+
+    @F.pandas_udf("array<double>")
+    def scores(v: pd.Series) -> pd.Series:
+        out = np.full((len(v), n_labels), None, dtype=object)
+        good = np.flatnonzero([x is not None and len(x) == size and not np.isnan(np.asarray(x, dtype=float)).any() for x in v])
+        for some in np.array_split(good, -(-len(good) * block // 40_000_000) or 1):
+            if len(some):
+                out[some] = scores_of(np.stack([np.asarray(v.iloc[i], dtype=float) for i in some]))
+        return pd.Series(list(out), dtype=object)
+
+    return scores
 
 
 def best_label(scores: DataFrame, gate: float | None = None, default: str | None = None) -> DataFrame:
@@ -105,6 +146,12 @@ def presence(scores: DataFrame, labels: list[str], threshold: float = 0.58, own:
     return wide.select("id", *[F.col(f"`{x}`").alias(f"score_{x}") for x in labels], *[F.when(F.col(f"`{x}`") >= (own or {}).get(x, threshold), "Yes").otherwise("No").alias(f"has_{x}") for x in labels])
 
 
+def class_counts(scores: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, label, n): how many ids reach each threshold for a label, which has a row even where none does; one pass."""
+    counts = scores.groupBy("label").agg(*[F.count_if(F.col("score") >= t).alias(f"t{i}") for i, t in enumerate(thresholds)])
+    return counts.select("label", F.inline(F.array(*[F.struct(F.lit(t).cast("double").alias("threshold"), F.col(f"t{i}").alias("n")) for i, t in enumerate(thresholds)])))
+
+
 def threshold_sweep(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, classified, unclassified, avg_matches, percentage) over (id, score): one pass, a column for each threshold."""
     per = scores.groupBy("id").agg(*[F.count_if(F.col("score") >= t).alias(f"t{i}") for i, t in enumerate(thresholds)])

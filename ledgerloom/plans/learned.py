@@ -84,7 +84,7 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _centre_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, vocabulary = clusters.tf_idf(q._documents(spark, sf_dir), "row", "text")
+    found, vocabulary = clusters.tf_idf(_documents(spark, sf_dir), "doc_id", "text")
     return clusters.centre_terms(spark, clusters.k_means(found)[1], vocabulary)
 
 

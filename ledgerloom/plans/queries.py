@@ -156,32 +156,57 @@ _CLASSIFIED = f"""{_B} SELECT o_orderkey, {_rule_sql('eval_text', rules.MODE, 'O
  {_rule_sql('eval_text', rules.BANK, 'Not Mentioned')} AS bank FROM e"""
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the SQL of t9_tokens reads."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whatever its language."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, whatever its language; rows are told apart by number, as ids may be null or repeated."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.monotonically_increasing_id().alias("row"), "text").persist()
-
-
-def _clustered(docs: DataFrame) -> DataFrame:
-    """(row, vector, cluster): K-means on TF-IDF."""
-    return clusters.k_means(clusters.tf_idf(docs, "row", "text")[0])[0]
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, words, vector, cluster): K-means on TF-IDF."""
+    return clusters.k_means(clusters.tf_idf(_texts(spark, sf_dir), "doc_id", "text")[0].drop("text"))[0]
 
 
 def _tfidf_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.sizes(_clustered(_documents(spark, sf_dir)))
+    return clusters.sizes(_clustered(spark, sf_dir))
 
 
 def _keyword_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return clusters.keyword_ranks(docs.join(_clustered(docs).select("row", "cluster"), "row"), "text")
+    return clusters.keyword_ranks(_clustered(spark, sf_dir))
+
+
+#: What queries with SQL leave out; a caller's own list goes in the same way.
+STOP = ["the", "and", "of", "to", "in", "de", "la", "der", "die", "und", "el", "le"]
+_STOPPED = ", ".join(_q(w) for w in STOP)
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by a rule, five of six of them with records."""
+    return _texts(spark, sf_dir).select((F.col("doc_id") % 5).cast("int").alias("cluster"), clusters.word_list(F.col("text"), STOP).alias("words"))
+
+
+def _ruled_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ruled(spark, sf_dir)
+    return clusters.whole_report(clusters.keyword_ranks(rows), clusters.sizes(rows), 6)
+
+
+_WORDS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS word FROM documents"
+_RANKED = f"""w AS ({_WORDS}), f AS (SELECT (doc_id % 5)::INT AS cluster, word AS keyword, count(*) AS frequency FROM w WHERE word NOT IN ({_STOPPED}) GROUP BY ALL),
+n AS (SELECT (doc_id % 5)::INT AS cluster, count(*) AS total_records FROM documents GROUP BY ALL),
+r AS (SELECT cluster, total_records, (row_number() OVER (PARTITION BY cluster ORDER BY frequency DESC, keyword))::INT AS rank, keyword, frequency FROM f JOIN n USING (cluster))"""
+_REPORT = f"""WITH {_RANKED}, c AS (SELECT i::INT AS cluster, coalesce(total_records, 0) AS n, coalesce((SELECT max(rank) FROM r WHERE r.cluster = i), 0) AS words FROM range(6) k(i) LEFT JOIN n ON n.cluster = i)
+SELECT cluster, rank::BIGINT AS line_no, format('{{:<40s}} | {{:<10d}}', keyword, frequency) AS line FROM r
+UNION ALL SELECT cluster, x.no, x.line FROM c, LATERAL (VALUES (-4, repeat('=', 80)), (-3, format('CLUSTER {{}} (Total Records: {{}})', cluster, n)), (-2, repeat('=', 80)), (-1, format('{{:<40s}} | {{:<10s}}', 'Keyword', 'Frequency')), (0, repeat('-', 80)), (words + 2, ''), (words + 3, '')) x(no, line)
+UNION ALL SELECT cluster, 1, CASE WHEN n = 0 THEN 'No records in this cluster.' ELSE 'No distinctive keywords found.' END FROM c WHERE words = 0
+UNION ALL SELECT 0, x.no, x.line FROM (VALUES (-8, repeat('=', 80)), (-7, repeat(' ', 17) || 'K-MEANS CLUSTERING KEYWORDS & FREQUENCY REPORT'), (-6, repeat('=', 80)), (-5, '')) x(no, line)"""
 
 
 def _svd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.singular_values(clusters.tf_idf(_documents(spark, sf_dir), "row", "text")[0])
+    return clusters.singular_values(clusters.tf_idf(_texts(spark, sf_dir), "doc_id", "text")[0])
+
+
+def _svd_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = clusters.svd(clusters.tf_idf(_texts(spark, sf_dir), "doc_id", "text")[0])
+    return found.select("doc_id", F.col("svd")[0].alias("x"), F.col("svd")[1].alias("y"))
 
 
 def _embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,8 +242,12 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     ),
     "t8_slug": (lambda s, d: ledger.taxonomy(s).select("domain", text.slug(F.col("domain")).alias("slug")).distinct(), "SELECT * FROM (VALUES " + ", ".join(f"({_q(d)}, {_q(d.lower().replace(' / ', '_').replace(' ', '_').replace('/', '_'))})" for d in GATES) + ") t(domain, slug)"),
     "t9_tokens": (
-        lambda s, d: _english(s, d).select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")),
-        "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS word FROM documents WHERE lang = 'en') GROUP BY word",
+        lambda s, d: _texts(s, d).select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")),
+        f"SELECT word, count(*) AS n FROM ({_WORDS}) GROUP BY word",
+    ),
+    "t9_words_without_stop_words": (
+        lambda s, d: _texts(s, d).select("doc_id", F.size(clusters.word_list(F.col("text"), STOP)).alias("n_words")),
+        f"WITH w AS ({_WORDS}), c AS (SELECT doc_id, count(*) FILTER (WHERE word NOT IN ({_STOPPED})) AS n FROM w GROUP BY doc_id) SELECT doc_id, coalesce(n, 0)::INT AS n_words FROM documents LEFT JOIN c USING (doc_id)",
     ),
     "r1_mode": (_b(lambda b: _evald(b).select("o_orderkey", rules.first_rule(F.col("eval_text"), rules.MODE).alias("mode"))), f"{_B} SELECT o_orderkey, {_rule_sql('eval_text', rules.MODE)} AS mode FROM e"),
     "r2_r3_direction": (_b(lambda b: _classified(b).select("o_orderkey", "direction")), f"{_B} SELECT o_orderkey, {_DIR} AS direction FROM e"),
@@ -247,6 +276,8 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "a4_mode_breakdown": (_b(lambda b: ledger.breakdown(_classified(b), "mode")), f"WITH c AS ({_CLASSIFIED}) SELECT mode, count(*) AS n FROM c GROUP BY mode ORDER BY n DESC, mode"),
     "a4_purpose_breakdown": (_b(lambda b: ledger.breakdown(_classified(b), "purpose")), f"WITH c AS ({_CLASSIFIED}) SELECT purpose, count(*) AS n FROM c GROUP BY purpose ORDER BY n DESC, purpose"),
     "a6_w2_keyword_ranks": (_keyword_ranks, None),
+    "a6_w2_ranks_of_ruled_clusters": (lambda s, d: clusters.keyword_ranks(_ruled(s, d)), f"WITH {_RANKED} SELECT cluster, total_records, rank, keyword, frequency FROM r"),
+    "c5_k8_whole_report": (_ruled_report, _REPORT),
     "a7_weak_labels": (_b(lambda b: ledger.weak_labels(b)), f"{_WEAK} SELECT domain, label, phrase FROM w"),
     "a8_rows_per_file": (_b(lambda b: b.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))), f"{_B} SELECT file_id, count(*) AS n FROM b GROUP BY file_id"),
     "a9_exemplars_per_domain": (
@@ -295,5 +326,6 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "c3_a5_embedding_kmeans": (_embedding_clusters, None),
     "c5_k8_keyword_report": (lambda s, d: clusters.keyword_report(_keyword_ranks(s, d)), None),
     "c6_svd": (_svd, None),
+    "c6_k12_svd_coordinates": (_svd_coordinates, None),
     "c7_pca": (lambda s, d: clusters.project_pca(s.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding"), None),
 }

@@ -135,3 +135,16 @@ def test_more_prototypes_than_are_sent_at_once(spark, monkeypatch, pool):
     whole = key(vectors.label_scores(rows, protos, pool))
     monkeypatch.setattr(vectors, "PROTOTYPES", 5)
     assert key(vectors.label_scores(rows, protos, pool)) == whole and len(whole) == 18
+
+
+@pytest.mark.parametrize("pool", ["max", "top3", "mean"])
+def test_odd_vectors_have_null_scores_and_odd_prototypes_take_no_part(spark, monkeypatch, pool):
+    nan = float("nan")
+    protos = spark.createDataFrame([(f"l{i % 2}", i % 2, [1.0, float(i)]) for i in range(9)] + [("l0", 0, [1.0, nan]), ("l1", 1, [None, 1.0]), ("l0", 0, None), ("l2", 2, [nan, nan])], "label string, label_rank int, v array<double>")
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, None]), (3, None), (4, [nan, 1.0]), (5, [1.0]), (6, []), (1, [1.0, 2.0])], "id int, v array<double>")
+    key = lambda df: sorted((r["id"], r["label"], r["score"]) for r in df.collect())
+    whole = key(vectors.label_scores(rows, protos, pool))
+    monkeypatch.setattr(vectors, "PROTOTYPES", 2)
+    assert key(vectors.label_scores(rows, protos, pool)) == whole
+    assert len(whole) == 14 and [r[2] is None for r in whole] == [i != 1 for i, *_ in whole]
+    assert {r[1] for r in whole} == {"l0", "l1"}
