@@ -262,8 +262,15 @@ def bank_name(text: Column) -> Column:
 _STOP = r"account statement as of|account holder|customer id|branch|micr|ifsc|account number"
 
 
+def metadata_text(pages: DataFrame) -> DataFrame:
+    """(source_file, text) that the fields are looked for in, from pages (source_file, page_num from 1, text, layer): the first page if it is scanned, else the first two."""
+    first = pages.where("page_num <= 2").groupBy("source_file").agg(F.max(F.when(F.col("page_num") == 1, F.struct("layer", "text"))).alias("p1"), F.max(F.when(F.col("page_num") == 2, F.col("text"))).alias("p2"))
+    both = F.concat(*[F.when(t.isNotNull(), F.concat(t, F.lit("\n"))).otherwise("") for t in (F.col("p1.text"), F.col("p2"))])
+    return first.select("source_file", F.when(F.col("p1.layer") == "scanned", F.coalesce("p1.text", F.lit(""))).otherwise(both).alias("text"))
+
+
 def metadata(text: Column) -> Column:
-    """Map of the account fields found in a statement's first pages, with bank, holder and address."""
+    """Map of the account fields found in a statement's first pages, with bank, holder and address; no text, no fields."""
     lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: strip(x)), lambda x: x != "")
     titled = F.array_position(F.transform(F.slice(lines, 1, 4), lambda x: F.contains(F.lower(x), F.lit("statement"))), True)
     after = F.slice(lines, (F.greatest(titled, F.lit(0)) + 1).cast("int"), F.size(lines))
@@ -278,7 +285,7 @@ def metadata(text: Column) -> Column:
     address = F.when(F.size(client) > 1, F.array_join(F.slice(client, F.lit(2), F.size(client)), ", "))
     fields = [("Bank Name", bank_name(text)), ("Account Holder", holder), ("Client Address", address), *((k, strip(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")))) for k, p in METADATA.items())]
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull() & (F.length(text) > 0)))
 
 
 def merge_metadata(per_file: DataFrame) -> DataFrame:

@@ -23,19 +23,16 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.classify(rows, flag="cr_dr", scored=best).select("o_orderkey", "mode", "direction", "purpose", "bank")
 
 
-def _exemplars(spark: SparkSession) -> DataFrame:
-    return ledger.taxonomy(spark).select("domain", "label", "exemplar")
-
-
 def _prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The means of labels, of domains, and of classes, place by place."""
-    parts = encoder.prototypes(_exemplars(spark), _HASHED)
+    """The means of labels, of domains, and of classes, place by place, of all phrases that the ledger's weak labels give."""
+    parts = encoder.prototypes(ledger.weak_labels(q.bridge(spark, sf_dir)).withColumnRenamed("phrase", "exemplar"), _HASHED)
     each = [parts[k].select(F.lit(k).alias("part"), "domain", (F.col("label") if k == "labels" else F.lit("")).alias("label"), F.posexplode("v").alias("pos", "x")) for k in ("labels", "domains", "classes")]
     return each[0].unionByName(each[1]).unionByName(each[2]).where("x <> 0").withColumn("x", F.round("x", 6))
 
 
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoder.prototypes(_exemplars(spark), _HASHED)["metadata"].withColumn("exemplars", F.array_join("exemplars", "|"))
+    """A store's metadata over the taxonomy's exemplars and the best of the ledger's own."""
+    return encoder.prototypes(q.merged_exemplars(q.bridge(spark, sf_dir)), _HASHED)["metadata"].withColumn("exemplars", F.array_join("exemplars", "|"))
 
 
 def _place(text: str) -> str:
@@ -60,13 +57,13 @@ m AS (SELECT c.k, domain, label, label_rank, round(max(s), 9) AS s FROM c JOIN t
 best AS (SELECT k, domain, label FROM m JOIN ({_GATED}) USING (domain) QUALIFY row_number() OVER (PARTITION BY k, domain ORDER BY s DESC, label_rank) = 1 AND s >= gate),
 ruled AS (SELECT o_orderkey, eval_text, {q._rule_sql('eval_text', q.rules.MODE)} AS r_mode, {_OPEN_DIRECTION} AS r_direction, {q._PURPOSE} AS r_purpose, {q._rule_sql('eval_text', q.rules.BANK)} AS r_bank FROM e)
 SELECT o_orderkey, {_MEANT} FROM ruled LEFT JOIN best ON eval_text = k GROUP BY o_orderkey"""
-_PROTOTYPES_SQL = f"""WITH {_EXEMPLAR_UNIT}, u AS (SELECT domain, label, tax.k, b, x FROM tu JOIN tax USING (k)),
-ln AS (SELECT domain, label, count(DISTINCT k) AS n FROM u GROUP BY ALL), l0 AS (SELECT domain, label, b, sum(x) / any_value(n) AS x FROM u JOIN ln USING (domain, label) GROUP BY ALL),
+_PROTOTYPES_SQL = f"""{q._WEAK}, tax AS (SELECT domain, label, concat(domain, '|', label, '|', phrase) AS k, phrase AS t FROM w), tp AS ({_place('tax')}), tu AS ({_UNIT} FROM tp), pu AS (SELECT domain, label, tax.k, b, x FROM tu JOIN tax USING (k)),
+ln AS (SELECT domain, label, count(DISTINCT k) AS n FROM pu GROUP BY ALL), l0 AS (SELECT domain, label, b, sum(x) / any_value(n) AS x FROM pu JOIN ln USING (domain, label) GROUP BY ALL),
 l AS (SELECT domain, label, b, x / sqrt(sum(x * x) OVER (PARTITION BY domain, label)) AS x FROM l0),
-d AS (SELECT domain, b, x / sqrt(sum(x * x) OVER (PARTITION BY domain)) AS x FROM (SELECT domain, b, sum(x) AS x FROM l GROUP BY ALL)),
-c AS (SELECT domain, b, x / sqrt(sum(x * x) OVER (PARTITION BY domain)) AS x FROM (SELECT domain, b, sum(x) AS x FROM u GROUP BY ALL))
-SELECT 'labels' AS part, domain, label, b AS pos, round(x, 6) AS x FROM l UNION ALL SELECT 'domains', domain, '', b, round(x, 6) FROM d UNION ALL SELECT 'classes', domain, '', b, round(x, 6) FROM c"""
-_METADATA_SQL = f"""WITH {_TAX} SELECT CAST(CASE domain {' '.join(f'WHEN {q._q(d)} THEN {i}' for d, i in encoder.DOMAIN_IDS.items())} ELSE {encoder.OTHER} END AS INT) AS domain_id, domain,
+pd AS (SELECT domain, b, x / sqrt(sum(x * x) OVER (PARTITION BY domain)) AS x FROM (SELECT domain, b, sum(x) AS x FROM l GROUP BY ALL)),
+pc AS (SELECT domain, b, x / sqrt(sum(x * x) OVER (PARTITION BY domain)) AS x FROM (SELECT domain, b, sum(x) AS x FROM pu GROUP BY ALL))
+SELECT 'labels' AS part, domain, label, b AS pos, round(x, 6) AS x FROM l UNION ALL SELECT 'domains', domain, '', b, round(x, 6) FROM pd UNION ALL SELECT 'classes', domain, '', b, round(x, 6) FROM pc"""
+_METADATA_SQL = f"""{q._RANKED_EXEMPLARS}, tax AS (SELECT domain, label, exemplar AS t FROM merged) SELECT CAST(CASE domain {' '.join(f'WHEN {q._q(d)} THEN {i}' for d, i in encoder.DOMAIN_IDS.items())} ELSE {encoder.OTHER} END AS INT) AS domain_id, domain,
 concat(domain_id, '_', replace(replace(replace(lower(domain), ' / ', '_'), ' ', '_'), '/', '_')) AS folder_key, label, string_agg(t, '|' ORDER BY t) AS exemplars FROM tax GROUP BY domain, label"""
 
 

@@ -152,6 +152,14 @@ def _classified(df: DataFrame) -> DataFrame:
     return ledger.classify(df, flag="cr_dr").select("o_orderkey", "mode", "direction", "purpose", "bank")
 
 
+def _under_many_names(df: DataFrame) -> DataFrame:
+    """Entries and flags under several of the names that statements use, a side now here, now there."""
+    odd = F.col("o_orderkey") % 2 == 1
+    spread = {"Debit": F.lit(" - "), "Withdrawal Amt.": F.when(odd, F.col("debit")), "Dr": F.when(~odd, F.concat(F.lit("Rs. "), "debit")), "Credit Amount": F.when(odd, F.col("credit")), "Cr": F.when(~odd, F.col("credit")), "Type": F.lit("transfer"), "CR_DR": F.lower("cr_dr")}
+    rows = df.select("o_orderkey", "narration", *[c.alias(n) for n, c in spread.items()])
+    return ledger.classify(rows, debit=None, credit=None).select("o_orderkey", "direction")
+
+
 _CLASSIFIED = f"""{_B} SELECT o_orderkey, {_rule_sql('eval_text', rules.MODE, 'Other')} AS mode, {_DIR} AS direction, coalesce({_PURPOSE}, 'General Transfer') AS purpose,
  {_rule_sql('eval_text', rules.BANK, 'Not Mentioned')} AS bank FROM e"""
 
@@ -216,9 +224,13 @@ def _embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.sizes(clusters.k_means(rows, 2)[0])
 
 
+def merged_exemplars(df: DataFrame) -> DataFrame:
+    """(domain, label, rank, exemplar): the taxonomy's, then the best of the ledger's own."""
+    return ledger.merge_exemplars(ledger.taxonomy(df.sparkSession), ledger.top_exemplars(ledger.weak_labels(df)))
+
+
 def _merged(df: DataFrame) -> DataFrame:
-    base = ledger.taxonomy(df.sparkSession)
-    return ledger.merge_exemplars(base, ledger.top_exemplars(ledger.weak_labels(df))).groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n_exemplars"))
+    return merged_exemplars(df).groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n_exemplars"))
 
 
 _BASE = "base(domain, label, phrase) AS (VALUES " + ", ".join(f"({_q(d)}, {_q(label)}, {_q(e)})" for d, labels in TAXONOMY.items() for label, es in labels.items() for e in es) + ")"
@@ -226,6 +238,12 @@ _MERGED = f"""{_WEAK}, t AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITIO
 n AS (SELECT domain, label FROM base UNION ALL SELECT domain, label FROM t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.domain = t.domain AND b.label = t.label AND b.phrase = t.phrase))
 SELECT domain, label, count(*) AS n_exemplars FROM n GROUP BY ALL"""
 
+_PLACED = "placed(domain, label, rank, exemplar) AS (VALUES " + ", ".join(f"({_q(d)}, {_q(label)}, {i}, {_q(e)})" for d, labels in TAXONOMY.items() for label, es in labels.items() for i, e in enumerate(es)) + ")"
+_RANKED_EXEMPLARS = f"""{_WEAK}, {_PLACED}, t AS (SELECT *, row_number() OVER (PARTITION BY domain, label ORDER BY length(phrase) DESC, phrase) AS k FROM w QUALIFY k <= 6),
+fresh AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM placed b WHERE b.domain = t.domain AND b.label = t.label AND b.exemplar = t.phrase)),
+merged AS (SELECT domain, label, rank::INT AS rank, exemplar FROM placed UNION ALL
+ SELECT domain, label, ((SELECT count(*) FROM placed b WHERE b.domain = f.domain AND b.label = f.label) + row_number() OVER (PARTITION BY domain, label ORDER BY k) - 1)::INT, phrase FROM fresh f)"""
+
 SWEEP = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]
 
 #: name: (query, SQL or None)
@@ -240,7 +258,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         _b(lambda b: b.select("o_orderkey", text.title_case(F.col("narration")).alias("t"))),
         f"{_B} SELECT o_orderkey, array_to_string(list_transform(regexp_extract_all(narration, '[A-Za-z]+|[^A-Za-z]+'), lambda r: upper(r[1]) || lower(substr(r, 2))), '') AS t FROM b",
     ),
-    "t8_slug": (lambda s, d: ledger.taxonomy(s).select("domain", text.slug(F.col("domain")).alias("slug")).distinct(), "SELECT * FROM (VALUES " + ", ".join(f"({_q(d)}, {_q(d.lower().replace(' / ', '_').replace(' ', '_').replace('/', '_'))})" for d in GATES) + ") t(domain, slug)"),
+    "t8_slug": (_b(lambda b: b.select("o_orderkey", text.slug(F.concat("narration", F.lit(" / A/B"))).alias("slug"))), f"{_B} SELECT o_orderkey, replace(replace(replace(lower(concat(narration, ' / A/B')), ' / ', '_'), ' ', '_'), '/', '_') AS slug FROM b"),
     "t9_tokens": (
         lambda s, d: _texts(s, d).select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")),
         f"SELECT word, count(*) AS n FROM ({_WORDS}) GROUP BY word",
@@ -251,6 +269,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     ),
     "r1_mode": (_b(lambda b: _evald(b).select("o_orderkey", rules.first_rule(F.col("eval_text"), rules.MODE).alias("mode"))), f"{_B} SELECT o_orderkey, {_rule_sql('eval_text', rules.MODE)} AS mode FROM e"),
     "r2_r3_direction": (_b(lambda b: _classified(b).select("o_orderkey", "direction")), f"{_B} SELECT o_orderkey, {_DIR} AS direction FROM e"),
+    "r2_named_columns": (_b(_under_many_names), f"{_B} SELECT o_orderkey, {_DIR} AS direction FROM e"),
     "r4_r5_purpose": (_b(lambda b: b.select("o_orderkey", rules.purpose_rule(F.col("narration")).alias("purpose"))), f"{_B} SELECT o_orderkey, {_PURPOSE} AS purpose FROM b"),
     "r6_bank": (_b(lambda b: _evald(b).select("o_orderkey", rules.first_rule(F.col("eval_text"), rules.BANK).alias("bank"))), f"{_B} SELECT o_orderkey, {_rule_sql('eval_text', rules.BANK)} AS bank FROM e"),
     "r7_counterparty": (_derived(lambda t: {"party": rules.counterparty(t)}), None),
@@ -297,6 +316,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     ),
     "o4_preview": (_b(lambda b: b.orderBy("o_orderkey").limit(15).select("o_orderkey", "narration")), f"{_B} SELECT o_orderkey, narration FROM b ORDER BY o_orderkey LIMIT 15"),
     "u2_merged_exemplars": (_b(_merged), _MERGED),
+    "u2_merged_ranks": (_b(merged_exemplars), f"{_RANKED_EXEMPLARS} SELECT domain, label, rank, exemplar FROM merged"),
     "v2_normalise": (lambda s, d: _unit(s, d).select("vec_id", F.round(vectors.dot(F.col("v"), F.col("v")), 4).alias("norm2")), f"{_V} SELECT vec_id, round(list_dot_product(v, v), 4) AS norm2 FROM v"),
     "v4_label_score": (_pooled("max"), f"{_V} SELECT id, label, round(mx, 4) AS score FROM m"),
     "v5_v6_best_label": (
@@ -313,6 +333,10 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         lambda s, d: vectors.threshold_sweep(_scores(s, d).select("id", "score"), SWEEP),
         f"{_V}, t AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in SWEEP)}]) AS threshold), c AS (SELECT threshold, id, count(*) FILTER (WHERE mx >= threshold) AS k FROM m, t GROUP BY ALL) SELECT threshold, count(*) FILTER (WHERE k > 0) AS classified, count(*) FILTER (WHERE k = 0) AS unclassified, round(avg(k), 4) AS avg_matches, round(100.0::DOUBLE * count(*) FILTER (WHERE k > 0) / count(*), 4) AS percentage FROM c GROUP BY threshold",
     ),
+    "v11_class_counts": (
+        lambda s, d: vectors.class_counts(_scores(s, d), SWEEP).select("threshold", F.col("label").cast("int").alias("label"), "n"),
+        f"{_V} SELECT threshold, label, count(*) FILTER (WHERE mx >= threshold) AS n FROM m, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in SWEEP)}]) AS threshold) GROUP BY ALL",
+    ),
     "v12_classify_one": (lambda s, d: vectors.classify_one(_scores(s, d).where("id = 100"), 0.2).select("id", "top", F.array_join("matches", ",").alias("matches")), f"{_V} SELECT id, (arg_max(label, [mx, -label]))::VARCHAR AS top, coalesce(string_agg(label::VARCHAR, ',' ORDER BY label::VARCHAR) FILTER (WHERE mx >= 0.2::DOUBLE), '') AS matches FROM m WHERE id = 100 GROUP BY id"),
     "v13_label_centroids": (
         lambda s, d: vectors.centroids(_unit(s, d), ["label"]).select("label", F.posexplode("v").alias("pos", "x")).select("label", "pos", F.round("x", 4).alias("x")),

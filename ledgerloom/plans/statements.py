@@ -204,6 +204,43 @@ def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged(spark, sf_dir).select("o_orderkey", layout.metadata(page).alias("m")).select("o_orderkey", *[F.col("m")[f].alias(f.lower().replace(" ", "_")) for f in _FIELDS])
 
 
+# Every field, as a page says it and as it must be read; what a field's letters allow decides.
+_ALL_FIELDS = (
+    ("Customer ID", "Cust ID. ", "concat('CU', ref)"), ("Branch Name", "Branch Name: ", "concat('Fort ', CASE o_custkey % 3 WHEN 0 THEN 'St. Mary-le-Bow' ELSE 'East' END)"), ("Branch Code", "Branch Code: ", "substr(ref, 1, 4)"),
+    ("IFSC Code", "RTGS/NEFT IFSC: ", "concat('ABCD0', substr(ref, 1, 6))"), ("MICR Code", "MICR. ", "ref"), ("Account Number", "Account A/C No: ", "concat(ref, '123')"), ("Account Type", "Product Name: ", "'Savings (A/C)'"),
+    ("Account Currency", "Currency: ", "'INR'"), ("Interest Rate", "Interest Rate: ", "concat(CAST(o_custkey % 7 AS VARCHAR(5)), '.50 % p.a.')"), ("Statement Period", "Statement From: from ", "concat(val, ' to ', val)"), ("Opening Balance", "Opening Balance: Rs. ", "amount"),
+    ("Closing Balance", "Closing Balance: ", "balance"), ("Email", "Email: ", "concat('a.b+c-', ref, '@mail.example.org')"), ("Mobile", "Phone: ", "concat('+91 ', ref, '0')"), ("PAN", "Tax no ", "concat('ABCDE', substr(ref, 1, 4), 'Z')"),
+)
+
+
+def _all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scanned first page with all fields, a second one that isn't looked at; every eleventh statement has nothing on its first page."""
+    lines = F.concat_ws("\n", F.lit("Bank of Nowhere"), *[F.concat(F.lit(label), F.expr(value)) for _, label, value in _ALL_FIELDS])
+    rows = paged(spark, sf_dir)
+    page = lambda n, text, layer: F.struct(F.lit(n).alias("page_num"), text.alias("text"), F.lit(layer).alias("layer"))
+    pages = rows.select(F.col("o_orderkey").cast("string").alias("source_file"), F.inline(F.array(page(1, F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(lines), "scanned"), page(2, F.lit("IFSC: ZZZZ0ZZZZZZ"), "digital"))))
+    found = layout.metadata_text(pages).select(F.col("source_file").cast("long").alias("o_orderkey"), layout.metadata(F.col("text")).alias("m"))
+    return found.select("o_orderkey", F.size("m").alias("n_fields"), *[F.col("m")[f].alias(_column(f)) for f, *_ in _ALL_FIELDS])
+
+
+def _column(field: str) -> str:
+    return field.lower().replace(" ", "_")
+
+
+_ALL_FIELDS_SQL = f"SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE {len(_ALL_FIELDS) + 1} END AS n_fields, " + ", ".join(f"CASE WHEN o_orderkey % 11 > 0 THEN {value} END AS {_column(f)}" for f, _, value in _ALL_FIELDS) + " FROM p"
+
+
+def _overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each statement's rows, bank and holder; the fields are on its first two pages."""
+    rows = paged(spark, sf_dir)
+    title = F.when(F.col("page_num") == 0, F.concat(F.lit("Metropolitan Bank\nAccount Statement\nA. Person "), "ref", F.lit("\n1 Road"))).otherwise(F.concat(F.lit("Page "), F.col("page_num").cast("string")))
+    pages = rows.where("pos = 0").select("source_file", (F.col("page_num") + 1).alias("page_num"), title.alias("text"), F.lit("digital").alias("layer"))
+    fields = layout.metadata_text(pages).select("source_file", layout.metadata(F.col("text")).alias("m"))
+    tables = cells(spark, sf_dir)
+    counted = layout.parse_rows(tables, layout.detect_layout(tables)).groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+    return fields.join(counted, "source_file", "left").select("source_file", F.coalesce("n", F.lit(0)).alias("n"), F.col("m")["Bank Name"].alias("bank"), F.col("m")["Account Holder"].alias("holder"))
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_file = paged(spark, sf_dir).select(F.col("o_orderkey").alias("file_idx"), F.concat(F.lit("field "), (F.col("o_custkey") % 7).cast("string")).alias("field"), F.col("ref").alias("value"))
     return layout.merge_metadata(per_file)
@@ -256,6 +293,8 @@ UNION ALL SELECT DISTINCT source_file, page_num, 'Fallback (Math Engine)' FROM p
         _metadata,
         f"{_PAGED} SELECT o_orderkey, 'Some Cooperative' AS bank_name, concat('A. Person ', ref) AS account_holder, '1 Road' AS client_address, concat('C', ref) AS customer_id, concat('ZZZZ0', substr(ref, 1, 6)) AS ifsc_code, ref AS micr_code, ref AS account_number, amount AS opening_balance, concat('u', ref, '@example.com') AS email FROM p",
     ),
+    "p15_all_fields": (_all_fields, f"{_PAGED} {_ALL_FIELDS_SQL}"),
+    "a8_statement_overview": (_overview, f"{_ROWS_SQL}, c AS (SELECT source_file, count(*) AS k FROM r GROUP BY source_file) SELECT source_file, coalesce(k, 0) AS n, 'Metropolitan Bank' AS bank, concat('A. Person ', ref) AS holder FROM p LEFT JOIN c USING (source_file) WHERE pos = 0 AND page_num = 0"),
     "p17_merged_metadata": (_merged, f"{_PAGED} SELECT concat('field ', CAST(o_custkey % 7 AS VARCHAR)) AS field, arg_max(ref, o_orderkey) AS value FROM p GROUP BY ALL"),
     "p19_recognised_rows": (
         _recognised,
