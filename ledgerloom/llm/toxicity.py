@@ -3,9 +3,9 @@
 The kernel of two words counts the subsequences of three letters that they share, each
 weighted down by the stretch it takes in either word, so that gaps and inserted characters
 cost little. It is normalised and raised to a power, which keeps it a kernel. Landmarks are
-words of the labelled texts that tell toxic from other texts. A text's value at a landmark is
-the largest kernel of any part of its words, wherever the part begins and ends, so that what
-is glued to an insult costs nothing. Nyström's map makes features of the values, and a linear
+words of the labelled texts that tell toxic from other texts. A word's value at a landmark is
+the largest kernel of any part of it, wherever the part begins and ends, so that what
+is glued to an insult costs nothing; a text has the values of its BEST best words there. Nyström's map makes features of the values, and a linear
 SVM with squared hinge loss is trained on labelled texts and on copies of the toxic ones whose
 landmarks have inserted, doubled or interleaved characters. Platt's logistic turns its decision
 into a score.
@@ -35,7 +35,9 @@ LANDMARKS = 80
 #: Lengths of stems that may become landmarks, and of the longest whole word that may.
 SHORTEST, STEM, LONGEST = 4, 7, 14
 #: Least log-likelihood ratio of a landmark, and its least share of the largest one's.
-LEAST_RATIO, LEAST_SHARE = 12.0, 0.15
+LEAST_RATIO, LEAST_SHARE = 12.0, 0.05
+#: Of how many words a text's values at a landmark are kept: a stem that clean texts have once in a while, toxic ones have in several words.
+BEST = 3
 ORDER = 3
 DECAY = 0.5
 POWER = 2
@@ -55,13 +57,13 @@ _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 
 
 def tokens_of(text: str | None) -> set[str]:
-    """Distinct raw tokens, lower-cased; spaced-out letters also joined."""
+    """Distinct tokens, lower-cased, of letters and digits only; spaced-out letters also joined."""
     if not text:
         return set()
     text = text.lower()
-    found = set(text.split())
-    found.update(re.sub(r"\s", "", m) for m in _SPACED.findall(text))
-    return found
+    found = set(map(clean, text.split()))
+    found.update(clean(re.sub(r"\s", "", m)) for m in _SPACED.findall(text))
+    return found - {""}
 
 
 def clean(token: str) -> str:
@@ -227,11 +229,16 @@ class Features:
             self.rows.append((m[lo:hi], v[lo:hi]))
 
     def of(self, tokens: set[str]) -> np.ndarray:
-        x = np.zeros(len(self.kernel.words))
+        """The BEST largest values at each landmark, of as many distinct words: all largest first, then all second ones, and so on."""
+        x = np.zeros((BEST, len(self.kernel.words)))
         found = [self.rows[i] for i in map(self.cache.__getitem__, tokens) if i >= 0]
         if found:
-            np.maximum.at(x, np.concatenate([m for m, _ in found]), np.concatenate([v for _, v in found]))
-        return x
+            m, v = np.concatenate([m for m, _ in found]), np.concatenate([v for _, v in found])
+            by = np.lexsort((-v, m))
+            m, v = m[by], v[by]
+            place = np.arange(len(m)) - np.searchsorted(m, m)
+            x[place[place < BEST], m[place < BEST]] = v[place < BEST]
+        return x.ravel()
 
 
 def landmark_words(texts: list[set[str]], labels: np.ndarray, n: int = LANDMARKS) -> list[str]:
@@ -345,13 +352,13 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     texts, y = texts + copies, np.concatenate([y, np.ones(len(copies), y.dtype)])
     kernel = Kernel(marks)
     features = Features(kernel)
-    f = np.zeros((len(texts), len(marks)))
+    f = np.zeros((len(texts), BEST * len(marks)))
     for lo in range(0, len(texts), 256):
         features.learn(texts[lo : lo + 256])
         f[lo : lo + 256] = [features.of(t) for t in texts[lo : lo + 256]]
     values, vectors = np.linalg.eigh(kernel.among())
     good = values > 1e-6 * values.max()
-    nystrom = vectors[:, good] / np.sqrt(values[good])
+    nystrom = np.kron(np.eye(BEST), vectors[:, good] / np.sqrt(values[good]))  # one map for the first words, the second ones, and so on
     x = f @ nystrom
     w, b = fit_svm(x, y)
     a, c = platt(x @ w + b, y)
