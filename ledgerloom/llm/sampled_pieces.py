@@ -393,7 +393,7 @@ def encode_sampled(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     decoded_ok: the ids decode to the text (U+2581 counts as a space, as it does to the model).
     A text with fewer than k segmentations gives them all. Null and empty texts have one, of no
     pieces. Rows with equal keys and texts get equal samples. Texts are taken whole; other columns
-    are not read.
+    are not read. A key column with the name of a result is called key in it.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -431,7 +431,7 @@ def encode_sampled(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
                     yield emit(batch.column("key").slice(at, i + 1 - at), texts[at : i + 1], pieces)
                     at, size = i + 1, 0
 
-    return plain.mapInArrow(run, schema).withColumnRenamed("key", key_col)
+    return plain.mapInArrow(run, schema).withColumnRenamed("key", "key" if key_col in schema.names[1:] else key_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:

@@ -137,7 +137,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the smallest doc_id that links reach, the row's own included. Null and
     empty texts have fingerprint zero and are linked like any other. Rows that repeat an id
     are rows of their own. A null id stays null and is no component's name unless nothing
-    else is there. Long texts are taken whole; other columns are not read.
+    else is there. Long texts are taken whole; other columns are not read. An id column with the
+    name of a result is called doc_id in it.
     """
     marked = keep(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -145,4 +146,4 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = distinct.join(rooted, distinct["fp"] == rooted["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(roots, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select(F.col("doc_id").alias("doc_id" if id_col in ("fingerprint", "component_id") else id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,9 +6,10 @@ block's bucket, chosen by its anchor, brings together all places that can hold a
 window. Per bucket each window learns its earliest place in the corpus; windows that
 advance in step with their places form a run, which a *factor* (start, words, reference
 document, reference start) copies. A document is parsed greedily from left to right: at
-each word the longest factor that a reference block offers. Factors of 20 words and more
-are the duplicate spans; windows that straddle the end of a factor have places of their
-own and are checked there, since they may repeat another block.
+each word the longest factor that a run offers, else on to the next run. Factors, of 20 words and more,
+are the duplicate spans; windows that reach over the end of a factor are looked up
+there, since they may repeat another block. Nothing else goes. A run follows its windows' earliest
+places, so a longer copy whose parts also stand earlier elsewhere is parsed as several factors.
 
 One shuffle carries about nine bytes for each window, with repeats inside a task
 already folded into their first place, so that a passage held by a third of the
@@ -257,12 +258,22 @@ def covered(spans: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def straddling(gone: np.ndarray, starts: np.ndarray, lens: np.ndarray, window: int = WINDOW) -> None:
-    """Add the windows that reach over the end of a factor and repeat another block."""
-    ends = starts + lens - 1 + window
-    kept = np.concatenate([[0], np.cumsum(~gone)])
-    for i in np.flatnonzero(kept[ends] > kept[starts]):
-        gone[starts[i] : ends[i]] = True
+def straddling(gone: np.ndarray, spans: list[tuple[int, int, int, int]], starts: np.ndarray, lens: np.ndarray, window: int = WINDOW) -> None:
+    """Check the windows that reach over the end of a factor: those that repeat another block go as well.
+
+    The parse passes over no other window that repeats: one that begins after a factor's end begins a factor itself.
+    """
+    n = len(gone)
+    ends = np.array([start + words for start, words, *_ in spans], np.int64)
+    over, repeats, more = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    np.add.at(over, np.maximum(ends - window + 1, 0), 1)
+    np.add.at(over, ends, -1)
+    np.add.at(repeats, starts, 1)
+    np.add.at(repeats, starts + lens, -1)
+    checked = np.flatnonzero((np.cumsum(over[:-1]) > 0) & (np.cumsum(repeats[:-1]) > 0))
+    more[checked] += 1
+    more[checked + window] -= 1
+    gone |= np.cumsum(more[:-1]) > 0
 
 
 def _apply(with_text: bool, window: int = WINDOW):
@@ -276,7 +287,7 @@ def _apply(with_text: bool, window: int = WINDOW):
                     runs = [np.asarray(x) for x in (starts, lens, ref_doc, ref_start)]
                     spans = factors_of(*runs, window)
                     gone = covered(spans, n)
-                    straddling(gone, runs[0], runs[1], window)
+                    straddling(gone, spans, runs[0], runs[1], window)
                     words = [words[i] for i in np.flatnonzero(~gone)]
                 kept = b" ".join(words)
                 row = (n, n - len(words), hashlib.sha256(kept).hexdigest())

@@ -38,6 +38,8 @@ SHORTEST, STEM, LONGEST = 4, 7, 14
 LEAST_RATIO, LEAST_SHARE = 12.0, 0.05
 #: Of how many words a text's values at a landmark are kept: a stem that clean texts have once in a while, toxic ones have in several words.
 BEST = 3
+#: Share of the toxic texts that have a landmark of which one word is enough, if no other text has it.
+COMMON = 0.1
 ORDER = 3
 DECAY = 0.5
 POWER = 2
@@ -285,6 +287,13 @@ def changed(tokens: set[str], marks: list[str], how: int, at: int) -> set[str]:
     return found
 
 
+def thinned(tokens: set[str], marks: list[str], pure: set[str], at: int) -> set[str]:
+    """Copies of a text's tokens with one word only of those that begin with a landmark: one that begins with a landmark no other text has, `at` says which."""
+    marked = sorted(t for t in tokens if any(t.startswith(m) for m in marks))
+    alone = [t for t in marked if any(t.startswith(m) for m in pure)]
+    return tokens.difference(marked) | {alone[at % len(alone)]} if alone else tokens
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 60) -> tuple[np.ndarray, float]:
     """Linear SVM, squared hinge, classes balanced, by Newton's method on the active rows."""
     s = np.where(y > 0, 1.0, -1.0)
@@ -348,7 +357,12 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
         share = (y.sum() + 0.5) / (len(y) + 2.0)
         return Model([], np.zeros(0), float(np.log(share / (1 - share))))
     copies = [changed(t, marks, i % 3, i // 3) for i, (t, label) in enumerate(zip(texts, y, strict=True)) if label]
-    copies = [c for c, t in zip(copies, (t for t, label in zip(texts, y, strict=True) if label), strict=True) if c != t]
+    # One insult is enough where no other text has it and many toxic ones do.
+    toxic = [t for t, label in zip(texts, y, strict=True) if label]
+    other = set().union(*[t for t, label in zip(texts, y, strict=True) if not label])
+    pure = {m for m in marks if not any(w.startswith(m) for w in other) and sum(any(w.startswith(m) for w in t) for t in toxic) >= COMMON * len(toxic)}
+    copies += [thinned(t, marks, pure, i) for i, t in enumerate(toxic)]
+    copies = [c for c, t in zip(copies, toxic + toxic, strict=True) if c != t]
     texts, y = texts + copies, np.concatenate([y, np.ones(len(copies), y.dtype)])
     kernel = Kernel(marks)
     features = Features(kernel)

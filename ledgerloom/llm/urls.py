@@ -42,19 +42,25 @@ def grams_of(host: str, path: str) -> list[int]:
 
 
 def train(rows: list[tuple[str, str, int]]) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent with momentum, on rows scaled to unit length, both labels of equal weight. Deterministic."""
-    x = np.zeros((len(rows), BUCKETS))
-    for i, (host, path, _) in enumerate(rows):
-        at = grams_of(host, path)
-        x[i, at] = 1 / np.sqrt(max(1, len(at)))
+    """Weights and bias by full-batch gradient descent with momentum, on rows scaled to unit length, both labels of equal weight. Deterministic.
+
+    Buckets that no row has keep the weight zero, so only the others are trained.
+    """
+    grams = [grams_of(host, path) for host, path, _ in rows]
+    used = np.unique(np.concatenate([np.array(g, np.int64) for g in [[], *grams]]))
+    x = np.zeros((len(rows), len(used)))
+    for i, at in enumerate(grams):
+        x[i, np.searchsorted(used, at)] = 1 / np.sqrt(max(1, len(at)))
     y = np.array([r[2] for r in rows], float)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    w, b, vw, vb = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), 0.0
+    w, b, vw, vb = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0
     for _ in range(EPOCHS):
         e = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
         vw, vb = 0.9 * vw - 2.0 * (x.T @ e + PENALTY * w), 0.9 * vb - 2.0 * e.sum()
         w, b = w + vw, b + vb
-    return w, float(b)
+    whole = np.zeros(BUCKETS)
+    whole[used] = w
+    return whole, float(b)
 
 
 def host_of(url: Column) -> Column:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import contextlib
 import hashlib
 import io
 import json
@@ -301,16 +302,18 @@ def read_ranges(hits: DataFrame, columns: str, take) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, file = None, None
-        for batch in batches:
-            rows = []
-            for hit in batch.to_pylist():
-                if hit["archive"] != path:
-                    path = hit["archive"]
-                    files, at = opened(path)
-                    file = files.open_input_file(at)
-                file.seek(hit["offset"])
-                rows.append(take(hit, *payload_of(zlib.decompress(file.read(hit["length"]), wbits=31))))
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        with contextlib.ExitStack() as held:  # one archive at a time is open
+            for batch in batches:
+                rows = []
+                for hit in batch.to_pylist():
+                    if hit["archive"] != path:
+                        held.close()
+                        path = hit["archive"]
+                        files, at = opened(path)
+                        file = held.enter_context(files.open_input_file(at))
+                    file.seek(hit["offset"])
+                    rows.append(take(hit, *payload_of(zlib.decompress(file.read(hit["length"]), wbits=31))))
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     # Neighbours in an archive are read in a row; a large archive is divided.
     parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
