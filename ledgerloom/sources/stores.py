@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +25,123 @@ def missing_texts(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return texts.select("eval_text").distinct().join(cache.select("eval_text"), "eval_text", "left_anti")
 
 
-def write_version(df: DataFrame, root: str, *partition: str) -> str:
-    """Write a new version of a store and then point to it; readers of the old one are not disturbed, and a failed write leaves it."""
-    version = uuid.uuid4().hex
-    (df.write.partitionBy(*partition) if partition else df.write).parquet(f"{root}/versions/{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/pointer")
+class StaleVersion(Exception):
+    """Another writer has committed since the version that a write builds on."""
+
+
+MANIFEST = "version string, at string"
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(number, version, at) of the committed versions; an entry that a writer didn't finish counts for nothing."""
+    named = spark.read.schema(MANIFEST).json(f"{root}/manifest").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1).cast("long").alias("number"), "version", "at")
+    return named.where("version is not null and number is not null")
+
+
+def latest(spark: SparkSession, root: str) -> int:
+    """Number of a store's newest version; 0 where there is none."""
+    try:
+        return _manifest(spark, root).agg(F.max("number")).first()[0] or 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
+def _commit(spark: SparkSession, root: str, version: str, expected: int | None) -> int:
+    """Enter a version under the next number, which only one writer can create. With `expected`, that must be the newest number still."""
+    while True:
+        number = (latest(spark, root) if expected is None else expected) + 1
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/{number:012d}.json")
+        try:
+            out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in type(e.java_exception).__name__ and "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            if expected is not None:
+                raise StaleVersion(f"{root}: {number} is there already") from None
+            continue
+        out.writeBytes(json.dumps({"version": version, "at": datetime.now(UTC).isoformat()}) + "\n")
+        out.close()
+        return number
+
+
+def write_version(df: DataFrame, root: str, *partition: str, expected: int | None = None) -> str:
+    """Write a new version of a store and then enter it in the manifest; readers of the old one are not disturbed, and a failed write leaves it.
+
+    With `expected`, the number that the new version builds on, it fails where another writer was first, and leaves nothing.
+    """
+    version, spark = uuid.uuid4().hex, df.sparkSession
+    folder = f"{root}/versions/{version}"
+    try:
+        if expected is not None and latest(spark, root) != expected:
+            raise StaleVersion(f"{root}: not at {expected} any more")
+        (df.write.partitionBy(*partition) if partition else df.write).parquet(folder)
+        _commit(spark, root, version, expected)
+    except Exception:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        raise
     return version
 
 
 def read_version(spark: SparkSession, root: str, back: int = 0) -> DataFrame:
     """The store's latest version, or an earlier one."""
-    pointers = spark.read.schema("version string").json(f"{root}/pointer").select("version", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"))
-    version = pointers.orderBy(F.desc("at"), "path").take(back + 1)[back]["version"]
+    version = _manifest(spark, root).orderBy(F.desc("number")).take(back + 1)[back]["version"]
     return spark.read.parquet(f"{root}/versions/{version}")
 
 
+def roll_back(spark: SparkSession, root: str, back: int = 1) -> int:
+    """Make an earlier version the newest again, by a new entry: nothing is rewritten, and going back can be undone."""
+    newest = _manifest(spark, root).orderBy(F.desc("number")).take(back + 1)
+    return _commit(spark, root, newest[back]["version"], newest[0]["number"])
+
+
+class EmbeddingCache:
+    """Embeddings by text, in a table bucketed and sorted by the text: (eval_text, v).
+
+    Looking texts up shuffles the texts only, the cache stays where it lies; only texts that aren't there are encoded, and appended.
+    One cache for each encoder. Null texts are left out.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 64) -> None:
+        self.spark, self.table, self.buckets = spark, table, buckets
+
+    def _write(self, rows: DataFrame, table: str, mode: str) -> None:
+        # Dealt out as the buckets are, so a bucket is written by one task.
+        rows.select("eval_text", "v").repartition(self.buckets, "eval_text").write.bucketBy(self.buckets, "eval_text").sortBy("eval_text").mode(mode).saveAsTable(table)
+
+    def rows(self) -> DataFrame:
+        if not self.spark.catalog.tableExists(self.table):
+            self._write(self.spark.createDataFrame([], "eval_text string, v array<double>"), self.table, "ignore")
+        return self.spark.table(self.table)
+
+    def missing(self, texts: DataFrame) -> DataFrame:
+        """Distinct texts without an embedding."""
+        return texts.select("eval_text").where("eval_text is not null").repartition(self.buckets, "eval_text").distinct().join(self.rows(), "eval_text", "left_anti")
+
+    def fill(self, texts: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> int:
+        """Encode the missing texts (`encode` adds v to eval_text) and append them; how many there were."""
+        before = self.rows().count()
+        new = self.missing(texts)
+        if new.isEmpty():
+            return 0
+        self._write(encode(new), self.table, "append")
+        self.spark.catalog.refreshTable(self.table)
+        return self.spark.table(self.table).count() - before
+
+    def found(self, texts: DataFrame) -> DataFrame:
+        """`texts` with v, null where the cache has none."""
+        return texts.join(self.rows(), "eval_text", "left")
+
+    def compact(self) -> None:
+        """One file for each bucket again, after many appends: written beside the table, which then is replaced."""
+        beside = f"{self.table}_compacted"
+        self._write(self.rows().dropDuplicates(["eval_text"]), beside, "overwrite")
+        self.spark.sql(f"DROP TABLE {self.table}")
+        self.spark.sql(f"ALTER TABLE {beside} RENAME TO {self.table}")
+
+
 def write_bundle(parts: dict[str, DataFrame], root: str) -> None:
     """Each part as a new version of its own, then one row that names them all: a reader sees either all new parts or none."""
     versions = [(name, write_version(df, f"{root}/{name}")) for name, df in sorted(parts.items())]

@@ -150,3 +150,46 @@ def test_workbook_places(spark):
     assert workbook.widths(["Debit", "Description", "x"]) == {"Debit": 18, "Description": 48} and {r.style for r in got} <= set(workbook.STYLES)
     plain = workbook.statement_cells(rows.select("source_file", "i", "Description"), ["Description"], ["i"], meta)
     assert {r.style for r in plain.where("row > 14 and sheet = 'Transactions'").collect()} == {"odd", "even"}
+
+
+def test_manifest_of_two_writers_and_going_back(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    frame = lambda i: spark.createDataFrame([(i,)], "i int")
+    assert stores.latest(spark, root) == 0
+    for i in (1, 2, 3):
+        stores.write_version(frame(i), root)
+    assert stores.latest(spark, root) == 3 and [stores.read_version(spark, root, b).first()[0] for b in (0, 1, 2)] == [3, 2, 1]
+    stores.write_version(frame(4), root, expected=3)
+    with pytest.raises(stores.StaleVersion):  # the second writer built on 3 as well
+        stores.write_version(frame(5), root, expected=3)
+    with pytest.raises(stores.StaleVersion):  # or comes between the look and the entry
+        stores._commit(spark, root, "lost", 3)
+    assert stores.read_version(spark, root).first()[0] == 4 and len(list((tmp_path / "store" / "versions").iterdir())) == 4
+    assert stores.roll_back(spark, root) == 5 and stores.read_version(spark, root).first()[0] == 3
+    assert stores.roll_back(spark, root) == 6 and stores.read_version(spark, root).first()[0] == 4
+    (tmp_path / "store" / "manifest" / "000000000007.json").write_text("")  # a writer that died
+    assert stores.latest(spark, root) == 6 and stores.read_version(spark, root).first()[0] == 4
+
+
+def test_embedding_cache_encodes_new_texts_only(spark):
+    cache, calls = stores.EmbeddingCache(spark, "test_embedding_cache", 4), []
+
+    def encode(texts):
+        calls.append(texts.count())
+        return encoder.encode(texts, encoder.hashing_encoder(8))
+
+    spark.sql("DROP TABLE IF EXISTS test_embedding_cache")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(f"text {i % 7}",) for i in range(20)] + [(None,)], "eval_text string")
+        assert cache.fill(texts, encode) == 7 and cache.fill(texts, encode) == 0
+        assert cache.fill(texts.unionByName(spark.createDataFrame([("new",)], "eval_text string")), encode) == 1 and calls == [7, 1]
+        plan = cache.missing(texts)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the texts', none of the cache
+        cache.compact()
+        got = {r.eval_text: r.v for r in cache.found(texts).collect()}
+        want = {r.eval_text: r.v for r in encoder.encode(texts, encoder.hashing_encoder(8)).collect()}
+        assert got == want and cache.rows().count() == 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS test_embedding_cache")
