@@ -85,8 +85,8 @@ def raw_text(col: Column, null_as_nan: bool = True) -> Column:
 
 
 def eval_text(raw: Column) -> Column:
-    cleaned = clean_description(raw)
-    return F.when(F.length(cleaned) > 0, cleaned).otherwise(raw)
+    """The cleaned text, which is worked out once, or the raw one where nothing is left."""
+    return F.coalesce(F.nullif(clean_description(raw), F.lit("")), raw)
 
 
 def amount(text: Column) -> Column:

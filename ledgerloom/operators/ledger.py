@@ -38,14 +38,19 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "domain string, label string, label_rank int, exemplar_rank int, exemplar string")
 
 
-def per_distinct(df: DataFrame, column: str, make: Callable[[Column], dict[str, Column]]) -> DataFrame:
-    """`df` with the columns that `make` derives from a text column, worked out once for each distinct text and joined back.
+def per_distinct(df: DataFrame, column: str, *steps: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """`df` with the columns that `steps` derive from a text column, worked out once for each distinct text and joined back.
 
-    Narrations repeat, and a dozen patterns cost more than a text's way through a shuffle. Null is a text like any other; a column
-    that is there already is replaced.
+    Narrations repeat, and a dozen patterns cost more than a text's way through a shuffle. A step may use the columns of those
+    before it, which then stand once and aren't worked out again for each mention. Null is a text like any other; a column that
+    is there already is replaced.
     """
-    made = make(F.col("_text"))
-    texts = df.select(F.col(column).alias("_text")).distinct().select("_text", *[c.alias(n) for n, c in made.items()])
+    # Adaptive plans join partitions by their bytes, and a few bytes of text are much work here: the number stays as the session says.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = df.select(F.col(column).alias("_text")).distinct().repartition(parts, "_text")
+    for step in steps:
+        texts = texts.withColumns(step(F.col("_text")))
+    made = [c for c in texts.columns if c != "_text"]
     return df.drop(*made).join(texts, F.col(column).eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
@@ -61,7 +66,7 @@ def classify(ledger: DataFrame, description: str = "narration", debit: str | Non
     under all names that statements give them.
     """
     by_columns = rules.direction_of_table(ledger.columns) if debit is None or credit is None else rules.direction_of_columns(text.has_value(F.col(debit)), text.has_value(F.col(credit)), F.col(flag) if flag else None)
-    cleaned = per_distinct(ledger.withColumn("_raw", text.raw_text(F.col(description), null_as_nan)).withColumn("_by_columns", by_columns), "_raw", _readings)
+    cleaned = per_distinct(ledger.withColumn("_raw", text.raw_text(F.col(description), null_as_nan)).withColumn("_by_columns", by_columns), "_raw", _cleaned, _readings)
     if scored is not None:
         gates = reduce(lambda c, d: F.when(F.col("domain") == d, GATES[d][0]).otherwise(c), GATES, F.lit(2.0))
         best = scored.where(F.col("score") >= gates).groupBy("eval_text").pivot("domain", list(GATES)).agg(F.first("label"))
@@ -73,12 +78,16 @@ def classify(ledger: DataFrame, description: str = "narration", debit: str | Non
     return cleaned.withColumns(chosen).drop("_raw", "_by_columns", *[f"_{n}" for n in _NAMES.values()])
 
 
+def _cleaned(raw: Column) -> dict[str, Column]:
+    return {"eval_text": text.eval_text(raw)}
+
+
 def _readings(raw: Column) -> dict[str, Column]:
-    """What the rules say of a raw text; null where they say nothing."""
-    cleaned = text.eval_text(raw)
+    """What the rules say of a raw text and of its cleaned one; null where they say nothing."""
+    cleaned = F.col("eval_text")
     return {
-        "eval_text": cleaned, "mode": rules.first_rule(cleaned, rules.MODE), "direction": rules.direction_of_text(cleaned), "purpose": rules.purpose_rule(raw),
-        "bank": rules.first_rule(cleaned, rules.BANK), "counterparty": rules.counterparty(raw),
+        "mode": rules.first_rule(cleaned, rules.MODE), "direction": rules.direction_of_text(cleaned), "purpose": rules.purpose_rule(raw), "bank": rules.first_rule(cleaned, rules.BANK),
+        "counterparty": rules.counterparty(raw),
     }
 
 
@@ -179,6 +188,7 @@ def weak_labels(rows: DataFrame, description: str = "narration", flag: str = "cr
     direction = rules.weak_direction(text.has_value(F.col("debit")), text.has_value(F.col("credit")), F.col(flag))
     # A narration's other labels are its own, whatever row it stands in.
     raws = rows.select(F.col(description).alias("_raw"), direction.alias("_direction")).distinct()
+    raws = raws.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_raw")  # as in per_distinct
     # In a generator the cleaner stands once; a filter on its column would repeat it, inlined, for each mention.
     good = raws.select("_raw", "_direction", F.explode(F.filter(F.array(text.deep_clean(F.col("_raw"))), text.is_exemplar)).alias("phrase"))
     raw = F.col("_raw")
