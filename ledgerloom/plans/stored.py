@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout
 from ..shared import new_path
-from ..sources import pages, workbooks
+from ..sources import documents, pages, workbooks
 from . import learned, statements
 
 
@@ -39,7 +39,22 @@ def _read_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("workbooks").load(folder).select("source_file", "sheet", "row", "col", F.coalesce("value", F.lit("<none>")).alias("value"))
 
 
+def _many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a file of its own, in three layouts and without one."""
+    pages_ = statements.cells(spark, sf_dir).select(F.concat_ws("-", "source_file", F.col("page_num").cast("string")).alias("source_file"), "row_idx", "cells")
+    table = documents.common_table(documents.headed_rows(pages_))
+    return table.select("source_file", "row_idx", F.col("Description").alias("description"), F.col("`Value Date`").alias("value_date"), F.col("`Statement as of 01-02-2024`").alias("first"), F.col("Col_4").alias("col_4"), F.lit(len(table.columns) - 2).alias("n_columns"))
+
+
+_MANY_SQL = f"""WITH p AS ({statements.PAGED}), f AS (SELECT *, concat(source_file, '-', page_num) AS file FROM p),
+r AS (SELECT file, pos + 2 AS row_idx, CASE WHEN kind IN (1, 2) THEN concat('  ', said, chr(10), ' ', chr(9), 'X') END AS description, CASE WHEN kind IN (1, 2) THEN val END AS value_date, CASE WHEN kind IN (0, 3) THEN day END AS first,
+   CASE kind WHEN 0 THEN CASE WHEN is_debit = 1 THEN concat('Rs. ', amount) ELSE '' END WHEN 3 THEN amount END AS col_4 FROM f
+ UNION ALL SELECT file, 1, NULL, NULL, 'Date', 'Withdrawal Amt.' FROM f WHERE kind = 0 AND pos = 0)
+SELECT file AS source_file, row_idx::INT AS row_idx, description, value_date, first, col_4, 21 AS n_columns FROM r"""
+
+
 REGISTRY = {
+    "f5_u1_many_files": (_many_files, _MANY_SQL),
     "s3_s7_statement_pages": (_read_pages, statements.ROWS_SQL),
     "k1_s8_workbook_files": (_read_workbooks, f"SELECT source_file::VARCHAR AS source_file, sheet, row, col, value FROM ({learned.workbook_sql()})"),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import layout, running
 from ledgerloom.plans import statements, stored
-from ledgerloom.sources import pages, workbooks
+from ledgerloom.sources import documents, pages, workbooks
 
 CELLS = "source_file string, sheet string, row int, col int, span int, value string, style string, align string"
 
@@ -127,3 +127,15 @@ def test_running_totals(spark, parts):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_many_files_as_one_table(spark):
+    rows = [("a", 0, ["Txn Date", "Amount", "Amount", ""]), ("a", 1, ["1", "2", "3", "4", "5"]), ("a", 2, ["", None, " "]), ("b", 0, ["title"]), ("b", 3, ["No", "Date", "Description\n x"]), ("b", 4, ["7", None, "z"]), ("c", 0, ["x"]), ("c", 1, ["y"])]
+    cells = spark.createDataFrame(rows, "source_file string, row_idx int, cells array<string>")
+    table = documents.common_table(documents.headed_rows(cells))
+    assert table.columns == ["source_file", "row_idx", "Txn Date", "Amount", "Amount_1", "Col_3", "Col_4", "No", "Date", "Description x", "x"]
+    got = {(r.source_file, r.row_idx): {k: v for k, v in r.asDict().items() if v is not None and k not in ("source_file", "row_idx")} for r in table.collect()}
+    assert got == {("a", 1): {"Txn Date": "1", "Amount": "2", "Amount_1": "3", "Col_3": "4", "Col_4": "5"}, ("b", 4): {"No": "7", "Description x": "z"}, ("c", 1): {"x": "y"}}
+    head = F.concat(F.lit("h"), (F.col("id") % 3).cast("string"))
+    many = spark.range(1000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("source_file"), F.posexplode(F.array(F.array(head), F.array(F.lit("v")))).alias("row_idx", "cells"))
+    assert documents.common_table(documents.headed_rows(many)).count() == 1000
