@@ -8,6 +8,9 @@ A key shared by more than GROUP distinct fingerprints is divided by the same rul
 other half (two 16-bit segments, then two 8-bit ones). After the last division a key
 leaves at most eleven bits open, so no group exceeds 2,048 fingerprints, whatever the data.
 Within a group a spanning forest of verified links is emitted, never all its pairs.
+
+Both sides of every join grow with the documents and may be small on disk, so all are sort-merge
+joins by hint: the driver holds no table for a broadcast.
 """
 
 from __future__ import annotations
@@ -93,7 +96,7 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     found = None
     for level in (1, 2, 3):
         shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = keep(rows.join(shared, "k"), f"variants{level}")
+        rows = keep(rows.join(shared.hint("merge"), "k"), f"variants{level}")
         small = rows if level == 3 else rows.where(F.col("n") <= group)
         pairs = small.groupBy("k").agg(F.collect_list("fp").alias("g")).select(F.explode(forests("g")).alias("e")).select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
@@ -121,10 +124,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Links now point from larger to smaller; each node's smaller neighbours and itself go under the smallest.
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small = large.join(down.hint("merge"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         after = keep(small, "links")
         remove(now)
         now = after
@@ -143,7 +146,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = keep(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = components(links(distinct.select("fp")))
-    named = distinct.join(rooted, distinct["fp"] == rooted["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(rooted.hint("merge"), distinct["fp"] == rooted["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(roots, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("doc_id").alias("doc_id" if id_col in ("fingerprint", "component_id") else id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = named.join(roots.hint("merge"), "root").select("fp", "component_id")
+    return marked.join(named.hint("merge"), "fp").select(F.col("doc_id").alias("doc_id" if id_col in ("fingerprint", "component_id") else id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

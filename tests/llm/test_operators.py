@@ -88,6 +88,15 @@ def test_simhash_components(spark, odd):
     assert simhash.simhash_components(odd.limit(0)).count() == 0
 
 
+def test_simhash_broadcasts_no_table(spark, odd, monkeypatch):
+    """The driver has no room for them, however small they are on disk."""
+    plans, write = [], simhash.keep
+    monkeypatch.setattr(simhash, "keep", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    done = simhash.simhash_components(odd)
+    plans.append(("result", done._jdf.queryExecution().executedPlan().toString()))
+    assert {name for name, _ in plans} >= {"variants1", "links", "result"} and not [name for name, plan in plans if "Broadcast" in plan]
+
+
 def test_simhash_divides_large_groups(spark):
     rng = np.random.default_rng(1)
     fps = {int(12345678901234567 ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False))) for _ in range(300)}
