@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import layout
+from ledgerloom.plans import statements
 
 CELLS = "source_file string, page_num int, table_id int, row_idx int, cells array<string>"
 
@@ -51,3 +52,14 @@ def test_metadata(spark):
     m = spark.createDataFrame([(t,)], "t string").select(layout.metadata(F.col("t"))).first()[0]
     assert m["Bank Name"] == "Velocity Banking Corporation" and m["Account Holder"] == "A. Person" and m["Client Address"] == "1 Road" and m["Customer ID"] == "ABC12345"
     assert layout.unique_names(["a", "", "a", "Unnamed: 3"]) == ["a", "Col_1", "a_1", "Col_3"]
+
+
+def test_statements_are_numbered_without_a_task_for_each(spark):
+    """Ten statements at any scale: a window over them has ten tasks at most."""
+    rows = statements.paged(spark, "/root/testdata/sf0.001")
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for r in sorted(rows.collect(), key=lambda r: r.o_orderkey):
+        n = by[r.source_file] = by.get(r.source_file, -1) + 1
+        assert (r.n, r.pos, r.page_num, r.kind) == (n, n % 25, n // 25, n // 25 % 4)
+    assert len(by) == 10
