@@ -269,23 +269,40 @@ def metadata_text(pages: DataFrame) -> DataFrame:
     return first.select("source_file", F.when(F.col("p1.layer") == "scanned", F.coalesce("p1.text", F.lit(""))).otherwise(both).alias("text"))
 
 
-def metadata(text: Column) -> Column:
-    """Map of the account fields found in a statement's first pages, with bank, holder and address; no text, no fields."""
-    lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: strip(x)), lambda x: x != "")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` gives for a value that is computed once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _client(lines: Column) -> Column:
+    """The lines between the title and the first field."""
     titled = F.array_position(F.transform(F.slice(lines, 1, 4), lambda x: F.contains(F.lower(x), F.lit("statement"))), True)
     after = F.slice(lines, (F.greatest(titled, F.lit(0)) + 1).cast("int"), F.size(lines))
     stop = F.array_position(F.transform(after, lambda x: F.lower(x).rlike(_STOP)), True)
-    client = F.when((titled > 0) & (titled < F.size(lines)), F.when(stop > 0, F.slice(after, F.lit(1), (stop - 1).cast("int"))).otherwise(after))
-    salute = F.filter(
+    return F.when((titled > 0) & (titled < F.size(lines)), F.when(stop > 0, F.slice(after, F.lit(1), (stop - 1).cast("int"))).otherwise(after))
+
+
+def _saluted(lines: Column) -> Column:
+    return F.filter(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.when(F.upper(F.get(lines, i - 1)).isin("MR", "MRS", "MS", "DR", "M/S") & (i < F.size(lines)), F.concat(F.get(lines, i - 1), F.lit(" "), F.get(lines, i)))
             .when(F.get(lines, i - 1).rlike(r"(?i)^(?:MR|MRS|MS|DR|M/S)\s+[A-Za-z]") & ~F.lower(F.get(lines, i - 1)).rlike("branch|bank|statement|joint holders"), F.get(lines, i - 1))),
         lambda x: x.isNotNull(),
     )
-    holder = F.coalesce(F.get(client, F.lit(0)), F.get(salute, F.lit(0)))
-    address = F.when(F.size(client) > 1, F.array_join(F.slice(client, F.lit(2), F.size(client)), ", "))
-    fields = [("Bank Name", bank_name(text)), ("Account Holder", holder), ("Client Address", address), *((k, strip(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")))) for k, p in METADATA.items())]
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull() & (F.length(text) > 0)))
+
+
+def metadata(text: Column) -> Column:
+    """Map of the account fields found in a statement's first pages, with bank, holder and address; no text, no fields."""
+    lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: strip(x)), lambda x: x != "")
+    told = lambda client, of: F.struct(
+        F.coalesce(F.get(client, F.lit(0)), F.get(_saluted(of), F.lit(0))).alias("holder"), F.when(F.size(client) > 1, F.array_join(F.slice(client, F.lit(2), F.size(client)), ", ")).alias("address")
+    )
+    said = _let(lines, lambda of: _let(_client(of), lambda client: told(client, of)))
+
+    def fields(who: Column) -> Column:
+        found = [("Bank Name", bank_name(text)), ("Account Holder", who["holder"]), ("Client Address", who["address"]), *((k, strip(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")))) for k, p in METADATA.items())]
+        return F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in found])
+
+    return F.map_from_entries(F.filter(_let(said, fields), lambda e: e["value"].isNotNull() & (F.length(text) > 0)))
 
 
 def merge_metadata(per_file: DataFrame) -> DataFrame:

@@ -63,3 +63,9 @@ def test_statements_are_numbered_without_a_task_for_each(spark):
         n = by[r.source_file] = by.get(r.source_file, -1) + 1
         assert (r.n, r.pos, r.page_num, r.kind) == (n, n % 25, n // 25, n // 25 % 4)
     assert len(by) == 10
+
+
+def test_metadata_cuts_a_text_once(spark):
+    """Lines are looked at by every other field; cut anew for each look, a text costs its lines squared."""
+    plan = spark.createDataFrame([("a\nb",)], "t string").select(layout.metadata(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 4
