@@ -61,4 +61,4 @@ def ordered_key(docs: DataFrame, id_col: str, key: str = "key") -> DataFrame:
     # Sorted by ranges, the numbers that Spark gives rows follow the order; written, they stay.
     order = numbered.select(F.col(id_col).alias("_id"), F.col("_row").alias("_at")).orderBy(F.col("_id").asc_nulls_last(), "_at")
     keys = keep(order.select("_at", F.monotonically_increasing_id().alias(key)), "keys")
-    return numbered.join(keys, F.col("_row") == F.col("_at")).drop("_row", "_at")
+    return numbered.join(keys.hint("merge"), F.col("_row") == F.col("_at")).drop("_row", "_at")

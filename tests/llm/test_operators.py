@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import ann, chat, mixing, oracle, quality, queries, sampled_pieces, simhash, substring_dedup, toxicity, urls, warc
+from ledgerloom.llm import ann, chat, common, mixing, oracle, quality, queries, sampled_pieces, simhash, substring_dedup, toxicity, urls, warc
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -528,3 +528,8 @@ def test_pipeline_by_brute_force(spark):
     assert all(r.decoded_ok for r in got) and Counter(r.doc_id for r in got) == Counter({i: n for i, n in times.items() if n})
     texts = {i: t.replace("\u2581", " ") for i, t, _ in left}
     assert all(r.decoded == texts[r.doc_id] for r in got)
+
+
+def test_row_keys_broadcast_no_table(spark, odd):
+    """Keys of rows grow with the table, however small they are on disk."""
+    assert "Broadcast" not in common.ordered_key(odd, "doc_id")._jdf.queryExecution().executedPlan().toString()
