@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..shared import keep
+from ..shipping import ship
 from .running import numbered
 
 #: Common English words, as Spark's remover has them.
@@ -169,6 +170,7 @@ def svd(features: DataFrame, k: int = 2, vector: str = "vector", more: int = 8,
     holds the leading ones, equal values or not; what A'A is within the block then gives them exactly. A direction's largest
     component is positive. No rows give zeros.
     """
+    ship(features.sparkSession)  # bounds the rows that a worker holds as dense vectors
     first = features.select(vector).first()
     size = len(first[0]) if first is not None else 1
     width = min(size, k + more)

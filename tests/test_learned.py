@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import clusters, encoder, ledger, vectors, workbook
@@ -193,3 +194,11 @@ def test_embedding_cache_encodes_new_texts_only(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS test_embedding_cache")
+
+
+def test_svd_bounds_the_rows_of_a_worker(spark):
+    """Ten thousand dense vectors of a vocabulary at a time, in every worker, are too many."""
+    own = spark.newSession()
+    rows = own.range(50).select(array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("vector"))
+    _, values = clusters.svd(rows)
+    assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and values[0] > values[1] > 0
