@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout
-from ..shared import new_path
+from ..shared import keep, new_path
 from ..sources import documents, pages, workbooks
 from . import learned, statements
 
+_TEXT_PAGES = 4096  # that a task reads: text is light
+
 
 def write_pages(cells: DataFrame, path: str) -> None:
     """A text file for each statement, its pages and tables in order, as pages.TextCells reads them."""
@@ -27,8 +29,10 @@ def _read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages.register(spark)
     folder = new_path(spark, "statements")
     write_pages(statements.cells(spark, sf_dir), folder)
-    read = spark.read.format("statement_pages").option("path", folder).option("pattern", "*.txt").load().where("error is null").drop("error")
-    tables = read.withColumn("page_num", F.col("page_num") - 1)
+    spans = pages.find_pages(spark, folder, "*.txt", _TEXT_PAGES)
+    read = spark.read.format("statement_pages").options(path=folder, spans=spans, pages_a_task=_TEXT_PAGES).load().where("error is null").drop("error")
+    # Written, as the files would be read again for the layouts.
+    tables = keep(read.withColumn("page_num", F.col("page_num") - 1), "pages")
     return layout.parse_rows(tables, layout.detect_layout(tables)).select(*statements.ROW)
 
 

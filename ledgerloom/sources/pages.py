@@ -6,16 +6,22 @@
 A reader is a class with two methods. `pages(file)` says how many pages a file has, from as little
 of it as it can; `page(file, number)` yields a page's rows, numbered from 1. `file` can be read and
 sought. Readers stand in order of resort, separated by commas: for each page the next is asked if
-one yields nothing or fails. Errors become rows, so a bad page ends nothing but itself.
+one yields nothing or fails. Errors become rows, so a bad page ends nothing but itself. If the first
+reader also has `begins(file, start, end)` and `begin(file, number, at)`, as TextCells, a task starts
+at its own first page.
 """
 
 from __future__ import annotations
 
 import importlib
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -36,7 +42,7 @@ class TextCells:
     """
 
     def __init__(self) -> None:
-        self.last: tuple[Any, int, int] = (None, 0, 0)  # file, page, and the byte at which it begins
+        self.last: tuple[Any, int, int, bytes] = (None, 1, 0, b"")  # file, the page that comes next, the byte up to which the file is read, what is read of the page and after it
 
     def pages(self, file: Any) -> int:
         n, last = 1, b""
@@ -53,44 +59,48 @@ class TextCells:
                 yield table, row, [_plain(c) for c in line.split("\t")]
                 row += 1
 
+    def begins(self, file: Any, start: int, end: int) -> np.ndarray:
+        """Bytes at which the pages begin whose form feeds lie from `start` to before `end`."""
+        file.seek(start)
+        return np.flatnonzero(np.frombuffer(file.read(end - start), dtype=np.uint8) == 12) + start + 1
+
+    def begin(self, file: Any, number: int, at: int) -> None:
+        """Page `number` begins at byte `at`, so none before it need be read."""
+        self.last = (file, number, at, b"")
+
     def _page(self, file: Any, number: int) -> bytes:
         """A page's bytes; the page after the last one read is found at once."""
-        known, seen, at = self.last
+        known, seen, at, ahead = self.last
         if known is not file or seen > number:
-            seen, at = 1, 0
-        file.seek(at)
+            seen, at, ahead = 1, 0, b""
         kept = []
-        while block := file.read(1 << 16):
-            for i, part in enumerate(block.split(b"\f")):
-                if i:
-                    seen, at = seen + 1, at + 1
-                if seen > number:
-                    self.last = (file, seen, at)
+        while seen <= number:
+            if not ahead:
+                file.seek(at)
+                ahead = file.read(1 << 16)
+                at += len(ahead)
+                if not ahead:
                     return b"".join(kept)
-                if seen == number:
-                    kept.append(part)
-                at += len(part)
+            part, ended, ahead = ahead.partition(b"\f")
+            if seen == number:
+                kept.append(part)
+            seen += len(ended)
+        self.last = (file, seen, at, ahead)
         return b"".join(kept)
 
 
+_BACK = {v[1]: k for k, v in SEPARATORS.items()}
+
+
 def _plain(cell: str) -> str:
-    out, i = [], 0
-    back = {v[1]: k for k, v in SEPARATORS.items()}
-    while i < len(cell):
-        if cell[i] == "\\" and i + 1 < len(cell) and cell[i + 1] in back:
-            out.append(back[cell[i + 1]])
-            i += 2
-        else:
-            out.append(cell[i])
-            i += 1
-    return "".join(out)
+    return re.sub(r"\\([\\ntf])", lambda m: _BACK[m[1]], cell) if "\\" in cell else cell
 
 
 @dataclass
 class Lot(InputPartition):
-    """Pages of files: (path, first page, last page)."""
+    """Pages of files: (path, first page, last page, byte at which the first begins, if that is known)."""
 
-    spans: list[tuple[str, int, int]]
+    spans: list[tuple[str, int, int, int | None]]
 
 
 def lots_of(files: list[tuple[str, int, int]], most_pages: int, most_bytes: int) -> list[list[tuple[str, int, int]]]:
@@ -110,8 +120,63 @@ def lots_of(files: list[tuple[str, int, int]], most_pages: int, most_bytes: int)
     return lots
 
 
+def spans_of(parts: Iterable[tuple[str, int, list[int], int]], step: int) -> list[tuple[str, int, int, int, int]]:
+    """(path, first page, last page, byte of the first, bytes), `step` pages at most, from (path, pages that begin in a part of it, bytes of every `step`-th of them, end of the part), parts in order."""
+    out, current, before = [], None, 0
+    for path, n, marks, end in parts:
+        before = before if path == current else 0
+        out += [(path, before + i * step + 1, before + min(n, (i + 1) * step), at, max(upto - at, 0)) for i, (at, upto) in enumerate(zip(marks, [*marks[1:], end], strict=False))]
+        current, before = path, before + n
+    return out
+
+
+def spans_together(spans: Iterable[tuple[str, int, int, int, int]], most_pages: int, most_bytes: int) -> list[list[tuple[str, int, int, int]]]:
+    """Lots of spans in order, small ones together, within both bounds but for a single span that is larger."""
+    lots: list[list[tuple[str, int, int, int]]] = []
+    n_pages, n_bytes = most_pages, most_bytes
+    for path, first, last, at, size in spans:
+        if n_pages + last - first + 1 > most_pages or n_bytes + size > most_bytes:
+            lots.append([])
+            n_pages, n_bytes = 0, 0
+        lots[-1].append((path, first, last, at))
+        n_pages, n_bytes = n_pages + last - first + 1, n_bytes + size
+    return lots
+
+
+def parts_of(files: list[tuple[str, int]], most_bytes: int) -> list[tuple[str, int, int, int]]:
+    """(path, size, first byte, byte after the last) of parts of files."""
+    return [(path, size, at, min(at + most_bytes, size)) for path, size in files for at in range(0, max(size, 1), most_bytes)]
+
+
+def pages_begun(reader: Any, folder: str, part: tuple[str, int, int, int], step: int) -> tuple[str, int, list[int], int]:
+    """(path, pages that begin in a part of it, bytes of every `step`-th of them, the part's end): a file's first page is in its first part, others where their separator is; none follows a last separator."""
+    path, size, start, end = part
+    system, _ = opened(folder)
+    try:
+        with system.open_input_file(path) as file:
+            at = reader.begins(file, start, end)
+    except Exception:  # noqa: BLE001  the task that reads it says why
+        at = np.array([], dtype=np.int64)
+    at = np.concatenate([[0] if start == 0 else [], at[at < size]]).astype(np.int64)
+    return path, len(at), at[::step].tolist(), end
+
+
+def find_pages(spark: SparkSession, folder: str, pattern: str = "*", pages_a_task: int = LOT_PAGES, bytes_a_task: int = LOT_BYTES, reader: type = TextCells) -> str:
+    """Option `spans` of the source: where the pages of a folder begin, found by a task for each part of a file, not by the driver. `reader` has `begins`."""
+    ship(spark)
+    parts = parts_of(listed(folder, pattern), bytes_a_task)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [pages_begun(reader(), folder, parts[i], pages_a_task) for i in pdf["id"]]
+            yield pd.DataFrame({"id": pdf["id"], "n": [n for _, n, *_ in found], "marks": [marks for *_, marks, _ in found]})
+
+    rows = spark.range(0, len(parts), 1, max(1, len(parts))).mapInPandas(run, "id long, n long, marks array<long>").collect()  # one for each lot
+    return json.dumps(spans_of([(parts[r["id"]][0], r["n"], r["marks"], parts[r["id"]][3]) for r in sorted(rows, key=lambda r: r["id"])], pages_a_task))
+
+
 class StatementPages(DataSource):
-    """Options: path, pattern (*), kind (cells, tokens or pages), readers, pages_a_task, bytes_a_task.
+    """Options: path, pattern (*), kind (cells, tokens or pages), readers, pages_a_task, bytes_a_task, spans (as find_pages gives them).
 
     Rows are those of the kind (source_file and page_num are put in front of what a reader yields) with `error`, null where a
     reader gave rows. A page that no reader could read gives one row of nulls with the errors; one without rows or errors gives none.
@@ -137,12 +202,17 @@ class PagesReader(DataSourceReader):
         return [getattr(importlib.import_module(m), c)() for m, c in (r.strip().split(":") for r in named.split(","))]
 
     def partitions(self) -> list[Lot]:
-        """Files are listed and their pages counted here; a file that can't be counted is one page, whose error the task tells."""
-        files, readers = [], self._readers()
-        for path, size in listed(self.options["path"], self.options.get("pattern", "*")):
-            files.append((path, size, self._count(readers, path)))
+        """Without `spans` files are listed and their pages counted here; a file that can't be counted is one page, whose error the task tells."""
         bound = lambda name, default: int(self.options.get(name, default))
-        return [Lot(spans) for spans in lots_of(files, bound("pages_a_task", LOT_PAGES), bound("bytes_a_task", LOT_BYTES))]
+        most_pages, most_bytes = bound("pages_a_task", LOT_PAGES), bound("bytes_a_task", LOT_BYTES)
+        if "spans" in self.options:
+            return [Lot(spans) for spans in spans_together(json.loads(self.options["spans"]), most_pages, most_bytes)]
+        readers, files = self._readers(), listed(self.options["path"], self.options.get("pattern", "*"))
+        if hasattr(readers[0], "begins"):
+            begun = (pages_begun(readers[0], self.options["path"], part, most_pages) for part in parts_of(files, most_bytes))
+            return [Lot(spans) for spans in spans_together(spans_of(begun, most_pages), most_pages, most_bytes)]
+        counted = [(path, size, self._count(readers, path)) for path, size in files]
+        return [Lot([(*span, None) for span in spans]) for spans in lots_of(counted, most_pages, most_bytes)]
 
     def _count(self, readers: list[Any], path: str) -> int:
         system, _ = opened(self.options["path"])
@@ -157,8 +227,11 @@ class PagesReader(DataSourceReader):
     def read(self, partition: Lot) -> Iterator[tuple]:
         readers = self._readers()
         system, _ = opened(self.options["path"])
-        for path, first, last in partition.spans:
+        for path, first, last, at in partition.spans:
             with system.open_input_file(path) as file:
+                for reader in readers if at is not None else []:
+                    if getattr(type(reader), "begins", None) is type(readers[0]).begins:  # it parts pages alike
+                        reader.begin(file, first, at)
                 for number in range(first, last + 1):
                     yield from self._rows(readers, file, source_of(path), number)
 

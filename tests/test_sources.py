@@ -51,6 +51,26 @@ def test_pages_of_text(spark, tmp_path):
     assert {(r.page_num, tuple(r.cells)) for r in both if r.page_num > 1} == {(2, ("bad",)), (3, ("none",))} and not any(r.error for r in both)
 
 
+def test_a_task_starts_at_its_own_pages(spark, tmp_path):
+    body = [f"#0\n{i}\tx\\\\" + "\ty" * (i % 50) for i in range(3000)]
+    (tmp_path / "a.txt").write_text("\f".join(body) + "\f")
+    (tmp_path / "b.txt").write_text("\f\f#0\nlast")
+    want = [("a", i + 1, [str(i), "x\\", *["y"] * (i % 50)]) for i in range(3000)] + [("b", 3, ["last"])]
+    pages.register(spark)
+    for size in (20_011, 1 << 20):  # parts of files that end anywhere
+        for given in ({"spans": pages.find_pages(spark, str(tmp_path), "*.txt", 100, size)}, {"bytes_a_task": size}):
+            read = spark.read.format("statement_pages").options(path=str(tmp_path), pattern="*.txt", pages_a_task=100, **given).load()
+            assert sorted((r.source_file, r.page_num, r.cells) for r in read.collect()) == want
+    lots = pages.PagesReader({"path": str(tmp_path), "pattern": "a.txt"}, 6).partitions()
+    assert [(first, last) for lot in lots for _, first, last, _ in lot.spans] == [(i, min(i + 63, 3000)) for i in range(1, 3001, 64)]
+    reader, seen = pages.TextCells(), []
+    file = io.BytesIO("\f".join(body).encode())
+    file.seek, seek = lambda at: (seen.append(at), seek(at)), file.seek
+    reader.begin(file, lots[-1].spans[0][1], lots[-1].spans[0][3])
+    assert [c[0] for _, _, c in reader.page(file, lots[-1].spans[0][1])] == [str(lots[-1].spans[0][1] - 1)]
+    assert seen == [lots[-1].spans[0][3]]
+
+
 def test_more_tasks_than_files(spark, tmp_path):
     pages.register(spark)
     stored.write_pages(statements.cells(spark, "/root/testdata/sf0.001"), str(tmp_path / "s"))
