@@ -32,7 +32,7 @@ def _prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store's metadata over the taxonomy's exemplars and the best of the ledger's own."""
-    return encoder.prototypes(q.merged_exemplars(q.bridge(spark, sf_dir)), _HASHED)["metadata"].withColumn("exemplars", F.array_join("exemplars", "|"))
+    return encoder.store_metadata(q.merged_exemplars(q.bridge(spark, sf_dir))).withColumn("exemplars", F.array_join("exemplars", "|"))
 
 
 def _place(text: str) -> str:

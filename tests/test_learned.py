@@ -1,5 +1,8 @@
 """Encoders, prototypes and their stores, sources, terms of clusters, workbooks."""
 
+import math
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -202,3 +205,25 @@ def test_svd_bounds_the_rows_of_a_worker(spark):
     rows = own.range(50).select(array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("vector"))
     _, values = clusters.svd(rows)
     assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and values[0] > values[1] > 0
+
+
+def test_a_text_is_encoded_once_for_all_its_labels(spark, tmp_path):
+    """Labels, domains and classes come from one pass of the encoder."""
+    seen = str(tmp_path)
+
+    def load():
+        run = encoder.hashing_encoder(16)()
+
+        def counted(texts):
+            with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return run(texts)
+
+        return counted
+
+    rows = [(d, label, f"word{i} x") for i in range(40) for d, label in (("A", "a"), ("A", "b" if i % 2 else "c"), ("B", "d"))]
+    parts = encoder.prototypes(spark.createDataFrame([*rows, rows[0]], "domain string, label string, exemplar string").repartition(3), load)
+    assert {k: parts[k].count() for k in ("labels", "domains", "classes")} == {"labels": 4, "domains": 2, "classes": 2}
+    assert all(abs(sum(x * x for x in r.v) - 1) < 1e-9 for k in ("labels", "domains", "classes") for r in parts[k].collect())
+    said = [line for p in tmp_path.iterdir() for line in p.read_text().splitlines()]
+    assert sorted(said) == sorted(f"{encoder.PREFIX}word{i} x" for i in range(40))
