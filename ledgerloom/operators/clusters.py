@@ -35,14 +35,21 @@ def tf_idf_weights(df: DataFrame, key: str, text: str, features: int = 500, stop
     The weight is count * (ln((1 + n) / (1 + df)) + 1) over the row's length; documents without a term have no row. Rows
     of one key are one document; null is no key.
     """
-    n = df.where(F.col(key).isNotNull()).select(key).distinct().count()
-    tf = words(df.where(F.col(key).isNotNull()), key, text, stop).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
-    terms = tf.groupBy("word").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "word").limit(features)
-    chosen = [(r["word"], r["df"]) for r in terms.orderBy("word").collect()]  # `features` rows at most
-    idx = df.sparkSession.createDataFrame([(w, i, d) for i, (w, d) in enumerate(chosen)], "word string, i int, df long")
-    raw = tf.join(F.broadcast(idx), "word").withColumn("x", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
-    rows = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.array_sort(F.collect_list(F.struct("i", "word", "x"))).alias("terms"))  # `features` terms at most
-    return rows.select(key, "length", F.inline("terms")).select(key, "i", "word", (F.col("x") / F.col("length")).alias("weight")), [w for w, _ in chosen]
+    given = df.where(F.col(key).isNotNull())
+    n = given.select(key).distinct().count()
+    terms = words(given, key, text, stop).groupBy("word").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "word").limit(features)
+    chosen = sorted(r["word"] for r in terms.collect())  # `features` rows at most
+    # Only the vocabulary's words are shuffled, once, as a sparse vector for each row; no word is empty.
+    model = CountVectorizerModel.from_vocabulary(chosen or [""], inputCol="_words", outputCol="_counts")
+    counts = model.transform(given.select(key, word_list(F.col(text), stop).alias("_words"))).select(key, "_counts").repartition(key)
+    tf = counts.select(key, F.posexplode(vector_to_array("_counts")).alias("i", "x")).where("x > 0").groupBy(key, "i").agg(F.sum("x").alias("x"))
+    rows = keep(tf.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("terms")), "terms")  # `features` terms at most
+    found = dict(rows.select(F.explode("terms.i").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("df")).collect())
+    idf = F.lit([float(np.log((1.0 + n) / (1.0 + found[i])) + 1.0) for i in range(len(chosen))] or [0.0])
+    said = F.lit(chosen or [""])
+    weighed = rows.select(key, F.transform("terms", lambda t: F.struct(t["i"].alias("i"), F.get(said, t["i"]).alias("word"), (t["x"] * F.get(idf, t["i"])).alias("x"))).alias("terms"))
+    length = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["x"] * t["x"]))
+    return weighed.select(key, length.alias("length"), F.inline("terms")).select(key, "i", "word", (F.col("x") / F.col("length")).alias("weight")), chosen
 
 
 def word_list(text: Column, stop: list[str] | None = None) -> Column:
@@ -93,7 +100,7 @@ def sizes(clustered: DataFrame) -> DataFrame:
 def keyword_ranks(clustered: DataFrame, words: str = "words") -> DataFrame:
     """(cluster, total_records, rank, keyword, frequency) of rows with a cluster and their words; numbered by ranges, no task holds a cluster."""
     freq = clustered.select("cluster", F.explode(words).alias("keyword")).groupBy("cluster", "keyword").agg(F.count(F.lit(1)).alias("frequency"))
-    ranked = numbered(freq, ["cluster"], [F.desc("frequency"), "keyword"])
+    ranked = numbered(freq, ["cluster"], [F.desc("frequency"), "keyword"], few=True)
     totals = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("total_records"))
     return ranked.join(totals, "cluster").select("cluster", "total_records", F.col("rank").cast("int").alias("rank"), "keyword", "frequency")
 

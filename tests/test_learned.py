@@ -227,3 +227,15 @@ def test_a_text_is_encoded_once_for_all_its_labels(spark, tmp_path):
     assert all(abs(sum(x * x for x in r.v) - 1) < 1e-9 for k in ("labels", "domains", "classes") for r in parts[k].collect())
     said = [line for p in tmp_path.iterdir() for line in p.read_text().splitlines()]
     assert sorted(said) == sorted(f"{encoder.PREFIX}word{i} x" for i in range(40))
+
+
+def test_only_the_vocabulary_is_shuffled(spark):
+    """What is weighed is written once by key; giving the weights shuffles nothing more."""
+    docs = spark.createDataFrame([(1, "stone stone river"), (1, "river tree"), (2, "tree sky"), (None, "stone")], "k int, text string")
+    found, vocabulary = clusters.tf_idf_weights(docs, "k", "text", features=3, stop=[])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and vocabulary == ["river", "stone", "tree"]
+    got = {(r.k, r.word): r.weight for r in found.collect()}
+    raw = {"river": 2 * (math.log(3 / 2) + 1), "stone": 2 * (math.log(3 / 2) + 1), "tree": 1.0}
+    length = math.sqrt(sum(x * x for x in raw.values()))
+    assert got == {**{(1, w): pytest.approx(x / length) for w, x in raw.items()}, (2, "tree"): pytest.approx(1.0)}
+    assert clusters.tf_idf_weights(docs.limit(0), "k", "text")[0].count() == 0
