@@ -51,6 +51,20 @@ def running(df: DataFrame, keys: list[str], order: list[Column | str], totals: d
     return both.select(*rest.columns, *out)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
-    """`df` with the row's number among those of its key, from 1."""
-    return running(df, keys, order, {name: F.lit(1)})
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rank", few: bool = False) -> DataFrame:
+    """`df` with the row's number among those of its key, from 1.
+
+    `few` says that keys with the session's partitions are a small table. A row's number then follows from its place among the
+    sorted rows and that of its key's first row in the partition: sorted rows are read as they were written, not shuffled again.
+    """
+    if not few:
+        return running(df, keys, order, {name: F.lit(1)})
+    rest = df if name in keys else df.drop(name)
+    rows = keep(rest.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("_at", F.monotonically_increasing_id()), "running")
+    part, named = F.shiftright("_at", _PART_BITS), [f"_k{i}" for i in range(len(keys))]
+    begun = rows.groupBy(part.alias("_part"), *[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)]).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*named).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    begun = begun.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)]
+    both = rows.join(F.broadcast(begun), [part == F.col("_part"), *same])
+    return both.select(*rest.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))

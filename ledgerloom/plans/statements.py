@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import layout
 from ..operators.running import numbered
-from ..shared import keep
 
 _FREE = 25  # orders of a page
 
@@ -36,9 +35,9 @@ _PLACE = "row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey)"
 
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of PAGED. Places in the ten statements are numbered by ranges, so no task holds a statement, and written once for all that reads them."""
+    """The rows of PAGED. Places in the ten statements are numbered by ranges, so no task holds a statement, over rows written once for all that reads them."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus").withColumn("file", F.col("o_custkey") % 10)
-    placed = keep(numbered(orders, ["file"], ["o_orderkey"], "place").drop("file"), "orders")
+    placed = numbered(orders, ["file"], ["o_orderkey"], "place", few=True).drop("file")
     return spark.sql(PAGED.replace(_PLACE, "place").replace("FROM orders)", "FROM {orders})"), orders=placed)
 
 

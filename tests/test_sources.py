@@ -159,3 +159,14 @@ def test_many_files_as_one_table(spark):
     head = F.concat(F.lit("h"), (F.col("id") % 3).cast("string"))
     many = spark.range(1000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("source_file"), F.posexplode(F.array(F.array(head), F.array(F.lit("v")))).alias("row_idx", "cells"))
     assert documents.common_table(documents.headed_rows(many)).count() == 1000
+
+
+def test_numbers_of_few_keys_need_no_second_shuffle(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 3 > 0 THEN id % 3 END AS k", "id % 7 AS o", "id", "'x' AS rank")
+    got = running.numbered(rows, ["k"], ["o", F.desc("id")], few=True)
+    want = rows.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("o", F.desc("id"))).cast("long"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    wide = [line for line in plan.splitlines() if "Exchange" in line and "o#" in line]
+    assert not wide  # rows themselves stay where they were written
