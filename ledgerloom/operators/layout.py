@@ -114,21 +114,19 @@ def group_lines(tokens: DataFrame, tolerance: float, top: float = float("-inf"),
     """
     word = F.struct(F.col("y0").alias("y"), F.col("x0").alias("x"), F.col("x1").alias("x1"), F.col("text").alias("text"))
     pages = tokens.where(F.col("y0").between(top, bottom)).groupBy("source_file", "page_num").agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    line = "array<array<struct<y:double,x:double,x1:double,text:string>>>"
+    # The fold only finds where lines begin; each line is then one slice.
+    joins = lambda acc, w: acc["at"].isNotNull() & (F.abs(w["y"] - acc["at"]) < tolerance)
     fold = F.aggregate(
         "ws",
-        F.struct(F.array().cast(line).alias("lines"), F.lit(None).cast("double").alias("at")),
-        lambda acc, w: F.when(
-            acc["at"].isNull() | (F.abs(w["y"] - acc["at"]) < tolerance),
-            F.struct(
-                F.when(acc["at"].isNull(), F.array(F.array(w)))
-                .otherwise(F.concat(F.slice(acc["lines"], F.lit(1), F.greatest(F.size(acc["lines"]) - 1, F.lit(0))), F.array(F.concat(F.element_at(F.when(F.size(acc["lines"]) > 0, acc["lines"]), -1), F.array(w)))))
-                .alias("lines"),
-                F.coalesce((acc["at"] + w["y"]) / 2, w["y"]).alias("at"),
-            ),
-        ).otherwise(F.struct(F.concat(acc["lines"], F.array(F.array(w))).alias("lines"), w["y"].alias("at"))),
-    )
-    lines = pages.select("source_file", "page_num", F.posexplode(fold["lines"]).alias("line_no", "ws"))
+        F.struct(F.lit(None).cast("double").alias("at"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, w: F.struct(
+            F.when(joins(acc, w), (acc["at"] + w["y"]) / 2).otherwise(w["y"]).alias("at"), (acc["n"] + 1).alias("n"),
+            F.when(joins(acc, w), acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["n"] + 1))).alias("starts"),
+        ),
+        lambda acc: acc["starts"],
+    )
+    cut = lambda starts: F.transform(starts, lambda at, i: F.slice("ws", at, F.coalesce(F.get(starts, i + 1), F.size("ws") + 1) - at))
+    lines = pages.select("source_file", "page_num", F.posexplode(_let(fold, cut)).alias("line_no", "ws"))
     by_x = F.array_sort(F.transform("ws", lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y"), w["x1"].alias("x1"), w["text"].alias("text"))))
     return lines.select("source_file", "page_num", "line_no", by_x.alias("words"))
 

@@ -69,3 +69,22 @@ def test_metadata_cuts_a_text_once(spark):
     """Lines are looked at by every other field; cut anew for each look, a text costs its lines squared."""
     plan = spark.createDataFrame([("a\nb",)], "t string").select(layout.metadata(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 4
+
+
+def test_line_folding_keeps_no_lines_in_its_state(spark):
+    """The fold carries where lines begin, not the words themselves; lines are those of a plain loop."""
+    import random
+
+    words = [(i, float(x), round(random.Random(7 * i + x).uniform(0, 60), 1), "w") for i in range(20) for x in range(30)]
+    tokens = spark.createDataFrame(words, "page_num int, x0 double, y0 double, text string").selectExpr("'f' AS source_file", "page_num", "x0", "y0", "x0 + 1 AS x1", "text")
+    found = layout.group_lines(tokens, 2.0)
+    got = {(r.page_num, r.line_no): [w.x for w in r.words] for r in found.collect()}
+    want, plan = {}, found._jdf.queryExecution().optimizedPlan().toString()
+    for page in range(20):
+        at, no = None, -1
+        for y, x in sorted((y, x) for p, x, y, _ in words if p == page):
+            joins = at is not None and abs(y - at) < 2.0
+            no, at = (no, (at + y) / 2) if joins else (no + 1, y)
+            want.setdefault((page, no), []).append(x)
+    assert got == {k: sorted(v) for k, v in want.items()}
+    assert "starts" in plan and "lines, " not in plan
