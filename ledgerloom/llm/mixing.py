@@ -5,9 +5,9 @@ as a share of the whole, says how much of the source's target is due by then. Do
 source stand in hash order, once or twice over; the words before a document are inverted
 through that integral to its training position, and rows are range-sorted by position.
 
-The words before a document come from two levels of prefix sums: over equal slices
-of the hash range of a source, and within a slice. No source is ever one group. Positions are
-found on narrow rows; texts meet them once, by row key, and are then range-sorted.
+The words before a document come from two levels of prefix sums: over ranges of a source's
+hash order, and within a range. Neither a source nor the rows of one id are ever one group.
+Positions are found on narrow rows; texts meet them once, by row key, and are then range-sorted.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, ordered_key
+from ..operators.running import running
+from .common import keep, n_words, ordered_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_TIMES = 2
-#: A source is sliced by so many hex digits of the hash: 4,096 slices.
-HEX = 3
+#: A source's rows meet its target in so many slices.
+SLICES = 4096
 #: Weight at the start and at the end of training, by source in turn: even, fading in, fading out.
 SCHEDULES = ((1.0, 1.0), (0.5, 1.5), (1.5, 0.5))
 
@@ -56,23 +57,21 @@ def position(share: Column, start: Column, end: Column) -> Column:
 
 
 def positions(sized: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
-    """(kept, size, source_size, target, taken, at_first, at_second) from narrow rows (kept, id, source, size, tie)."""
-    sized = sized.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
-    sized = sized.withColumn("part", F.conv(F.substring("h", 1, HEX), 16, 10).cast("int"))
-    parts = sized.groupBy("source", "part").agg(F.sum("size").alias("within"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    targets = source_targets(parts.select("source", F.col("within").alias("size")))
-    per = parts.withColumn("before", F.sum("within").over(before) - F.col("within")).alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-    per = per.select(F.col("p.source").alias("of"), F.col("p.part").alias("p"), "before", "source_size", "target", "no")
-    order = Window.partitionBy("source", "part").orderBy("h", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sized.withColumn("upto", F.sum("size").over(order) - F.col("size"))
+    """(kept, h, size, source_size, target, taken, at_first, at_second) from narrow rows (kept, id, source, size, tie)."""
+    hashed = sized.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
+    # Written, as words are counted once and rows that are alike are told apart by their place.
+    sized = keep(hashed.withColumn("row", F.monotonically_increasing_id()), "sized").withColumn("part", F.pmod("row", F.lit(SLICES)))
+    targets = source_targets(sized.select("source", "size")).alias("t")
+    parts = sized.select(F.col("source").alias("of"), F.col("part").alias("p")).distinct()
+    per = parts.join(targets, F.col("of").eqNullSafe(F.col("t.source"))).select("of", "p", "source_size", "target", "no")
+    rows = running(sized, ["source"], ["h", "id", "size", "tie", "row"], {"upto": F.col("size")})
     rows = rows.join(per, rows["source"].eqNullSafe(per["of"]) & (rows["part"] == per["p"]))
-    first, whole = F.col("before") + F.col("upto"), F.floor("target")
+    first, whole = F.col("upto") - F.col("size"), F.floor("target")
     taken_at = lambda at: F.greatest(F.least(whole - at, F.col("size")), F.lit(0))
     pick = lambda i: F.element_at(F.array(*[F.lit(float(s[i])) for s in schedules]), (F.col("no") % len(schedules) + 1).cast("int"))
     when = lambda at: F.when(taken_at(at) > 0, position(at / F.col("target"), pick(0), pick(1)))
     second = first + F.col("source_size")
-    return rows.select("kept", "size", "source_size", "target", (taken_at(first) + taken_at(second)).cast("long").alias("taken"), when(first).alias("at_first"), when(second).alias("at_second"))
+    return rows.select("kept", "h", "size", "source_size", "target", (taken_at(first) + taken_at(second)).cast("long").alias("taken"), when(first).alias("at_first"), when(second).alias("at_second"))
 
 
 OWN = ("size", "source_size", "target", "taken", "at_first", "at_second")
@@ -87,13 +86,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     null sources are one source; rows that repeat an id are rows of their own. Same rows, same
     result: order follows a hash of id, then size and a hash of the text. An empty table gives
     no rows. Extra columns pass through, whatever their names; those named like the columns
-    added are replaced. Without `with_text` the text column is left out, and no text is shuffled.
+    added are replaced. Without `with_text` the text column is left out, no text is shuffled, and
+    rows are range-sorted by their first position, those without one last.
     """
     passed = [c for c in docs.columns if c not in OWN and (with_text or c != text_col)]
     narrow = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")]
     if not with_text:
         found = positions(docs.select(F.struct(*passed).alias("kept"), *narrow), schedules)
-        return found.select(*[F.col("kept")[c].alias(c) for c in passed], *OWN)
+        # Rows without a position are many: their hashes spread them.
+        return range_sorted(found, F.col("at_first").asc_nulls_last(), "h").select(*[F.col("kept")[c].alias(c) for c in passed], *OWN)
     whole = ordered_key(docs.select(F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_doc")), "_id")
     doc = F.col("_doc")
     narrow = [F.col("_id").alias("id"), doc[source_col].alias("source"), n_words(doc[text_col]).alias("size"), F.xxhash64(doc[text_col]).alias("tie")]
@@ -106,5 +107,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def curriculum(mixed: DataFrame) -> DataFrame:
     """One row for each time a document is trained on, with its `position`, range-sorted by it; a column of that name is replaced."""
     rows = mixed.withColumn("position", F.explode(F.filter(F.array("at_first", "at_second"), lambda x: x.isNotNull()))).drop("at_first", "at_second")
-    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "position").sortWithinPartitions("position")
+    return range_sorted(rows, "position")
+
+
+def range_sorted(rows: DataFrame, *order: Column | str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)

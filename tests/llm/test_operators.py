@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import ann, chat, common, mixing, oracle, quality, queries, sampled_pieces, simhash, substring_dedup, toxicity, urls, warc
+from ledgerloom.operators import running
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -153,6 +154,27 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_rows_stand_in_training_order(spark, monkeypatch):
+    """The query's rows are range-sorted by position; rows of one id, alike or not, are no one group, and none is lost."""
+    done = queries.op8_mixing(spark, DATA)
+    assert "rangepartitioning(at_first" in done._jdf.queryExecution().executedPlan().toString()
+    at = [r.at_first for r in done.collect()]
+    taken = [x for x in at if x is not None]
+    assert at[: len(taken)] == sorted(taken) and not any(x is not None for x in at[len(taken) :])
+    docs = spark.range(0, 4000, 1, 4).selectExpr("cast(null as long) AS doc_id", "if(id < 2000, 'a b c', concat('a b ', id)) AS text", "'s' AS source")
+    sorted_rows = []
+    monkeypatch.setattr(running, "keep", lambda df, name: sorted_rows.append(common.keep(df, name)) or sorted_rows[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = mixing.mix(docs, with_text=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted_rows[0].groupBy(F.shiftright("_at", 33)).count().agg(F.max("count")).first()[0] < 2500
+    assert len(rows) == 4000 and {r.source_size for r in rows} == {12000} and sum(r.taken for r in rows) == 18000
+    starts = sorted(r.at_first for r in rows)
+    assert len(set(starts)) == 4000 and all(abs(x - 3 * i / 18000) < 1e-9 for i, x in enumerate(starts))
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?q#f"), (2, "https://a.net"), (3, "https://a.net/"), (4, "x://b.org/fr/1"), (5, None), (6, "nothing"), (7, "http://porn-jackpot.example.org/en/9"), (8, "http://evilnet/"), (9, "http://example.com/de/#x"), (10, "http://library.example.org/en/5")]
     got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, host string")).collect()}
