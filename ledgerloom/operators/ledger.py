@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.taxonomy import GATES, TAXONOMY
+from .running import numbered
 
 
 def balance_engine(rows: DataFrame) -> DataFrame:
@@ -176,11 +177,16 @@ def blank_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def row_style(df: DataFrame, order: list[str], place: str | None = None) -> DataFrame:
-    """`row_style` by entry, else by parity of the row's number in its file, from 1, which `place` names if it is wanted."""
-    number = F.row_number().over(Window.partitionBy("source_file").orderBy(*order))
+    """`row_style` by entry, else by parity of the row's number in its file, from 1, which `place` names if it is wanted.
+
+    Numbers come from a range sort, so no task holds a file; the files are few enough to have a small row each broadcast.
+    """
+    number = F.col(place or "_number")
+    df = numbered(df, ["source_file"], order, place or "_number", few=True)
     filled = lambda c: text.strip(F.coalesce(F.col(c), F.lit(""))) != ""
     style = F.when(filled("debit"), "debit").when(filled("credit"), "credit").when(number % 2 == 0, "even").otherwise("odd")
-    return (df.withColumn(place, number) if place else df).withColumn("row_style", style)
+    styled = df.withColumn("row_style", style)
+    return styled if place else styled.drop("_number")
 
 
 def weak_labels(rows: DataFrame, description: str = "narration", flag: str = "cr_dr") -> DataFrame:

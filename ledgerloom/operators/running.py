@@ -67,4 +67,5 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: st
     begun = begun.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)]
     both = rows.join(F.broadcast(begun), [part == F.col("_part"), *same])
-    return both.select(*rest.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))
+    # Columns of statements have names with dots.
+    return both.select(*[F.col(f"`{c.replace('`', '``')}`") for c in rest.columns], (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))

@@ -2,7 +2,7 @@
 
 A statement's first sheet has a title, a box with two columns of metadata and the ledger; its
 second has all metadata. Places follow from the number of columns and of metadata, so no row
-waits for another: only the ledger's row numbers need a window, by statement.
+waits for another: only the ledger's row numbers need its other rows, sorted by ranges.
 """
 
 from __future__ import annotations
@@ -99,7 +99,8 @@ def statement_cells(ledger: DataFrame, columns: list[str], order: list[str], met
     above = files.select("source_file", F.inline(F.concat(F.array(*heads), box("_left", 1, mid - 1), box("_right", mid + 1, n - mid - 1), second)))
     have = {c.lower() for c in ledger.columns}
     styled = row_style(ledger.withColumns({c: F.lit(None).cast("string") for c in ("Debit", "Credit") if c.lower() not in have}), order, "place")
-    placed = styled.join(files.select("source_file", "_top"), "source_file")
+    # A number for each statement; a statement's rows stay where they are.
+    placed = styled.join(F.broadcast(files.select("source_file", "_top")), "source_file")
     each = [F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("value"), F.lit(align(c)).alias("align")) for i, c in enumerate(columns, 1)]
     rows = placed.select("source_file", (F.col("_top") + F.col("place")).cast("int").alias("row"), F.col("row_style").alias("style"), F.inline(F.array(*each)))
     return above.unionByName(rows.select("source_file", F.lit(LEDGER).alias("sheet"), "row", "col", F.lit(1).alias("span"), "value", "style", "align"))

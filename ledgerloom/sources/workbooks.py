@@ -7,6 +7,10 @@ A workbook is a zip of XML parts. Writers stream a sheet's rows into its part as
 none; each file is written under a name of its task's and gets its own when the job commits, so a
 failed or repeated task leaves nothing. Readers take a sheet for a task and pull its rows out one by
 one, without reading the other sheets.
+
+A statement of many rows is written as volumes, each a workbook of its own with rows from 1: the first
+is `name.xlsx`, the others are in the folder `source_file=name`. A volume knows how many rows come
+before its own, by the hidden name _rows_before; readers add them, so rows read as they were given.
 """
 
 from __future__ import annotations
@@ -16,14 +20,17 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 from typing import Any
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..operators.workbook import FIELD_WIDTHS, LEDGER, METADATA, STYLES, WIDTHS
 from .files import listed, opened, source_of
@@ -31,8 +38,13 @@ from .files import listed, opened, source_of
 CELLS = "source_file string, sheet string, row int, col int, value string"
 #: A sheet's rows, by the format.
 MOST_ROWS = 1 << 20
+#: Rows of a volume's sheets: a task's work, whatever the size of a statement.
+VOLUME_ROWS = 1 << 17
+BEFORE = "_rows_before"
+_BATCH = 10_000  # cells
 ALIGNMENTS = ("left", "center", "right")
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_T, _ROW, _C, _V, _IS = (f"{{{_MAIN}}}{t}" for t in ("t", "row", "c", "v", "is"))
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
@@ -40,6 +52,7 @@ _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
 
 
+@lru_cache(maxsize=1 << 14)
 def letters(col: int) -> str:
     """A column's name, from 1: A to Z, AA and so on."""
     out = ""
@@ -49,6 +62,7 @@ def letters(col: int) -> str:
     return out
 
 
+@lru_cache(maxsize=1 << 14)
 def number(name: str) -> int:
     n = 0
     for c in name:
@@ -57,11 +71,11 @@ def number(name: str) -> int:
 
 
 def _text(value: str) -> str:
-    return escape(_BAD.sub(lambda m: f"_x{ord(m[0]):04X}_", value))
+    return escape(_BAD.sub(lambda m: f"_x{ord(m[0]):04X}_", value) if _BAD.search(value) else value)
 
 
 def _unescaped(value: str) -> str:
-    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), value)
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), value) if "_x" in value else value
 
 
 def styles_part() -> str:
@@ -82,11 +96,12 @@ _FORMATS = {(s, a): 1 + 3 * i + j for i, s in enumerate(STYLES) for j, a in enum
 
 
 class Book:
-    """One workbook while it is written: sheets one after the other, rows in order."""
+    """One workbook while it is written: sheets one after the other, rows in order. Rows are numbered without those of earlier volumes."""
 
-    def __init__(self, out: Any, widths: dict[str, list[float]]) -> None:
-        self.zip, self.widths = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED), widths
+    def __init__(self, out: Any, widths: dict[str, list[float]], before: int = 0) -> None:
+        self.zip, self.widths, self.before = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED), widths, before
         self.sheets: list[str] = []
+        self.said: list[str] = []
         self.part, self.row, self.col, self.merged = None, 0, 0, []
 
     def add(self, sheet: str, row: int, col: int, span: int, value: str | None, style: str | None, align: str | None) -> None:
@@ -95,19 +110,26 @@ class Book:
                 raise ValueError(f"cells of {sheet!r} don't stand together")
             self._end_sheet()
             self._begin(sheet)
+        row -= self.before
         if row != self.row:
             if row < self.row or row > MOST_ROWS:
                 raise ValueError(f"row {row} of {sheet!r} after row {self.row}, of {MOST_ROWS} at most")
-            self.part.write(("</row>" if self.row else "").encode() + f'<row r="{row}">'.encode())
+            if len(self.said) >= _BATCH:
+                self._flush()
+            self.said.append(f'{"</row>" if self.row else ""}<row r="{row}">')
             self.row, self.col = row, 0
         if col <= self.col:
             raise ValueError(f"cell {letters(col)}{row} of {sheet!r} twice or out of order")
         self.col = col
         at, look = f"{letters(col)}{row}", f' s="{_FORMATS[style, align]}"' if (style, align) in _FORMATS else ""
-        self.part.write((f'<c r="{at}"{look}/>' if value is None else f'<c r="{at}"{look} t="inlineStr"><is><t xml:space="preserve">{_text(value)}</t></is></c>').encode("utf-8", "replace"))
+        self.said.append(f'<c r="{at}"{look}/>' if value is None else f'<c r="{at}"{look} t="inlineStr"><is><t xml:space="preserve">{_text(value)}</t></is></c>')
         if span and span > 1:
             self.merged.append(f"{at}:{letters(col + span - 1)}{row}")
 
+    def _flush(self) -> None:
+        self.part.write("".join(self.said).encode("utf-8", "replace"))
+        self.said = []
+
     def _begin(self, sheet: str) -> None:
         self.sheets.append(sheet)
         self.part = self.zip.open(f"xl/worksheets/sheet{len(self.sheets)}.xml", "w", force_zip64=True)
@@ -117,6 +139,7 @@ class Book:
 
     def _end_sheet(self) -> None:
         if self.part is not None:
+            self._flush()
             merged = "".join(f'<mergeCell ref="{m}"/>' for m in self.merged)
             self.part.write(f"{'</row>' if self.row else ''}</sheetData>{f'<mergeCells count="{len(self.merged)}">{merged}</mergeCells>' if merged else ''}</worksheet>".encode())
             self.part.close()
@@ -128,9 +151,10 @@ class Book:
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(self.sheets) + 1))
         named = "".join(f'<sheet name={quoteattr(s)} sheetId="{i}" r:id="rId{i}"/>' for i, s in enumerate(self.sheets, 1))
         related = "".join(f'<Relationship Id="rId{i}" Type="{_REL}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(self.sheets) + 1))
+        before = f'<definedNames><definedName name="{BEFORE}" hidden="1">{self.before}</definedName></definedNames>' if self.before else ""
         last = f'<Relationship Id="rId{len(self.sheets) + 1}" Type="{_REL}/styles" Target="styles.xml"/>'
         for name, body in {
-            "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{named}</sheets></workbook>', "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships">{related}{last}</Relationships>',
+            "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{named}</sheets>{before}</workbook>', "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships">{related}{last}</Relationships>',
             "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
             "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
             f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>',
@@ -140,6 +164,12 @@ class Book:
         self.zip.close()
 
 
+def _listed(column: pa.Array) -> list:
+    """to_pylist, several times as fast for texts and for numbers without nulls."""
+    plain = pa.types.is_string(column.type) or pa.types.is_integer(column.type) and not column.null_count
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """(path as written, path wanted) of a task's files."""
@@ -147,37 +177,45 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class BooksWriter(DataSourceWriter):
+class BooksWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], names: list[str], overwrite: bool) -> None:
         self.path, self.names, self.overwrite = options["path"], names, overwrite
         self.columns = [c for c in options.get("columns", "").split("|") if c]
+        self.rows = int(options.get("rows", MOST_ROWS))
         self.job = uuid.uuid4().hex
 
     def _folder(self) -> tuple[pafs.FileSystem, str, str]:
         system, root = opened(self.path)
         return system, root.rstrip("/"), f"{root.rstrip('/')}/_temporary-{self.job}"
 
-    def write(self, iterator: Iterator[Any]) -> Written:
-        system, root, temporary = self._folder()
+    def _cells(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(source_file, volume) and the cell."""
         place = [self.names.index(c) for c in ("source_file", "sheet", "row", "col", "span", "value", "style", "align")]
+        for batch in batches:
+            source, *cell = (_listed(batch.column(i)) for i in place)
+            volumes = _listed(batch.column(self.names.index("_volume"))) if "_volume" in self.names else [0] * batch.num_rows
+            yield from zip(zip(source, volumes, strict=True), zip(*cell, strict=True), strict=True)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, root, temporary = self._folder()
         widths = {LEDGER: [WIDTHS.get(c) for c in self.columns], METADATA: list(FIELD_WIDTHS)}
         files: list[tuple[str, str]] = []
-        known: set[str] = set()
+        known: set[tuple] = set()
         book, current = None, None
-        for r in iterator:
-            source, *cell = (r[i] for i in place)
-            source = None if source is None else str(source)
-            if book is None or source != current:
+        for of, cell in self._cells(iterator):
+            if book is None or of != current:
                 if book is not None:
                     book.close()
                     out.close()
-                if source in known:
-                    raise ValueError(f"cells of {source!r} don't stand together")
-                known.add(source)
+                if of in known:
+                    raise ValueError(f"cells of {of[0]!r} don't stand together")
+                known.add(of)
+                source, volume = of
+                name = re.sub(r"[^A-Za-z0-9_.-]+", "_", "statement" if source in (None, "") else str(source))
                 system.create_dir(temporary)
-                files.append((f"{temporary}/{uuid.uuid4().hex}.xlsx", f"{root}/{re.sub(r'[^A-Za-z0-9_.-]+', '_', source or 'statement')}.xlsx"))
+                files.append((f"{temporary}/{uuid.uuid4().hex}.xlsx", f"{root}/source_file={name}/{name}-{volume + 1}.xlsx" if volume else f"{root}/{name}.xlsx"))
                 out = system.open_output_stream(files[-1][0])
-                book, current = Book(out, widths), source
+                book, current = Book(out, widths, volume * self.rows), of
             book.add(*cell)
         if book is not None:
             book.close()
@@ -194,7 +232,8 @@ class BooksWriter(DataSourceWriter):
         if twice or taken:
             self.abort(messages)
             raise ValueError(f"workbooks of one name: {(twice or taken)[:5]}")
-        system.create_dir(root)
+        for folder in {root, *(w.rsplit("/", 1)[0] for w in wanted)}:
+            system.create_dir(folder)
         for written, name in moves:
             system.move(written, name)
         self._clear(system, temporary)
@@ -214,6 +253,7 @@ class Sheet(InputPartition):
     path: str
     sheet: str
     part: str
+    before: int = 0
 
 
 class BooksReader(DataSourceReader):
@@ -227,19 +267,25 @@ class BooksReader(DataSourceReader):
         for path, _ in listed(self.options["path"], self.options.get("pattern", "*.xlsx")):
             with system.open_input_file(path) as file, zipfile.ZipFile(file) as z:
                 targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-                for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_MAIN}}}sheet"):
+                book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+                before = next((int(n.text) for n in book.iter(f"{{{_MAIN}}}definedName") if n.get("name") == BEFORE), 0)
+                for s in book.iter(f"{{{_MAIN}}}sheet"):
                     target = targets[s.get(f"{{{_REL}}}id")]
                     if wanted in (None, s.get("name")):
-                        out.append(Sheet(path, s.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+                        out.append(Sheet(path, s.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}", before))
         return out
 
-    def read(self, partition: Sheet) -> Iterator[tuple]:
+    def read(self, partition: Sheet) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.options["path"])
         with system.open_input_file(partition.path) as file, zipfile.ZipFile(file) as z:
             shared = list(_shared(z)) if "xl/sharedStrings.xml" in z.namelist() else []
             with z.open(partition.part) as part:
-                for row, col, value in cells_of(part, shared):
-                    yield source_of(partition.path), partition.sheet, row, col, value
+                cells = cells_of(part, shared)
+                while some := list(islice(cells, _BATCH)):
+                    rows, cols, values = zip(*some, strict=True)
+                    given = [pa.repeat(pa.scalar(x, pa.string()), len(some)) for x in (source_of(partition.path), partition.sheet)]
+                    numbers = [pa.array([r + partition.before for r in rows], pa.int32()), pa.array(cols, pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*given, *numbers, pa.array(values, pa.string())], names=["source_file", "sheet", "row", "col", "value"])
 
 
 def _shared(z: zipfile.ZipFile) -> Iterator[str]:
@@ -253,6 +299,8 @@ def _shared(z: zipfile.ZipFile) -> Iterator[str]:
 
 def _said(e: ElementTree.Element) -> str:
     """Text of a string, its runs joined; phonetic hints are left out."""
+    if len(e) == 1 and e[0].tag == _T:
+        return _unescaped(e[0].text or "")
     runs = [t.text or "" for x in e for t in ([x] if x.tag == f"{{{_MAIN}}}t" else x.findall(f"{{{_MAIN}}}t") if x.tag == f"{{{_MAIN}}}r" else [])]
     return _unescaped("".join(runs))
 
@@ -260,19 +308,20 @@ def _said(e: ElementTree.Element) -> str:
 def cells_of(part: Any, shared: list[str]) -> Iterator[tuple[int, int, str | None]]:
     """(row, column, value) of a sheet's cells as text, one at a time; a cell without a value is null."""
     row = 0
-    for event, e in ElementTree.iterparse(part, ("start", "end")):
-        if e.tag == f"{{{_MAIN}}}row":
-            if event == "start":
-                row, col = int(e.get("r") or row + 1), 0
-            else:
-                e.clear()
-        elif event == "end" and e.tag == f"{{{_MAIN}}}c":
-            name = re.match("[A-Z]+", e.get("r") or "")
-            col = number(name[0]) if name else col + 1
-            kind, v, inline = e.get("t"), e.find(f"{{{_MAIN}}}v"), e.find(f"{{{_MAIN}}}is")
+    for _, e in ElementTree.iterparse(part):
+        if e.tag != _ROW:
+            continue
+        row, col = int(e.get("r") or row + 1), 0
+        for c in e:
+            if c.tag != _C:
+                continue
+            name = (c.get("r") or "").rstrip("0123456789")
+            col = number(name) if name else col + 1
+            kind, v, inline = c.get("t"), c.find(_V), c.find(_IS)
             said = None if v is None else v.text or ""
             value = _said(inline) if inline is not None else shared[int(said)] if kind == "s" and said else {"1": "TRUE", "0": "FALSE"}.get(said, said) if kind == "b" else said
             yield row, col, value
+        e.clear()
 
 
 class Workbooks(DataSource):
@@ -292,8 +341,9 @@ class Workbooks(DataSource):
         return BooksWriter(dict(self.options), schema.names, overwrite)
 
 
-def write_workbooks(cells: DataFrame, path: str, columns: list[str]) -> None:
-    """One workbook for each statement of workbook.statement_cells; Spark's sort, not a task's memory, puts the cells in order."""
+def write_workbooks(cells: DataFrame, path: str, columns: list[str], rows: int = VOLUME_ROWS) -> None:
+    """A workbook for each statement of workbook.statement_cells, or one for each `rows` rows of it; Spark's sort, not a task's memory, puts the cells in order."""
     sheet = F.when(F.col("sheet") == LEDGER, 0).when(F.col("sheet") == METADATA, 1).otherwise(2)
-    placed = cells.withColumn("_no", sheet).repartition("source_file").sortWithinPartitions("source_file", "_no", "sheet", "row", "col")
-    placed.write.format("workbooks").option("columns", "|".join(columns)).mode("append").save(path)
+    placed = cells.withColumn("_no", sheet).withColumn("_volume", F.floor((F.col("row") - 1) / rows).cast("int"))
+    placed = placed.repartition("source_file", "_volume").sortWithinPartitions("source_file", "_volume", "_no", "sheet", "row", "col")
+    placed.write.format("workbooks").option("columns", "|".join(columns)).option("rows", rows).mode("append").save(path)

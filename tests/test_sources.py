@@ -98,6 +98,23 @@ def test_workbooks_there_and_back(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["f.xlsx", "g_h.xlsx"]
 
 
+def test_a_long_statement_is_written_as_volumes(spark, tmp_path):
+    """Beyond a sheet's rows a statement used to fail; volumes are tasks of their own, and rows read as they were given."""
+    pages.register(spark)
+    last = 3 * workbooks.MOST_ROWS + 5
+    rows = [("a/b", "Transactions", r, c, 1, f"{r} {c}", "odd", "left") for r in (1, 2, 100, workbooks.MOST_ROWS, workbooks.MOST_ROWS + 1, last) for c in (1, 3)] + [("a/b", "Account_Metadata", 1, 1, 1, "m", "field", "left"), ("c", "Transactions", 1, 1, 1, "x", "odd", "left")]
+    _book(spark, tmp_path, rows)
+    read = spark.read.format("workbooks").load(str(tmp_path / "out"))
+    assert sorted(map(tuple, read.collect())) == sorted((s.replace("/", "_"), sheet, r, c, v) for s, sheet, r, c, _, v, _, _ in rows)
+    names = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.xlsx"))
+    assert names == ["a_b.xlsx", "c.xlsx", "source_file=a_b/a_b-25.xlsx", "source_file=a_b/a_b-8.xlsx", "source_file=a_b/a_b-9.xlsx"]
+    with zipfile.ZipFile(tmp_path / "out" / names[2]) as z:
+        assert b'<row r="5">' in z.read("xl/worksheets/sheet1.xml")
+    workbooks.write_workbooks(spark.createDataFrame(rows[:6], CELLS), str(tmp_path / "small"), [], 2)
+    read = spark.read.format("workbooks").load(str(tmp_path / "small"))
+    assert read.rdd.getNumPartitions() == 2 and sorted((r.row, r.col) for r in read.collect()) == [(r, c) for r in (1, 2, 100) for c in (1, 3)]
+
+
 def test_a_failed_workbook_leaves_no_file(spark, tmp_path):
     pages.register(spark)
     good = [(f"s{i}", "Transactions", r, 1, 1, "x", "odd", "left") for i in range(8) for r in range(1, 50)]
