@@ -20,18 +20,14 @@ def page_layer(text: Column) -> Column:
 
 def detect_layout(cells: DataFrame) -> DataFrame:
     """(source_file, page_num, table_id, layout, header_row, columns) of each table (…, row_idx, cells): the first of its first eight rows that any layout fits."""
-    lower = F.transform("cells", lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
-    rows = cells.where(F.col("row_idx") < HEADER_ROWS).withColumn("_c", lower)
-    found = F.array(*[F.when(_all_groups(groups), F.lit(i)) for i, (_, groups, _) in enumerate(LAYOUTS)])
-    rows = rows.withColumn("_n", F.array_min(found)).where("_n is not null")
+    rows = cells.where(F.col("row_idx") < HEADER_ROWS).withColumn("_c", _lower("cells"))
+    rows = rows.withColumn("_n", _fit(F.col("_c"))).where("_n is not null")
     first = rows.groupBy("source_file", "page_num", "table_id").agg(F.min_by(F.struct("row_idx", "_n", "_c"), "row_idx").alias("h"))
-    out_id, out_map = F.lit(None).cast("string"), F.lit(None).cast("map<string,int>")
-    for i, (name, _, roles) in enumerate(LAYOUTS):
-        here = F.col("h._n") == i
-        out_id = F.when(here, name).otherwise(out_id)
-        places = F.array(*[F.struct(F.lit(r).alias("key"), (F.array_position(F.transform("h._c", _holds(k)), True) - 1).cast("int").alias("value")) for r, k in roles.items()])
-        out_map = F.when(here, F.map_from_entries(F.filter(places, lambda x: x["value"] >= 0))).otherwise(out_map)
-    return first.select("source_file", "page_num", "table_id", out_id.alias("layout"), F.col("h.row_idx").alias("header_row"), out_map.alias("columns"))
+    return first.select("source_file", "page_num", "table_id", _layout_name(F.col("h._n")).alias("layout"), F.col("h.row_idx").alias("header_row"), F.map_from_entries(_columns(F.col("h._n"), F.col("h._c"))).alias("columns"))
+
+
+def _lower(cells: Column | str) -> Column:
+    return F.transform(cells, lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
 
 
 def _any(cell: Column, words: list[str]) -> Column:
@@ -45,10 +41,28 @@ def _holds(words: list[str]) -> Callable[[Column], Column]:
     return lambda c: _any(c, words)
 
 
-def _all_groups(groups: list[list[str]]) -> Column:
+def _all_groups(cells: Column, groups: list[list[str]]) -> Column:
     out = F.lit(True)
     for g in groups:
-        out = out & F.exists("_c", _holds(g))
+        out = out & F.exists(cells, _holds(g))
+    return out
+
+
+def _fit(lower: Column) -> Column:
+    """The number of the first layout that a row's lower-cased cells fit; null if none."""
+    return F.coalesce(*[F.when(_all_groups(lower, groups), F.lit(i)) for i, (_, groups, _) in enumerate(LAYOUTS)])
+
+
+def _layout_name(n: Column) -> Column:
+    return F.get(F.array(*[F.lit(name) for name, *_ in LAYOUTS]), n)
+
+
+def _columns(n: Column, lower: Column) -> Column:
+    """(key, value) of each role that a header's cells have: its name and the cell's place, in the layout's order."""
+    out = F.lit(None).cast("array<struct<key:string,value:int>>")
+    for i, (_, _, roles) in enumerate(LAYOUTS):
+        places = F.array(*[F.struct(F.lit(r).alias("key"), (F.array_position(F.transform(lower, _holds(k)), True) - 1).cast("int").alias("value")) for r, k in roles.items()])
+        out = F.when(n == i, F.filter(places, lambda x: x["value"] >= 0)).otherwise(out)
     return out
 
 
@@ -61,59 +75,91 @@ def first_amount(text: Column) -> Column:
     return F.regexp_extract(text, AMOUNT, 1)
 
 
+def _read(at: Callable[[str], Column]) -> dict[str, Column]:
+    """What is looked for in a row's cells, given by role."""
+    found = {"flag": F.upper(F.btrim(at("cr_dr_flag"))), "date": F.regexp_extract(at("txn_date"), DATE, 1), "value": F.regexp_extract(at("val_date"), DATE, 1)}
+    return found | {role: first_amount(at(role)) for role in ("amount", "debit", "credit", "balance")}
+
+
+def _entry(at: Callable[[str], Column], read: Callable[[str], Column], flagged: Column) -> dict[str, Column]:
+    """A ledger row's fields: separate debit and credit columns, or one amount with a flag."""
+    is_cr, is_dr = F.contains(read("flag"), F.lit("CR")), F.contains(read("flag"), F.lit("DR"))
+    posted = F.coalesce(F.nullif(at("posted_date"), F.lit("")), at("txn_date"))
+    side = lambda mine, role: F.when(flagged, F.when(mine, rupees(read("amount"))).otherwise("")).otherwise(rupees(read(role)))
+    only = lambda c: F.when(flagged, c)
+    return {
+        "no": only(F.btrim(F.substring_index(at("serial"), "\n", 1))), "transaction_id": only(F.btrim(at("txn_id"))),
+        "txn_date": F.when(flagged, strip(F.replace(posted, F.lit("\n"), F.lit(" ")))).otherwise(read("date")),
+        "value_date": F.when(flagged & (read("value") == ""), strip(F.replace(at("val_date"), F.lit("\n"), F.lit(" ")))).otherwise(read("value")),
+        "cheque_no": strip(at("cheque")), "description": collapse(at("description")), "branch_code": F.when(flagged, "").otherwise(strip(at("branch"))),
+        "cr_dr": only(F.when(is_cr, "CR").otherwise("DR")), "amount": only(rupees(read("amount"))), "debit": side(is_dr, "debit"), "credit": side(is_cr, "credit"), "balance": rupees(read("balance")),
+    }
+
+
+def _named(fields: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in fields.items()]
+
+
+def _is_entry(read: Callable[[str], Column], flagged: Column) -> Column:
+    told = (read("amount") != "") & (F.contains(read("flag"), F.lit("CR")) | F.contains(read("flag"), F.lit("DR")))
+    return F.when(flagged, told).otherwise((read("date") != "") & (F.concat(read("debit"), read("credit"), read("balance")) != ""))
+
+
 def parse_rows(cells: DataFrame, layouts: DataFrame) -> DataFrame:
     """Ledger rows of tables with a layout: separate debit and credit columns, or one amount with a flag."""
     rows = cells.join(layouts, ["source_file", "page_num", "table_id"]).where("row_idx > header_row")
-    flagged = F.col("layout") == "schema_b"
-    flag, sum_ = F.upper(F.btrim(cell("cr_dr_flag"))), first_amount(cell("amount"))
-    is_cr, is_dr = F.contains(flag, F.lit("CR")), F.contains(flag, F.lit("DR"))
-    date, value = F.regexp_extract(cell("txn_date"), DATE, 1), F.regexp_extract(cell("val_date"), DATE, 1)
-    posted = F.coalesce(F.nullif(cell("posted_date"), F.lit("")), cell("txn_date"))
-    debit = F.when(flagged, F.when(is_dr, rupees(sum_)).otherwise("")).otherwise(rupees(first_amount(cell("debit"))))
-    credit = F.when(flagged, F.when(is_cr, rupees(sum_)).otherwise("")).otherwise(rupees(first_amount(cell("credit"))))
-    balance = rupees(first_amount(cell("balance")))
-    whole = F.when(flagged, (sum_ != "") & (is_cr | is_dr)).otherwise((date != "") & (F.concat("debit", "credit", "balance") != ""))
-    only = lambda c: F.when(flagged, c)
-    return (
-        rows.select(
-            "source_file", "page_num", "table_id", "row_idx", "layout", only(F.btrim(F.substring_index(cell("serial"), "\n", 1))).alias("no"), only(F.btrim(cell("txn_id"))).alias("transaction_id"),
-            F.when(flagged, strip(F.replace(posted, F.lit("\n"), F.lit(" ")))).otherwise(date).alias("txn_date"),
-            F.when(flagged & (value == ""), strip(F.replace(cell("val_date"), F.lit("\n"), F.lit(" ")))).otherwise(value).alias("value_date"),
-            strip(cell("cheque")).alias("cheque_no"), collapse(cell("description")).alias("description"), F.when(flagged, "").otherwise(strip(cell("branch"))).alias("branch_code"),
-            only(F.when(is_cr, "CR").otherwise("DR")).alias("cr_dr"), only(rupees(sum_)).alias("amount"), debit.alias("debit"), credit.alias("credit"), balance.alias("balance"),
-            F.col("cells"), F.col("columns"),
-        )
-        .where(whole)
-        .drop("cells", "columns")
-    )
+    read, flagged = _read(cell), F.col("layout") == "schema_b"
+    return rows.where(_is_entry(read.get, flagged)).select("source_file", "page_num", "table_id", "row_idx", "layout", *_named(_entry(cell, read.get, flagged)))
 
 
 def _without_first(text: Column, piece: Column) -> Column:
-    at = F.instr(text, piece)
-    return F.when((at > 0) & (piece != ""), F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(piece)))).otherwise(text)
+    """A text without the first place of a piece that it has."""
+    return F.overlay(text, F.lit(""), F.instr(text, piece), F.length(piece))
 
 
-def parse_free_rows(cells: DataFrame) -> DataFrame:
-    """Ledger rows of tables without a layout: date, amounts, cheque and branch numbers are picked out of the joined line."""
-    rows = cells.withColumn("line", F.array_join(F.filter(F.transform("cells", lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != ""), " | "))
-    rows = rows.withColumn("txn_date", F.regexp_extract("line", DATE, 1)).withColumn("value_date", F.regexp_extract("line", u(VALUE_DATE), 1)).withColumn("raw_amounts", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(1)))
-    rows = rows.where((F.col("txn_date") != "") & ~F.contains(F.lower("line"), F.lit("statement as of")) & (F.size("raw_amounts") > 0))
+def _joined(cells: Column | str) -> Column:
+    return F.array_join(F.filter(F.transform(cells, lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != ""), " | ")
+
+
+def _line_marks() -> dict[str, Column]:
+    """What makes a line a transaction: its date and amounts; null without a line."""
+    return {"txn_date": F.regexp_extract("line", DATE, 1), "value_date": F.regexp_extract("line", u(VALUE_DATE), 1), "raw_amounts": F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(1))}
+
+
+def _is_line_entry() -> Column:
+    return (F.col("txn_date") != "") & ~F.contains(F.lower("line"), F.lit("statement as of")) & (F.size("raw_amounts") > 0)
+
+
+def _line_rest(rows: DataFrame) -> DataFrame:
+    """Cheque and branch numbers and the description; what is found is taken out of the line before the next is looked for."""
     rows = rows.withColumn("w", _without_first(F.col("line"), F.col("txn_date")))
     # The value date's pattern is looked for once more in what is left.
     rows = rows.withColumn("w", F.when(F.col("value_date") != "", _without_first(F.col("w"), F.regexp_extract("w", u(VALUE_DATE), 1))).otherwise(F.col("w")))
     number = F.regexp_extract("w", r"\b(\d{6,16})\b", 1)
     rows = rows.withColumn("cheque_no", F.when(F.instr("w", number) < F.instr("w", F.col("raw_amounts")[0]), number).otherwise("")).withColumn("w", _without_first(F.col("w"), F.col("cheque_no")))
     rows = rows.withColumn("branch_code", F.regexp_extract("w", r"\b(\d{4})\b", 1)).withColumn("w", _without_first(F.col("w"), F.col("branch_code")))
-    return rows.withColumn("description", strip(F.regexp_replace(F.regexp_replace("w", AMOUNT, ""), r"[|\s]+", " "))).drop("w", "line", "cells").withColumn("direct", F.lit(False))
+    return rows.withColumn("description", strip(F.regexp_replace(F.regexp_replace("w", AMOUNT, ""), r"[|\s]+", " "))).drop("w", "line")
 
 
-def group_lines(tokens: DataFrame, tolerance: float, top: float = float("-inf"), bottom: float = float("inf")) -> DataFrame:
-    """(source_file, page_num, line_no, words): tokens grouped by height with a running mean, each line from left to right.
+def parse_free_rows(cells: DataFrame) -> DataFrame:
+    """Ledger rows of tables without a layout: date, amounts, cheque and branch numbers are picked out of the joined line."""
+    rows = cells.withColumn("line", _joined("cells"))
+    for name, mark in _line_marks().items():
+        rows = rows.withColumn(name, mark)
+    return _line_rest(rows.where(_is_line_entry())).drop("cells").withColumn("direct", F.lit(False))
+
+
+def _paged(tokens: DataFrame, top: float = float("-inf"), bottom: float = float("inf")) -> DataFrame:
+    """(source_file, page_num, ws): a page's words by height."""
+    word = F.struct(F.col("y0").alias("y"), F.col("x0").alias("x"), F.col("x1").alias("x1"), F.col("text").alias("text"))
+    return tokens.where(F.col("y0").between(top, bottom)).groupBy("source_file", "page_num").agg(F.sort_array(F.collect_list(word)).alias("ws"))
+
+
+def _lines(tolerance: float) -> Column:
+    """Of a page's words its lines, an array of words each: grouped by height with a running mean, each line from left to right.
 
     One page is one fold: its tokens are few, however many pages there are.
     """
-    word = F.struct(F.col("y0").alias("y"), F.col("x0").alias("x"), F.col("x1").alias("x1"), F.col("text").alias("text"))
-    pages = tokens.where(F.col("y0").between(top, bottom)).groupBy("source_file", "page_num").agg(F.array_sort(F.collect_list(word)).alias("ws"))
     # The fold only finds where lines begin; each line is then one slice.
     joins = lambda acc, w: acc["at"].isNotNull() & (F.abs(w["y"] - acc["at"]) < tolerance)
     fold = F.aggregate(
@@ -125,34 +171,73 @@ def group_lines(tokens: DataFrame, tolerance: float, top: float = float("-inf"),
         ),
         lambda acc: acc["starts"],
     )
-    cut = lambda starts: F.transform(starts, lambda at, i: F.slice("ws", at, F.coalesce(F.get(starts, i + 1), F.size("ws") + 1) - at))
-    lines = pages.select("source_file", "page_num", F.posexplode(_let(fold, cut)).alias("line_no", "ws"))
-    by_x = F.array_sort(F.transform("ws", lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y"), w["x1"].alias("x1"), w["text"].alias("text"))))
-    return lines.select("source_file", "page_num", "line_no", by_x.alias("words"))
+    by_x = lambda ws: F.sort_array(F.transform(ws, lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y"), w["x1"].alias("x1"), w["text"].alias("text"))))
+    cut = lambda starts: F.transform(starts, lambda at, i: by_x(F.slice("ws", at, F.coalesce(F.get(starts, i + 1), F.size("ws") + 1) - at)))
+    return _let(fold, cut)
 
 
-def nearest_role(cx: Column, roles: Column) -> Column:
-    """The role whose centre is nearest; ties to the first in order. `roles`: array of (rank, name, cx)."""
-    return F.array_min(F.transform(roles, lambda r: F.struct(F.abs(r["cx"] - cx).alias("d"), r["rank"].alias("rank"), r["name"].alias("name"))))["name"]
+def group_lines(tokens: DataFrame, tolerance: float, top: float = float("-inf"), bottom: float = float("inf")) -> DataFrame:
+    """(source_file, page_num, line_no, words): tokens grouped by height with a running mean, each line from left to right."""
+    # Exploded as a column, lines would be found once more for a filter on its size.
+    return _paged(tokens, top, bottom).select("source_file", "page_num", F.posexplode(_lines(tolerance)).alias("line_no", "words"))
+
 
+_ROLES = tuple(dict.fromkeys(role for *_, roles in LAYOUTS for role in roles))
 
-def cells_by_header(tokens: DataFrame, tolerance: float = 18.0) -> tuple[DataFrame, DataFrame]:
-    """(cells, layouts) of pages of tokens, for parse_rows: a page's lines, each word under the role of the nearest header word.
 
-    Two roles of one header word: the first takes the words, the last fills the cell. Pages
-    without a header line in their first eight have no layout and no cells.
+def _header(lines: Column) -> Column:
+    """Of a page's lines the first of eight that any layout fits: its number (row), the layout (n), the roles' centres by rank, and the rank whose words a role's cell holds.
+
+    Two roles of one header word: the first takes the words, the last fills the cell.
     """
-    lines = group_lines(tokens, tolerance).select("source_file", "page_num", F.lit(0).alias("table_id"), F.col("line_no").alias("row_idx"), "words")
-    layouts = detect_layout(lines.withColumn("cells", F.col("words.text")))
-    heads = lines.join(layouts.withColumnRenamed("header_row", "row_idx"), ["source_file", "page_num", "table_id", "row_idx"])
-    roles = F.transform(F.map_entries("columns"), lambda e, i: F.struct(i.alias("rank"), e["key"].alias("name"), e["value"].alias("at"), ((F.get("words", e["value"])["x"] + F.get("words", e["value"])["x1"]) / 2).alias("cx")))
-    heads = heads.select("source_file", "page_num", F.col("row_idx").alias("head"), roles.alias("roles"))
-    rows = lines.join(heads, ["source_file", "page_num"]).where("row_idx > head")
-    placed = rows.withColumn("words", F.transform("words", lambda w: F.struct(nearest_role((w["x"] + w["x1"]) / 2, F.col("roles")).alias("role"), w["text"].alias("text"))))
-    name_at = lambda i: F.element_at(F.filter("roles", lambda r: r["at"] == i), -1)["name"]
-    said = lambda role: F.array_join(F.transform(F.filter("words", lambda w: w["role"] == role), lambda w: w["text"]), " ")
-    cells = F.transform(F.sequence(F.lit(0), F.array_max(F.col("roles.at"))), lambda i: F.when(F.exists("roles", lambda r: r["at"] == i), said(name_at(i))).otherwise(""))
-    return placed.select("source_file", "page_num", "table_id", "row_idx", cells.alias("cells")), layouts
+    seen = F.transform(F.slice(lines, 1, HEADER_ROWS), lambda words, i: _let(_lower(words["text"]), lambda c: F.struct(_fit(c).alias("n"), i.alias("row"), words.alias("words"), c.alias("c"))))
+    centre = lambda word: (word["x"] + word["x1"]) / 2
+
+    def ranks(by: Column, role: str) -> Column:
+        at = F.get(F.filter(by, lambda e: e["key"] == role)["value"], F.lit(0))
+        return _let(at, lambda a: F.array_max(F.transform(by, lambda e, rank: F.when(e["value"] == a, rank))))
+
+    def told(h: Column, by: Column) -> Column:
+        centres = F.transform(by, lambda e: centre(F.get(h["words"], e["value"])))
+        return F.struct(h["row"].alias("row"), h["n"].alias("n"), centres.alias("centres"), F.struct(*[ranks(by, r).alias(r) for r in _ROLES]).alias("ranks"))
+
+    first = F.slice(F.filter(seen, lambda h: h["n"].isNotNull()), 1, 1)
+    return F.get(F.transform(first, lambda h: _let(_columns(h["n"], h["c"]), lambda by: told(h, by))), F.lit(0))
+
+
+def nearest(centres: Column, cx: Column) -> Column:
+    """The rank, from 0, of the nearest centre; ties to the first in order, and what isn't known is nearest."""
+    far = F.transform(centres, lambda c: F.coalesce(F.abs(c - cx), F.lit(float("-inf"))))
+    return _let(far, lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int"))
+
+
+def _headed(tokens: DataFrame, tolerance: float) -> DataFrame:
+    """(source_file, page_num, ls, head): pages with their lines and header, null if none."""
+    return _paged(tokens).select("source_file", "page_num", _lines(tolerance).alias("ls")).withColumn("head", _header(F.col("ls")))
+
+
+def _under_header() -> Column:
+    """Each line below a page's header as cells by role: the words whose nearest header word is the role's."""
+    head = F.col("head")
+
+    def by_role(words: Column) -> Column:
+        mine = F.transform(words, lambda w: nearest(head["centres"], (w["x"] + w["x1"]) / 2))
+        cells = lambda ranks: F.transform(head["centres"], lambda _, rank: F.array_join(F.filter(words["text"], lambda t, i: F.get(ranks, i) == rank), " "))
+        return _let(_let(mine, cells), lambda found: F.struct(*[F.coalesce(F.get(found, head["ranks"][role]), F.lit("")).alias(role) for role in _ROLES]))
+
+    return F.transform(F.slice("ls", head["row"] + 2, F.size("ls")), by_role)
+
+
+def rows_by_header(tokens: DataFrame, tolerance: float = 18.0) -> DataFrame:
+    """Ledger rows of pages of tokens, as parse_rows gives them: a page's lines, each word under the role of the nearest header word.
+
+    Pages without a header line in their first eight have no rows. A page is one row from its words on, so words are shuffled once and lines are found once.
+    """
+    cells = F.transform(_under_header(), lambda at, i: F.struct((F.col("head.row") + 1 + i).alias("row_idx"), *[at[role].alias(f"at_{role}") for role in _ROLES]))
+    rows = _headed(tokens, tolerance).select("source_file", "page_num", F.col("head.n").alias("n"), F.inline(cells))
+    at, layout = lambda role: F.col(f"at_{role}"), _layout_name(F.col("n"))
+    read, flagged = _read(at), layout == "schema_b"
+    return rows.where(_is_entry(read.get, flagged)).select("source_file", "page_num", F.lit(0).alias("table_id"), "row_idx", layout.alias("layout"), *_named(_entry(at, read.get, flagged)))
 
 
 # Lines that are no transactions, and the slots of the borderless layout.
@@ -229,12 +314,26 @@ def digital_rows(cells: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataF
 
 
 def scanned_rows(tokens: DataFrame, tolerance: float = 18.0) -> DataFrame:
-    """Ledger rows of recognised pages, with `path` and `direct`: by the header's words, and where no header or no such row is found, from the joined lines."""
-    page = ["source_file", "page_num"]
-    placed = parse_rows(*cells_by_header(tokens, tolerance)).withColumn("direct", F.lit(True)).withColumn("path", F.lit("layout"))
-    lines = group_lines(tokens, tolerance).select(*page, F.lit(0).alias("table_id"), F.col("line_no").alias("row_idx"), F.transform("words", lambda w: strip(w["text"])).alias("cells"))
-    rest = lines.join(placed.select(*page).distinct(), page, "left_anti")
-    return placed.unionByName(parse_free_rows(rest).withColumn("path", F.lit("free")), allowMissingColumns=True)
+    """Ledger rows of recognised pages, with `path` and `direct`: by the header's words, and where no header or no such row is found, from the joined lines.
+
+    A page is one row from its words on, so words are shuffled once and lines are found once. Then a line is one row, read in the way that its page is.
+    """
+    text, flagged = F.lit(None).cast("string"), _layout_name(F.col("head.n")) == "schema_b"
+    told = F.exists("under", lambda cells: _is_entry(_read(lambda role: cells[role]).get, flagged))
+    pages = _headed(tokens, tolerance).withColumn("under", _under_header()).withColumn("head", F.when(told, F.col("head")))
+    row = lambda i, line, cell: F.struct(i.alias("row_idx"), line.alias("line"), *[cell(role).alias(f"at_{role}") for role in _ROLES])
+    by_header = F.transform("under", lambda cells, i: row(F.col("head.row") + 1 + i, text, lambda role: cells[role]))
+    joined = F.transform("ls", lambda words, i: row(i, _joined(words["text"]), lambda _: text))
+    lines = pages.select("source_file", "page_num", F.col("head.n").alias("n"), F.inline(F.when(F.col("head").isNotNull(), by_header).otherwise(joined)))
+
+    flagged, laid = _layout_name(F.col("n")) == "schema_b", F.col("n").isNotNull()
+    at, read = lambda role: F.col(f"at_{role}"), lambda what: F.col(f"_{what}")
+    lines = lines.withColumns({f"_{what}": c for what, c in _read(at).items()} | _line_marks())
+    rows = _line_rest(lines.where(F.when(laid, _is_entry(read, flagged)).otherwise(_is_line_entry())))
+    picked = {f: F.col(f) for f in ("txn_date", "value_date", "cheque_no", "description", "branch_code")}
+    fields = {f: F.when(laid, c).otherwise(picked.get(f, text)) for f, c in _entry(at, read, flagged).items()}
+    path = F.when(laid, "layout").otherwise("free")
+    return rows.select("source_file", "page_num", F.lit(0).alias("table_id"), "row_idx", _layout_name(F.col("n")).alias("layout"), *_named(fields), laid.alias("direct"), path.alias("path"), "raw_amounts")
 
 
 def page_formats(rows: DataFrame) -> DataFrame:

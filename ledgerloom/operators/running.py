@@ -63,8 +63,10 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: st
     rows = keep(rest.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("_at", F.monotonically_increasing_id()), "running")
     part, named = F.shiftright("_at", _PART_BITS), [f"_k{i}" for i in range(len(keys))]
     begun = rows.groupBy(part.alias("_part"), *[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)]).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*named).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    begun = begun.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    # A key's partitions are one short array; what it has before each of them is a sum over that array.
+    spans = begun.groupBy(*named).agg(F.sort_array(F.collect_list(F.struct("_first", "_part", "_n"))).alias("_spans"))
+    before = F.transform("_spans", lambda span, i: F.struct(span["_part"].alias("_part"), span["_first"].alias("_first"), F.aggregate(F.slice("_spans", F.lit(1), i), F.lit(0).cast("long"), lambda n, x: n + x["_n"]).alias("_before")))
+    begun = spans.select(*named, F.inline(before))
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)]
     both = rows.join(F.broadcast(begun), [part == F.col("_part"), *same])
     # Columns of statements have names with dots.

@@ -115,7 +115,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.parse_rows(*layout.cells_by_header(_tokens(spark, sf_dir))).select(*[c for c in ROW if c != "layout"])
+    return layout.rows_by_header(_tokens(spark, sf_dir)).select(*[c for c in ROW if c != "layout"])
 
 
 def _borderless_words(orders: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = rows.where("pos = 0 and kind < 3").select("source_file", "page_num", F.lit(0).alias("line"), F.lit(0).cast("long").alias("k"), F.posexplode(head).alias("i", "text"))
     x = 100.0 * F.col("i") + (F.col("k") + F.col("i")) % 23
     y = 40.0 * F.col("line") + (F.col("k") + 3 * F.col("i")) % 7
-    return body.unionByName(heads).where("text <> ''").select("source_file", "page_num", x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 9).alias("y1"), F.translate("text", "\n", " ").alias("text"), F.lit(1.0).alias("score"))
+    return body.unionByName(heads).where("text <> ''").select("source_file", "page_num", x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 9).alias("y1"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), F.lit(1.0).alias("score"))
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:

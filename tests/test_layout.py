@@ -88,3 +88,39 @@ def test_line_folding_keeps_no_lines_in_its_state(spark):
             want.setdefault((page, no), []).append(x)
     assert got == {k: sorted(v) for k, v in want.items()}
     assert "starts" in plan and "lines, " not in plan
+
+
+def test_scanned_pages_shuffle_their_words_once(spark):
+    """A page is one row from its words on: lines aren't found anew for the header, the rows below it and the pages without."""
+    head = "Txn Date|Value Date|Cheque No.|Description|Branch|Debit|Credit|Balance".split("|")
+    entry = ["01-02-2024", "02-02-2024", "123456", "NEFT x", "0042", "5.00", "", "9.00"]
+    line = lambda p, no, cells, dx=0: [(p, 100 * i + dx, 40 * no, t) for i, t in enumerate(cells) if t]
+    rows = [
+        *line(1, 0, ["Some Bank"]), *line(1, 1, head), *line(1, 2, entry, 20), *line(1, 3, ["no date"]), *line(1, 4, entry, 50), *line(1, 5, ["03-02-2024 UPI 7.00"]),
+        *line(2, 0, head), *line(2, 1, ["01-02-2024", "UPI 654321 0042 1.00 2.00"]), *line(2, 2, ["none"]),
+        *line(3, 0, ["Statement as of 01-02-2024", "1.00"]), *line(3, 1, ["01-02-2024", "UPI", "1.00"]),
+        *[t for no in range(8) for t in line(4, no, ["x"])], *line(4, 8, head), *line(4, 9, entry),
+    ]
+    found = layout.scanned_rows(_tokens(spark, rows))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1 and "Join" not in plan and "Union" not in plan
+    got = sorted((r.page_num, r.path, r.row_idx, r.layout, r.txn_date, r.value_date, r.cheque_no, r.branch_code, r.description, r.debit, r.balance, r.raw_amounts, r.direct) for r in found.collect())
+    laid = ("layout", "schema_a", "01-02-2024", "02-02-2024", "123456", "0042", "NEFT x", "Rs. 5.00", "Rs. 9.00", None, True)
+    # Words halfway between two roles belong to the first of them.
+    assert got == [
+        (1, "layout", i, *laid[1:]) for i in (2, 4)
+    ] + [
+        (2, "free", 1, None, "01-02-2024", "01-02-2024", "654321", "0042", "UPI", None, None, ["1.00", "2.00"], False),
+        (3, "free", 1, None, "01-02-2024", "01-02-2024", "", "", "UPI", None, None, ["1.00"], False),
+        (4, "free", 9, None, "01-02-2024", "01-02-2024", "123456", "0042", "NEFT x", None, None, ["5.00", "9.00"], False),
+    ]
+    direct = layout.rows_by_header(_tokens(spark, rows))
+    assert [(r.page_num, r.row_idx, r.debit) for r in direct.orderBy("row_idx").collect()] == [(1, 2, "Rs. 5.00"), (1, 4, "Rs. 5.00")]
+
+
+def test_scanned_rows_of_two_roles_under_one_word(spark):
+    """Two roles of one header word: the first takes the words, the last fills the cell, so both are empty."""
+    head, entry = ["Date", "Narration", "Value Date Withdrawal", "Deposit", "Closing Balance"], ["01/02/24", "UPI", "5.00", "", "9.00"]
+    rows = [(1, 100 * i, 40 * no, t) for no, cells in enumerate((head, entry)) for i, t in enumerate(cells) if t]
+    r = layout.scanned_rows(_tokens(spark, rows)).collect()
+    assert [(x.layout, x.path, x.txn_date, x.description, x.value_date, x.debit, x.credit, x.balance) for x in r] == [("schema_hdfc", "layout", "01/02/24", "UPI", "", "", "", "Rs. 9.00")]
